@@ -14,7 +14,8 @@ from tracequarry.llm.common import arrow_schema
 
 #: Every byte that isn't part of a word becomes a space, A-Z become a-z; bytes from 0x80 on belong to words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The same words in an original text, where A-Z are still there.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Bytes of benchmark text in one automaton. A larger benchmark is scanned for in blocks of this size.
 BLOCK_BYTES = 4 << 20
 #: Code points that stand for words: from here on, without the surrogates.
