@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame
 from tracequarry.llm.common import arrow_schema
 
 #: Words kept in a worker's token cache; about 150 bytes each.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+#: Letters below this one have one lower-case letter each and are composed already.
+_PLAIN = "\u0130"
 
 _workers: dict = {}
 
@@ -24,7 +26,9 @@ class WordTokenizer:
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its words in turn; each
     different word is encoded once. A full stop or comma after an ASCII letter or digit is a piece of its own and is
-    looked up apart, and ASCII words are looked up in lower case, which the tokenizer's normaliser would do anyway.
+    looked up apart, and words of plain Latin letters are looked up in lower case, which the tokenizer's normaliser would
+    do anyway. A word of only such letters is one piece, so it goes to the tokenizer's merges without its normaliser and
+    splitter.
     """
 
     def __init__(self, path: str) -> None:
@@ -34,6 +38,7 @@ class WordTokenizer:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
+        self.letters = byte_letters()
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -42,15 +47,30 @@ class WordTokenizer:
         return _workers[path]
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.model.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
+        merge, letters = self.model.model.tokenize, self.letters
+        out, rest = [b""] * len(words), []
+        for i, word in enumerate(words):
+            text = word.decode()
+            if text.isalpha() and (word.isascii() or max(text) < _PLAIN):
+                pieces = merge(text if word.isascii() else "".join([letters[b] for b in word]))
+                out[i] = np.array([p.id for p in pieces], dtype="<u4").tobytes()
+            else:
+                rest.append(i)
+        found = self.model.encode_batch([words[i].decode() for i in rest], add_special_tokens=False)
+        for i, x in zip(rest, found, strict=True):
+            out[i] = np.asarray(x.ids, dtype="<u4").tobytes()
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
         fresh = set().union(*split) - self.known.keys() if split else set()
         parts: dict[bytes, tuple[bytes, bytes]] = {}
         for w in fresh:
-            low = w.lower() if w.isascii() else w
+            if w.isascii():
+                low = w.lower()
+            else:
+                text = w.decode()
+                low = text.lower().encode() if max(text) < _PLAIN else w
             if low[-1:] in (b".", b",") and low[-2:-1].isalnum():
                 parts[w] = (low[:-1], low[-1:])
             else:
@@ -76,6 +96,16 @@ class WordTokenizer:
         return [b"".join(map(get, words)) for words in split]
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    table = [chr(b) for b in range(256)]
+    for i, b in enumerate(hidden):
+        table[b] = chr(256 + i)
+    return table
+
+
 class _Fallback(dict):
     """Looks in the fresh words first, then in the cache."""
 
@@ -208,8 +238,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
             return out
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
                 for doc, ids in zip(part.column(0).to_pylist(), model.encode(part.column(1).to_pylist()), strict=True):
                     ids += end
                     total = len(ids) // 4
