@@ -26,6 +26,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracequarry.llm.secret_scan import secrets
+
+    return secrets(table(spark, sf_dir, "documents"))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracequarry.llm.packing import pack
 
@@ -56,5 +62,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_decontaminate, op5_pack, op6_toxicity, op9_mpeg_audio, op8_pitman_yor, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_decontaminate, op4_secrets, op5_pack, op6_toxicity, op9_mpeg_audio, op8_pitman_yor, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
