@@ -50,6 +50,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracequarry.llm.pii import replace_private
+
+    return replace_private(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracequarry.llm.language_model import score_documents
 
@@ -62,5 +68,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_decontaminate, op4_secrets, op5_pack, op6_toxicity, op9_mpeg_audio, op8_pitman_yor, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_decontaminate, op4_secrets, op5_pack, op6_toxicity, op7_pii, op9_mpeg_audio, op8_pitman_yor, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
