@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tracequarry.llm.common import table
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -35,7 +35,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracequarry.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), _tokenizer())
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

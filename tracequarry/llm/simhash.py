@@ -109,3 +109,22 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataF
     classes = components(links(nodes, radius))
     heads = nodes.join(classes, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return marked.join(heads, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
+    """The rows of docs less all but one document of each class of near-duplicates.
+
+    The least doc_id of a class stays; of several rows with that id the least one. Rows without an id stay only if no row
+    with one has their fingerprint, one for each fingerprint. Texts are moved once, by doc_id; copies of a document meet
+    as numbers, and only aggregates that combine before the shuffle see a class together.
+    """
+    columns = docs.columns
+    classes = near_duplicates(docs.filter("doc_id is not null"), radius, shingle)
+    kept = classes.filter("doc_id = component_id").select("doc_id").distinct()
+    rows = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in columns if c != "doc_id"])).alias("r"))
+    known = rows.select(*["doc_id" if c == "doc_id" else F.col(f"r.{c}").alias(c) for c in columns])
+    loose = fingerprints(docs.filter("doc_id is null"), shingle, keep=list(columns))
+    seen = classes.select(F.col("fingerprint").alias("hex")).distinct()
+    loose = loose.join(seen, F.lpad(F.lower(F.hex("fp")), 16, "0") == F.col("hex"), "left_anti")
+    loose = loose.groupBy("fp").agg(F.min(F.struct(*columns)).alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in columns])
+    return known.unionByName(loose)
