@@ -13,6 +13,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracequarry.llm.chat import format_messages
+
+    return format_messages(table(spark, sf_dir, "conversations"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracequarry.llm.simhash import near_duplicates
 
@@ -68,5 +74,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_decontaminate, op4_secrets, op5_pack, op6_toxicity, op7_pii, op9_mpeg_audio, op8_pitman_yor, op10_substring_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_simhash, op3_decontaminate, op4_secrets, op5_pack, op6_toxicity, op7_pii, op9_mpeg_audio, op8_pitman_yor, op10_substring_dedup)}
+
+#: Only what SQL expresses whole. op1's holds for messages without calls, as all of the tables' are; tests cover the rest.
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat": """
+        SELECT conv_id, turn, role, 0::BIGINT AS n_calls, 0::BIGINT AS n_linked, 0::BIGINT AS n_invalid,
+               NULL::BIGINT AS level, to_json({'content': text, 'role': role})::VARCHAR AS canonical
+        FROM conversations
+    """,
+}
