@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "a1_message_stats"
+from tracequarry.operators import conversations, documents, rollups, selection, trace, validation  # noqa: F401
+from tracequarry.plans.catalog import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "a2_trajectory_profile"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
