@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracequarry.operators import conversations, documents, rollups, selection, trace, validation  # noqa: F401
+from tracequarry.operators import conversations, documents, episodes, requests, rollups, selection, tools, trace, validation  # noqa: F401
 from tracequarry.plans.catalog import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "a2_trajectory_profile"
