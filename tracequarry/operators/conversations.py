@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from tracequarry.functions import text as T
 from tracequarry.operators.ordering import global_ordinal
 from tracequarry.plans.catalog import query
 from tracequarry.sources.tables import MESSAGES, TRACE, messages, trace, with_sql
 
-TURNS = Window.partitionBy("id").orderBy("idx")
+def turns() -> WindowSpec:
+    """A conversation's messages in order."""
+    return Window.partitionBy("id").orderBy("idx")
 
 
 def message_stats(m: DataFrame) -> DataFrame:
@@ -96,14 +98,14 @@ def p15_complexity_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_sql(MESSAGES) + "SELECT id, idx, role, lag(role) OVER w AS before, lead(role) OVER w AS after, coalesce(lag(role) OVER w = role, false) AS repeated FROM messages WINDOW w AS (PARTITION BY id ORDER BY idx)")
 def w1_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = F.lag("role").over(TURNS)
-    return messages(spark, sf_dir).select("id", "idx", "role", before.alias("before"), F.lead("role").over(TURNS).alias("after"), F.coalesce(before == F.col("role"), F.lit(False)).alias("repeated"))
+    before = F.lag("role").over(turns())
+    return messages(spark, sf_dir).select("id", "idx", "role", before.alias("before"), F.lead("role").over(turns()).alias("after"), F.coalesce(before == F.col("role"), F.lit(False)).alias("repeated"))
 
 
 @query(with_sql(MESSAGES) + "SELECT id, idx, coalesce(length(string_agg(text, ' ') OVER w), 0) AS context_length, coalesce(contains(lower(string_agg(text, ' ') OVER w), lower(split_part(text, ' ', 1))), false) AS grounded FROM messages WINDOW w AS (PARTITION BY id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def w2_running_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a message's first word occurs in the text of all messages before it."""
-    w = TURNS.rowsBetween(Window.unboundedPreceding, -1)
+    w = turns().rowsBetween(Window.unboundedPreceding, -1)
     seen = messages(spark, sf_dir).withColumn("context", F.array_join(F.collect_list("text").over(w), " "))
     return seen.select("id", "idx", F.length("context").cast("long").alias("context_length"), F.when(F.length("context") > 0, F.lower("context").contains(F.lower(F.substring_index("text", " ", 1)))).otherwise(False).alias("grounded"))
 
@@ -123,14 +125,14 @@ def w8_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_sql(MESSAGES) + "SELECT id, idx, lead(role) OVER (PARTITION BY id ORDER BY idx) = 'assistant' AS answered FROM messages WHERE role IS NOT NULL QUALIFY role = 'user' AND lead(role) OVER (PARTITION BY id ORDER BY idx) IS NOT NULL")
 def j14_next_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls (user turns here) with whether the next message answers them."""
-    after = messages(spark, sf_dir).withColumn("next", F.lead("role").over(TURNS))
+    after = messages(spark, sf_dir).withColumn("next", F.lead("role").over(turns()))
     return after.filter((F.col("role") == "user") & F.col("next").isNotNull()).select("id", "idx", (F.col("next") == "assistant").alias("answered"))
 
 
 def structure_errors(m: DataFrame, max_user_turns: int, least: int) -> DataFrame:
     """id, valid, errors: the first message isn't a system message, an answer doesn't follow a user, too many user turns,
     too few answers; errors in the order of the messages, then of the rules."""
-    seen = m.withColumn("before", F.lag("role").over(TURNS)).withColumn("first", F.row_number().over(TURNS) == 1)
+    seen = m.withColumn("before", F.lag("role").over(turns())).withColumn("first", F.row_number().over(turns()) == 1)
     own = F.array_compact(
         F.array(
             F.when(F.col("first") & (F.col("role") != "system"), F.struct(F.lit(-1).cast("long").alias("at"), F.lit("missing system message").alias("e"))),

@@ -9,8 +9,6 @@ from pyspark.sql.window import Window
 from tracequarry.plans.catalog import query
 from tracequarry.sources.tables import TRACE, table, trace, with_sql
 
-EPISODE = Window.partitionBy("episode_id")
-
 FIRST = "first AS (SELECT episode_id, produced AS handle, min(step) AS producer_step, arg_min(tool, step) AS producer_tool FROM trace WHERE produced IS NOT NULL GROUP BY 1, 2)"
 DELAYED = "delayed AS (SELECT t.episode_id, t.consumed AS handle, f.producer_step, f.producer_tool, t.step AS consumer_step, t.tool AS consumer_tool, t.step - f.producer_step AS distance FROM trace t JOIN first f ON f.episode_id = t.episode_id AND f.handle = t.consumed)"
 
@@ -158,7 +156,7 @@ def w5_last_goal_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 def w6_best_final_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the read-only steps after the last goal write, the one that covers most goals (k mod 7 of 6), the latest of ties."""
     goal = F.when((F.col("tool") == "purchase") & (F.col("k") < 50), F.col("step"))
-    t = trace(spark, sf_dir).withColumn("at", F.coalesce(F.max(goal).over(EPISODE), F.lit(0))).withColumn("covered", F.col("k") % 7)
+    t = trace(spark, sf_dir).withColumn("at", F.coalesce(F.max(goal).over(Window.partitionBy("episode_id")), F.lit(0))).withColumn("covered", F.col("k") % 7)
     c = t.filter((F.col("step") > F.col("at")) & F.col("tool").isin("view", "signup"))
     best = c.groupBy("episode_id").agg(F.max(F.struct("covered", "step", "tool")).alias("b"))
     return best.select("episode_id", "b.step", "b.tool", "b.covered", F.round(F.col("b.covered") / 6, 4).alias("coverage"))
