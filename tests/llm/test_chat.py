@@ -54,13 +54,3 @@ def test_messages(spark):
     assert sum(r.conv_id == 1 and r.turn == 0 for r in out) == 3
     assert format_messages(spark.createDataFrame([], SCHEMA)).count() == 0
 
-
-def test_tables(spark, sf_dir):
-    import duckdb
-
-    from tracequarry.llm.queries import ORACLE_SQL, op1_chat
-
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
-    expected = sorted(map(str, con.execute(f"SELECT conv_id, turn, role, n_calls, n_linked, n_invalid, level, canonical FROM ({ORACLE_SQL['op1_chat']})").fetchall()))
-    assert sorted(str(tuple(r)) for r in op1_chat(spark, sf_dir).collect()) == expected

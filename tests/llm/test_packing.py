@@ -51,7 +51,7 @@ def test_texts_of_the_tables(spark, sf_dir):
 
 
 def test_tricky_words(spark):
-    texts = ["ÉCOLE Éa, ñÑ. ß ÿŸ ŀ ǅ ª º ĲSSEL", "It's 'S end, İstanbul. ΣΑΣ, ﬁne.", "a.b,c 3.14, 10,000. <|endoftext|> x", "é, é. ́, ,, .. ,. 'll,", " x y\u0085z \x1ca"]
+    texts = ["ÉCOLE Éa, ñÑ. ß ÿŸ ŀ ǅ ª º ĲSSEL", "It's 'S end, İstanbul. ΣΑΣ, ﬁne.", "word*** (x)\" a-b- é!! ½, ²; naïve... #tag# o'clock's, 'tis' a\'\'. _x_ <|startoftext|>,", "a.b,c 3.14, 10,000. <|endoftext|> x", "é, é. ́, ,, .. ,. 'll,", " x y\u0085z \x1ca"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     check(docs, pack(docs, PATH), 4096)
 

@@ -153,7 +153,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False, b
     by the hashes of its windows in buckets. A document is parsed greedily: a factor starts at a word whose window occurs
     earlier (smaller doc_id, or same document and earlier start), grows by one word while the window ending there does,
     and ends where the check at its boundary fails. Factors may overlap; their words go. Windows are 64-bit hashes of
-    `window` word hashes: with 10**12 windows the chance that any two different ones agree is 3 %.
+    `window` word hashes: with n different windows the chance that any two of them agree is n**2 / 2**65, 3 % at 10**9.
 
     Returned: doc_id, n_words, n_removed, kept_sha256, factors (start and length in words), with_text also kept_text.
     Null, empty and shorter texts lose nothing. Rows of one doc_id are one document, so equal rows don't remove each
