@@ -70,7 +70,7 @@ def a4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_sql(MESSAGES, "s AS (SELECT id, count(*) AS n, count(*) FILTER (role = 'user') AS u, arg_max(role, idx) AS f FROM messages GROUP BY id)") + "SELECT count(*) AS items, round(avg(n), 3) AS avg_messages, round(avg(u), 3) AS avg_user_turns, max(u) AS max_user_turns, round(count(*) FILTER (f = 'assistant') / count(*), 3) AS final_assistant_rate FROM s")
 def a3_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = message_stats(messages(spark, sf_dir))
-    return s.agg(F.count("*").alias("items"), F.round(F.avg("messages"), 3).alias("avg_messages"), F.round(F.avg("user_turns"), 3).alias("avg_user_turns"), F.max("user_turns").alias("max_user_turns"), F.round(F.count_if(F.col("final_role") == "assistant") / F.count("*"), 3).alias("final_assistant_rate"))
+    return s.agg(F.count("*").alias("items"), F.round(F.avg("messages"), 3).alias("avg_messages"), F.round(F.avg("user_turns"), 3).alias("avg_user_turns"), F.max("user_turns").alias("max_user_turns"), F.round(F.try_divide(F.count_if(F.col("final_role") == "assistant"), F.count("*")), 3).alias("final_assistant_rate"))
 
 
 @query(with_sql(TRACE) + "SELECT tool, count(*) AS n, min(episode_id * 1000000 + step) AS first_seen FROM trace GROUP BY tool ORDER BY n DESC, first_seen")

@@ -14,16 +14,16 @@ def global_ordinal(df: DataFrame, key: str, name: str = "ordinal", parts: int |
     """df with 1, 2, ... in the order of a unique numeric key.
 
     Approximate quantiles cut the keys into ranges; each range is numbered on its own and raised by the rows of the
-    ranges before it, of which there are `parts`.
+    ranges before it, of which there are `parts`. Rows without a key come last.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted({c for c in df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.01)}) if parts > 1 else []
-    ranged = df.withColumn("__range", reduce(add, [(F.col(key) > c).cast("int") for c in cuts], F.lit(0)))
+    ranged = df.withColumn("__range", F.coalesce(reduce(add, [(F.col(key) > c).cast("int") for c in cuts], F.when(F.col(key).isNotNull(), 0)), F.lit(parts)))
     before, offsets = 0, {}
     for r in sorted(ranged.groupBy("__range").count().collect()):
         offsets[r["__range"]] = before
         before += r["count"]
     start = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair]) if offsets else F.lit(None)
-    own = F.row_number().over(Window.partitionBy("__range").orderBy(key)).cast("long")
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(F.asc_nulls_last(key))).cast("long")
     added = start[F.col("__range")].cast("long") if offsets else F.lit(0).cast("long")
     return ranged.withColumn(name, own + added).drop("__range")

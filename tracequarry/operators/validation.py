@@ -179,7 +179,7 @@ def a6_validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_sql(RESPONSES) + "SELECT count(*) AS checked, count(*) FILTER (ok) AS completed, count(*) FILTER (NOT ok) AS failed, round(count(*) FILTER (ok) / count(*), 4) AS completion_rate, round(avg(tokens) FILTER (ok), 3) AS avg_tokens FROM responses")
 def a7_generation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = F.count_if("ok")
-    return responses(spark, sf_dir).agg(F.count("*").alias("checked"), done.alias("completed"), F.count_if(~F.col("ok")).alias("failed"), F.round(done / F.count("*"), 4).alias("completion_rate"), F.round(F.avg(F.when(F.col("ok"), F.col("tokens"))), 3).alias("avg_tokens"))
+    return responses(spark, sf_dir).agg(F.count("*").alias("checked"), done.alias("completed"), F.count_if(~F.col("ok")).alias("failed"), F.round(F.try_divide(done, F.count("*")), 4).alias("completion_rate"), F.round(F.avg(F.when(F.col("ok"), F.col("tokens"))), 3).alias("avg_tokens"))
 
 
 def quality_gate(rows: DataFrame, v: DataFrame, strict: str, execution: str, gate: dict[str, float] = GATE) -> DataFrame:
