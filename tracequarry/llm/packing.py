@@ -17,6 +17,8 @@ from tracequarry.llm.common import arrow_schema
 CACHE_WORDS = 1_000_000
 #: Letters below this one have one lower-case letter each and are composed already.
 _PLAIN = "\u0130"
+#: Marks that never join with letters; the apostrophe can (it begins contractions).
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _workers: dict = {}
 
@@ -25,8 +27,8 @@ class WordTokenizer:
     """Token ids of texts as little-endian uint32 bytes.
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its words in turn; each
-    different word is encoded once. A full stop or comma after an ASCII letter or digit is a piece of its own and is
-    looked up apart, and words of plain Latin letters are looked up in lower case, which the tokenizer's normaliser would
+    different word is encoded once. Marks after a letter or digit are a piece of their own and are looked up apart,
+    and words of plain Latin letters are looked up in lower case, which the tokenizer's normaliser would
     do anyway. A word of only such letters is one piece, so it goes to the tokenizer's merges without its normaliser and
     splitter.
     """
@@ -63,37 +65,38 @@ class WordTokenizer:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        fresh = set().union(*split) - self.known.keys() if split else set()
-        parts: dict[bytes, tuple[bytes, bytes]] = {}
-        for w in fresh:
-            if w.isascii():
-                low = w.lower()
-            else:
-                text = w.decode()
-                low = text.lower().encode() if max(text) < _PLAIN else w
-            if low[-1:] in (b".", b",") and low[-2:-1].isalnum():
-                parts[w] = (low[:-1], low[-1:])
-            else:
-                parts[w] = (low, b"")
+        words = set().union(*split) if split else set()
         known = self.known
-        need = {x for pair in parts.values() for x in pair if x} - known.keys()
-        # a lower-case form that is in known is the word itself, so both maps may share one dictionary
-        need_list = list(need)
-        cores = dict(zip(need_list, self._encode(need_list), strict=True))
-        local: dict[bytes, bytes] = {}
+        find = known.get
+        table = {w: ids for w in words if (ids := find(w))}
+        parts = {w: self._parts(w) for w in words if w not in table}
+        need = list({x for pair in parts.values() for x in pair if x} - known.keys())
+        # a lower-case form that is known is the same word, so words and their parts may share one dictionary
+        fresh = dict(zip(need, self._encode(need), strict=True))
         for w, (core, tail) in parts.items():
-            ids = cores[core] if core in cores else known[core]
+            ids = fresh[core] if core in fresh else known[core]
             if tail:
-                ids += cores[tail] if tail in cores else known[tail]
-            local[w] = ids
+                ids += fresh[tail] if tail in fresh else known[tail]
+            table[w] = ids
         if len(known) < CACHE_WORDS:
-            known.update(local)
-            known.update(cores)
-            get = known.__getitem__
+            known.update(table)
+            known.update(fresh)
+        return [b"".join(map(table.__getitem__, ws)) for ws in split]
+
+    @staticmethod
+    def _parts(word: bytes) -> tuple[bytes, bytes]:
+        """(lower-case core, marks after it): marks that follow a letter or digit are a piece of their own."""
+        if word.isascii():
+            low = word.lower()
         else:
-            both = _Fallback(known, local)
-            get = both.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            text = word.decode()
+            if max(text) >= _PLAIN:
+                return word, b""
+            low = text.lower().encode()
+        core = low.rstrip(_MARKS)
+        if len(core) == len(low) or not core or not (core[-1:].isalnum() or core.decode()[-1].isalpha()):
+            return low, b""
+        return core, low[len(core) :]
 
 
 def byte_letters() -> list[str]:
@@ -106,17 +109,6 @@ def byte_letters() -> list[str]:
     return table
 
 
-class _Fallback(dict):
-    """Looks in the fresh words first, then in the cache."""
-
-    def __init__(self, known: dict, local: dict) -> None:
-        super().__init__(local)
-        self.known = known
-
-    def __missing__(self, key):
-        return self.known[key]
-
-
 class SumOfSquares:
     """Open windows by fill level. A piece goes to the level that keeps the sum of squared level counts least.
 
@@ -238,8 +230,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
             return out
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 3000):
+                part = batch.slice(at, 3000)
                 for doc, ids in zip(part.column(0).to_pylist(), model.encode(part.column(1).to_pylist()), strict=True):
                     ids += end
                     total = len(ids) // 4
