@@ -8,6 +8,7 @@ tool's {"tool_call_id", "content"}. A system message may carry {"tools": [{"func
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,7 +100,7 @@ def argument_errors(arguments: Column, properties: Column, required: Column) ->
     return F.when(given.isNull(), F.array(F.lit("not_an_object"))).otherwise(F.array_sort(F.concat(missing, extra, typed)))
 
 
-def levels(linked: DataFrame, most: int = 200) -> DataFrame:
+def levels(linked: DataFrame) -> DataFrame:
     """conv_id, call_id, level: 0 for calls that want none, else one more than the highest level they want; null on a cycle.
 
     Round by round: every call whose wanted calls all have levels gets its own. A round joins only what is left, so rounds
@@ -114,7 +115,7 @@ def levels(linked: DataFrame, most: int = 200) -> DataFrame:
         return done[0]
     known = materialize(done[0], "level")
     done = [known]
-    for level in range(1, most + 1):
+    for level in count(1):
         open_ = left.join(reduce(DataFrame.unionByName, done).select("conv_id", F.col("call_id").alias("want")), ["conv_id", "want"], "left_anti").select("conv_id", "call_id").distinct()
         waiting = left.select("conv_id", "call_id").distinct()
         ready = waiting.join(open_, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(level).alias("level"))

@@ -182,7 +182,7 @@ def entities(text: Column) -> Column:
 
 
 def collisions(docs: DataFrame, key: str) -> int:
-    """How many surrogates two different entities of the corpus share, or an entity has that really occurs in it."""
+    """How many surrogates different entities of one kind share in this corpus."""
     found = docs.select(F.explode(entities(F.col("text"))).alias("value")).distinct()
     known = found.withColumn("kind", kind_of(F.col("value"))).withColumn("who", identity(F.col("kind"), F.col("value")))
     made = known.withColumn("surrogate", surrogate(key, F.col("kind"), F.col("value"))).withColumn("as", identity(F.col("kind"), F.col("surrogate")))
