@@ -25,10 +25,15 @@ def parts(total: int, each: int) -> int:
     return max(LEAST, -(-total // each))
 
 
+def dealt(df: DataFrame, key: str, groups: int) -> DataFrame:
+    """df over half as many partitions as it has groups, so that tasks stay as small as groups however much there is."""
+    return df.repartition(-(-groups // 2), key)
+
+
 def with_block(docs: DataFrame, blocks: int) -> DataFrame:
     """doc_id, text, block. Rows of one doc_id share a block; rows without one are dealt by their text."""
     spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    return docs.select("doc_id", "text", F.pmod(spread, F.lit(blocks)).cast("int").alias("block"))
+    return dealt(docs.select("doc_id", "text", F.pmod(spread, F.lit(blocks)).cast("int").alias("block")), "block", blocks)
 
 
 def order_keys(ids: list, block: int, blocks: int) -> np.ndarray:
