@@ -34,6 +34,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that go to Python at once; texts may be long, and Arrow's buffers on both sides are as large as a batch.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From here on at most BATCH_ROWS rows of this session's tables go to Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def map_rows(df: DataFrame, schema: str, fn: Callable[[list, Iterator], Iterator[dict]], names: list[str], slice_rows: int = 1000) -> DataFrame:
     """mapInArrow with fn(columns of a slice as Python lists) -> dict of output columns; slices bound the memory."""
     from pyspark.sql.types import StructType, _parse_datatype_string  # noqa: PLC2701
@@ -42,6 +54,7 @@ def map_rows(df: DataFrame, schema: str, fn: Callable[[list, Iterator], Iterator
     parsed = _parse_datatype_string(schema)
     assert isinstance(parsed, StructType)
     target = to_arrow_schema(parsed)
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracequarry.llm.common import arrow_schema
+from tracequarry.llm.common import arrow_schema, bounded_batches
 
 #: Every byte that isn't part of a word becomes a space, A-Z become a-z; bytes from 0x80 on belong to words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -106,14 +106,17 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: int =
     block, whole. Null text: no words. Null item ids and items without words match nothing. Repeated rows stay.
     """
     keep = keep or ["doc_id"]
-    df = docs.select(*keep, F.col("text").alias("__text"), F.lit(None).cast("array<long>").alias("__ranges"), F.lit(None).cast("array<string>").alias("__items"))
+    bounded_batches(docs.sparkSession)
+    own = "text" in keep  # then texts go through once
+    df = docs.select(*keep, *([] if own else [F.col("text").alias("__text")]), F.lit(None).cast("array<long>").alias("__ranges"), F.lit(None).cast("array<string>").alias("__items"))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[: len(keep)])
-    middle = f"{head}, __text string, __ranges array<bigint>, __items array<string>"
+    middle = f"{head}, {'' if own else '__text string, '}__ranges array<bigint>, __items array<string>"
+    at_text = keep.index("text") if own else len(keep)
     final = f"{head}, {HITS}"
     block = next(blocks := item_blocks(items, block_bytes))
     while block is not None:
         after = next(blocks, None)
-        df = _scanned(df, block, window, final if after is None else middle, after is None)
+        df = _scanned(df, block, window, final if after is None else middle, len(keep) if after is None else None, at_text)
         block = after
     return df
 
@@ -121,8 +124,9 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: int =
 HITS = "n_words bigint, n_hit bigint, ranges array<struct<start:bigint,end:bigint>>, spans array<struct<start:bigint,end:bigint>>, items array<string>, n_items bigint, items_sha256 string, contaminated boolean"
 
 
-def _scanned(df: DataFrame, block: list[tuple], window: int, ddl: str, last: bool) -> DataFrame:
-    """One pass for one block: adds its hits to the ranges and items so far; the last pass forms the result."""
+def _scanned(df: DataFrame, block: list[tuple], window: int, ddl: str, kept: int | None, at_text: int) -> DataFrame:
+    """One pass for one block: adds its hits to the ranges and items so far. The last pass (kept: how many columns it
+    keeps) forms the result."""
     key = hashlib.sha256(repr((block, window)).encode()).hexdigest()
     target = arrow_schema(ddl)
 
@@ -131,17 +135,18 @@ def _scanned(df: DataFrame, block: list[tuple], window: int, ddl: str, last: boo
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                n = part.num_columns - 3
+                n = part.num_columns - 2
                 rows = []
-                for text, before, owners in zip(*[part.column(i).to_pylist() for i in (n, n + 1, n + 2)], strict=True):
+                for text, before, owners in zip(part.column(at_text), part.column(n).to_pylist(), part.column(n + 1).to_pylist(), strict=True):
+                    text = text.as_py()
                     ws = words(text)
                     ranges, found = matcher.scan(ws)
                     if before:
                         ranges = _merged(ranges + list(zip(before[::2], before[1::2], strict=True)))
                     names = sorted({*map(str, found), *(owners or ())})
-                    rows.append(_hits(text, len(ws), ranges, names) if last else ([x for r in ranges for x in r], names))
+                    rows.append(_hits(text, len(ws), ranges, names) if kept else ([x for r in ranges for x in r], names))
                 columns = zip(*rows, strict=True)
-                fixed = part.columns[: n if last else n + 1]
+                fixed = part.columns[: kept or n]
                 made = [pa.array(list(c), target.field(len(fixed) + i).type) for i, c in enumerate(columns)]
                 yield pa.RecordBatch.from_arrays([*fixed, *made], schema=target)
 

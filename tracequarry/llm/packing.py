@@ -11,10 +11,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tracequarry.llm.common import arrow_schema
+from tracequarry.llm.common import arrow_schema, bounded_batches
 
 #: Words kept in a worker's token cache; about 150 bytes each.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 #: Letters below this one have one lower-case letter each and are composed already.
 _PLAIN = "\u0130"
 #: Marks that never join with letters; the apostrophe can (it begins contractions).
@@ -203,6 +203,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     """
     ddl = PIECES + (", ids binary" if with_ids else "")
     target = arrow_schema(ddl)
+    bounded_batches(docs.sparkSession)
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,20 +231,18 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
             return out
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 3000):
-                part = batch.slice(at, 3000)
-                for doc, ids in zip(part.column(0).to_pylist(), model.encode(part.column(1).to_pylist()), strict=True):
-                    ids += end
-                    total = len(ids) // 4
-                    full = total - total % capacity
-                    for start in range(0, full, capacity):
-                        emit([(doc, start, ids[4 * start : 4 * (start + capacity)], total)])
-                    if full < total:
-                        window = packer.add([(doc, full, ids[4 * full :], total)], total - full)
-                        if window:
-                            emit(window)
-                if len(rows) >= 5000:
-                    yield flush()
+            for doc, ids in zip(batch.column(0).to_pylist(), model.encode(batch.column(1).to_pylist()), strict=True):
+                ids += end
+                total = len(ids) // 4
+                full = total - total % capacity
+                for start in range(0, full, capacity):
+                    emit([(doc, start, ids[4 * start : 4 * (start + capacity)], total)])
+                if full < total:
+                    window = packer.add([(doc, full, ids[4 * full :], total)], total - full)
+                    if window:
+                        emit(window)
+            if len(rows) >= 5000:
+                yield flush()
         for window in _settle(packer.drain(), capacity):
             emit(window)
         yield flush()

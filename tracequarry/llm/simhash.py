@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracequarry.llm.common import arrow_schema, materialize
+from tracequarry.llm.common import arrow_schema, bounded_batches, materialize
 from tracequarry.llm.graph import components
 
 BITS = 64
@@ -45,6 +45,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, keep: list[Column | str] | N
     df = docs.select(*(keep or ["doc_id"]), F.col("text").alias("__text"))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1]) + ", fp bigint"
     target = arrow_schema(ddl)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,12 +12,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracequarry.llm.common import arrow_schema, materialize
+from tracequarry.llm.common import arrow_schema, bounded_batches, materialize
 
 #: At most so many labelled rows, the least by a hash of doc_id, teach the lexicon and the weights.
 SAMPLE_ROWS = 20_000
 #: At most so many lexicon entries and exceptions, the strongest first.
 TERMS, EXCEPTIONS = 3_000, 50_000
+#: Different words or entries that a worker holds at a time.
+HELD = 100_000
 STEM_SIZES = range(4, 9)
 FUZZY_LEAST = 5
 WINDOW = 6
@@ -181,19 +183,27 @@ def _entries(text: str | None) -> set[str]:
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(entry, fold, toxic, documents) of a partition."""
     seen: Counter = Counter()
+
+    def flush() -> pa.RecordBatch:
+        keys = list(seen)
+        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())], names=["entry", "half", "toxic", "n"])
+        seen.clear()
+        return out
+
     for batch in batches:
-        for half, toxic, text in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-            seen.update((e, half, toxic) for e in _entries(text))
-    keys = list(seen)
-    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())], names=["entry", "half", "toxic", "n"])
+        for half, toxic, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+            seen.update((e, half.as_py(), toxic.as_py()) for e in _entries(text.as_py()))
+            if len(seen) > HELD:
+                yield flush()
+    yield flush()
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, toxic and four least hashes of word triples, by which copies are told."""
     for batch in batches:
         rows = []
-        for text in batch.column(2).to_pylist():
-            words = (text or "").lower().split()
+        for text in batch.column(2):
+            words = (text.as_py() or "").lower().split()
             h = np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))], dtype=np.uint64)
             with np.errstate(over="ignore"):
                 rows.append([int(((h * np.uint64(m)) >> np.uint64(1)).min()) for m in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)])
@@ -238,6 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int =
     Of rows that share one of four min-hashes only the first teaches, so groups of copies don't make their words look
     telling. The weights are fitted on rows scored with the lexicon of the other half.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.filter("doc_id is not null and toxic is not null").filter(usable).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = materialize(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text"), "toxicity-sample")
@@ -260,8 +271,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int =
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memos: list[dict] = [{}, {}]
         for batch in batches:
-            half, toxic, texts = (batch.column(i).to_pylist() for i in range(3))
-            x = [features(t, by_half[h], memos[h]) for h, t in zip(half, texts, strict=True)]
+            half, toxic = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            x = []
+            for h, text in zip(half, batch.column(2), strict=True):
+                x.append(features(text.as_py(), by_half[h], memos[h]))
+                if len(memos[h]) > HELD:
+                    memos[h].clear()
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(toxic, pa.int32())], names=["x", "toxic"])
 
     got = rows.mapInArrow(measured, "x array<double>, toxic int").collect()
@@ -274,21 +289,24 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int =
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """The kept columns with toxicity (0 to 1). Null and empty texts get the score of a text without hits."""
-    df = docs.select(*(keep or ["doc_id"]), F.col("text").alias("__text"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1]) + ", toxicity double"
-    target = arrow_schema(ddl)
+    keep = keep or ["doc_id"]
+    bounded_batches(docs.sparkSession)
+    df = docs.select(*keep, *([] if "text" in keep else ["text"]))  # texts go through once
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[: len(keep)]) + ", toxicity double"
+    target, n, at_text = arrow_schema(ddl), len(keep), df.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
         for batch in batches:
-            n = batch.num_columns - 1
-            x = []
-            for text in batch.column(n):
-                x.append(features(text.as_py(), model.lexicon, memo))
-                if len(memo) > 300_000:
-                    memo.clear()
-            p = 1 / (1 + np.exp(-np.clip(np.array(x).reshape(-1, N_FEATURES) @ model.weights, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(p)], schema=target)
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                x = []
+                for text in part.column(at_text):
+                    x.append(features(text.as_py(), model.lexicon, memo))
+                    if len(memo) > HELD:
+                        memo.clear()
+                p = 1 / (1 + np.exp(-np.clip(np.array(x).reshape(-1, N_FEATURES) @ model.weights, -30, 30)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(p)], schema=target)
 
     return df.mapInArrow(run, ddl)
 
