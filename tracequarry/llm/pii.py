@@ -11,13 +11,21 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 IP = rf"(?<![A-Za-z0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![A-Za-z0-9]|\.[0-9])"
 CARD = r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])"
 SSN = r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"
-PHONE = r"(?<![A-Za-z0-9+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![A-Za-z0-9])|(?<![A-Za-z0-9+(])\+[0-9]{7,15}(?![A-Za-z0-9])"
+# A plus and 7 to 15 digits in any groups, then national forms: (030) 555-0001, 06 12 34 56 78, 030/1234567.
+_PLUS = r"(?<![A-Za-z0-9+(])\+(?:[0-9](?:[ ./-]?\(|\)[ ./-]?|[ ./-])?){6,14}[0-9](?![A-Za-z0-9])"
+_PAIRS = r"(?<![A-Za-z0-9+(.,/-])0[1-9](?:[ .-][0-9]{2}){4}(?![A-Za-z0-9])"
+_AREA = r"(?<![A-Za-z0-9+(.,/-])(?:\(0[1-9][0-9]{1,4}\)[ /-]?|0[1-9][0-9]{1,4}(?:\x20/\x20|[ /-]))(?:[0-9][ -]?){3,8}[0-9](?![A-Za-z0-9])"
+PHONE = rf"{_PLUS}|{_PAIRS}|{_AREA}|" r"(?<![A-Za-z0-9+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![A-Za-z0-9])|(?<![A-Za-z0-9+(])\+[0-9]{7,15}(?![A-Za-z0-9])"
 # Titles that say a person's gender, by gender.
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "г-н", "господин", "κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Mlle", "Señora", "Señorita", "Sra", "Srta", "Doña", "г-жа", "госпожа", "κυρία")
 NEUTRAL = ("Dr", "Prof", "Mx")
 TITLE = "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True))
-NAME = rf"(?<![\p{{L}}-])(?:{TITLE})\.?\x20\p{{Lu}}[\p{{L}}'-]{{1,40}}(?:\x20\p{{Lu}}[\p{{L}}'-]{{1,40}})?"
+TITLES = rf"(?:(?:{TITLE})\.?\x20)+"
+_WORD = r"(?:\p{Lu}[\p{L}'-]{1,40}|\p{Lu}\.(?=\x20\p{Lu}))"
+_PARTICLE = r"(?:\x20(?:von|vom|van|zu|zum|zur|den|der|ter|ten|de|del|della|di|da|du|des|la|le|dos|y))"
+# Names end after 200 words at the latest, as the pattern's groups are matched by recursion.
+NAME = rf"(?<![\p{{L}}-]){TITLES}{_WORD}(?:{_PARTICLE}{{0,3}}\x20{_WORD}){{0,199}}"
 ENTITY = "|".join((EMAIL, IP, CARD, SSN, PHONE, NAME))
 #: What a text must hold for the pattern to be tried at all.
 HINT = rf"[0-9@]|(?:{TITLE})\.?\x20"
@@ -119,8 +127,8 @@ def surrogate(key: str, kind: Column, value: Column) -> Column:
     Card, phone and SSN digits and addresses are permuted (see permuted), so their surrogates differ just if they do;
     separators stay, and so do a phone's country code and whether a card number passes Luhn's test. A mailbox becomes
     syllables (of 60**8 words) under the reserved domain example.org, with digits if it had some; case is ignored. A
-    person keeps the title, gets a given name of the title's gender in the name's script if there was one, and a surname
-    of six syllables.
+    person keeps the title. Each given name becomes one of the title's gender in its script, with five syllables more (an
+    initial becomes an initial), and the last word a surname of six syllables; each depends on its own word alone.
     """
     digits = F.regexp_replace(value, "[^0-9]", "")
 
@@ -145,19 +153,29 @@ def surrogate(key: str, kind: Column, value: Column) -> Column:
         tail = F.when(F.regexp_extract(low, "^[^@]*", 0).rlike("[0-9]"), _number(key, F.lit("mailbox"), low, modulus=F.lit(90)) + 10).cast("string")
         return F.concat(F.concat_ws(".", box, tail), F.lit("@example.org"))
 
-    def name(v: Column) -> Column:
-        title = F.regexp_extract(v, rf"^(?:{TITLE})\.?\x20", 0)
-        rest = F.substring(v, F.length(title) + 1, F.length(v))
-        bare = F.regexp_replace(title, r"[. ]+$", "")
-        gender = F.when(bare.isin(*MALE), "m").when(bare.isin(*FEMALE), "f").otherwise("n")
-        script = F.when(rest.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(rest.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
-        surname = F.substring_index(rest, " ", -1)
-        given = F.lit(None).cast("string")
+    def script(word: Column) -> Column:
+        return F.when(word.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
+
+    def given(word: Column, gender: Column) -> Column:
+        first = F.lit(None).cast("string")
         for s, genders in GIVEN.items():
             for g, names in genders.items():
-                given = F.when((script == s) & (gender == g), F.element_at(F.array(*map(F.lit, names)), (_number(key, F.lit("given"), rest, modulus=F.lit(len(names))) + 1).cast("int"))).otherwise(given)
-        given = F.when(rest.contains(" "), F.concat(given, F.lit(" "))).otherwise("")
-        return F.concat(title, given, F.initcap(_syllables(key, "surname", F.concat_ws(" ", F.when(rest.contains(" "), F.substring_index(rest, " ", 1)), surname), script, 6)))
+                first = F.when((script(word) == s) & (gender == g), F.element_at(F.array(*map(F.lit, names)), (_number(key, F.lit("given"), word, modulus=F.lit(len(names))) + 1).cast("int"))).otherwise(first)
+        whole = F.concat(first, _syllables(key, "given", word, script(word), 5))
+        return F.when(word.rlike(r"^\p{Ll}"), word).when(word.endswith("."), F.concat(F.substring(first, 1, 1), F.lit("."))).otherwise(whole)
+
+    def name(v: Column) -> Column:
+        title = F.regexp_extract(v, rf"^{TITLES}", 0)
+        parts = F.split(F.substring(v, F.length(title) + 1, F.length(v)), " ")
+        titles = F.split(title, "[. ]+")
+        gender = F.when(F.arrays_overlap(titles, F.array(*map(F.lit, MALE))), "m").when(F.arrays_overlap(titles, F.array(*map(F.lit, FEMALE))), "f").otherwise("n")
+
+        def full(x: Column) -> Column:
+            before = F.transform(F.slice(x["parts"], F.lit(1), F.size(x["parts"]) - 1), lambda w: given(w, x["gender"]))
+            last = F.element_at(x["parts"], -1)
+            return F.concat(x["title"], F.array_join(F.concat(before, F.array(F.initcap(_syllables(key, "surname", last, script(last), 6)))), " "))
+
+        return _let(F.struct(title.alias("title"), parts.alias("parts"), gender.alias("gender")), full)
 
     return (
         F.when(kind == "email", email(value))
@@ -171,19 +189,38 @@ def surrogate(key: str, kind: Column, value: Column) -> Column:
 
 def identity(kind: Column, value: Column) -> Column:
     """What two mentions share just if they mean the same: form doesn't matter, a person's title doesn't either."""
-    bare = F.regexp_replace(value, rf"^(?:{TITLE})\.?\x20", "")
+    bare = F.regexp_replace(value, rf"^{TITLES}", "")
     return F.when(kind == "email", F.lower(value)).when(kind == "name", bare).when(kind == "ip", F.regexp_replace(value, r"(^|\.)0+(?=[0-9])", "$1")).otherwise(F.regexp_replace(value, "[^0-9+]", ""))
 
 
-def entities(text: Column) -> Column:
-    """Matches of the one pattern, in order, for texts that hold a hint of one."""
+def _bare(name: Column) -> Column:
+    return F.regexp_replace(name, rf"^{TITLES}", "")
+
+
+def _names(hits: Column) -> Column:
+    return F.filter(hits, lambda v: v.rlike(rf"^{TITLES}"))
+
+
+def pattern(hits: Column) -> Column:
+    """ENTITY, and after titled names among the hits also these names and their last words without a title."""
+    bare = F.transform(_names(hits), _bare)
+    forms = F.array_distinct(F.concat(bare, F.transform(bare, lambda v: F.substring_index(v, " ", -1))))
+    longest = F.transform(F.array_sort(F.transform(forms, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))), lambda x: F.concat(F.lit("\\Q"), x["v"], F.lit("\\E")))
+    again = F.concat(F.lit(ENTITY + r"|(?<![\p{L}-])(?=\p{Lu})(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}-])"))
+    return F.when(F.size(bare) > 0, again).otherwise(F.lit(ENTITY))
+
+
+def titled(text: Column) -> Column:
+    """Matches of ENTITY, in order, for texts that hold a hint of one."""
     none = F.array().cast("array<string>")
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(none)
 
 
 def collisions(docs: DataFrame, key: str) -> int:
-    """How many surrogates different entities of one kind share in this corpus."""
-    found = docs.select(F.explode(entities(F.col("text"))).alias("value")).distinct()
+    """How many surrogates different entities of one kind share in this corpus; names as a whole, and last words."""
+    hits = docs.select(titled(F.col("text")).alias("hits")).filter(F.size("hits") > 0)
+    values = F.concat("hits", F.transform(_names(F.col("hits")), lambda v: F.substring_index(v, " ", -1)))
+    found = hits.select(F.explode(values).alias("value")).distinct()
     known = found.withColumn("kind", kind_of(F.col("value"))).withColumn("who", identity(F.col("kind"), F.col("value")))
     made = known.withColumn("surrogate", surrogate(key, F.col("kind"), F.col("value"))).withColumn("as", identity(F.col("kind"), F.col("surrogate")))
     shared = made.groupBy("kind", "as").agg(F.min("who").alias("a"), F.max("who").alias("b")).filter("a <> b")
@@ -199,6 +236,9 @@ def replace_private(docs: DataFrame, key: str = "surrogates", tries: int = 8) ->
     likely as n**2 / 2 / 60**8 (mailboxes) or / 60**6 (surnames), so a corpus too large for surnames ends in an error
     after `tries` keys, never in a silent merge.
 
+    A name is found behind its titles. In the same document the whole name and its last word are then replaced without a
+    title too, with the same given and last names.
+
     Null text stays null, texts without entities and all other columns are unchanged (a column named entities is
     replaced). Repeated rows stay. Empty table: no rows. Narrow, but for the check, which moves only distinct entities.
     """
@@ -209,9 +249,24 @@ def replace_private(docs: DataFrame, key: str = "surrogates", tries: int = 8) ->
     else:
         raise ValueError(f"surrogates collide under {tries} keys")
     others = [c for c in docs.columns if c != "entities"]
-    found = docs.select(*others, entities(F.col("text")).alias("__hits"))
-    gaps = F.when(F.size("__hits") > 0, F.split("text", ENTITY, -1))
-    made = F.transform("__hits", lambda v: _let(kind_of(v), lambda k: F.struct(k.alias("kind"), v.alias("value"), surrogate(used, k, v).alias("surrogate"))))
+    first = docs.select(*others, titled(F.col("text")).alias("__first"))
+    tried = first.select("*", F.when(F.size(_names(F.col("__first"))) > 0, pattern(F.col("__first"))).alias("__again"))
+    hits = F.when(F.col("__again").isNotNull(), F.regexp_extract_all("text", F.col("__again"), F.lit(0))).otherwise(F.col("__first"))
+    found = tried.select("*", hits.alias("__hits"))
+    gaps = F.when(F.size("__hits") > 0, F.split("text", F.coalesce("__again", F.lit(ENTITY)), -1))
+
+    def replaced(v: Column) -> Column:
+        # A name without a title is replaced like the first titled mention of it, which tells its gender.
+        own = v.rlike(rf"^{TITLES}")
+        like = F.when((kind_of(v) == "name") & ~own, F.coalesce(F.get(F.filter(_names(F.col("__first")), lambda t: _bare(t) == v), F.lit(0)), v)).otherwise(v)
+
+        def one(x: Column) -> Column:
+            new = surrogate(used, x["kind"], x["like"])
+            return F.struct(x["kind"].alias("kind"), v.alias("value"), F.when(x["like"] == v, new).otherwise(_bare(new)).alias("surrogate"))
+
+        return _let(F.struct(kind_of(v).alias("kind"), like.alias("like")), one)
+
+    made = F.transform("__hits", replaced)
     cut = found.select("*", gaps.alias("__gaps"), F.when(F.size("__hits") > 0, made).alias("__made"))
 
     def place(s: Column, x: Column) -> Column:
