@@ -1,13 +1,13 @@
 import re
 
-from tracequarry.llm.pii import collisions, replace_private
+from tracequarry.llm.pii import collisions, made_up, replace_private
 
 WORD = "[A-Z][a-z]+"
 
 
 def replaced(spark, *texts):
     rows = list(enumerate(texts))
-    out = {r.doc_id: r for r in replace_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = {r.doc_id: r for r in replace_private(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
     for i, text in rows:
         assert all(text[e.start : e.end] == e.value for e in out[i].entities)
     return [out[i].text for i, _ in rows]
@@ -31,7 +31,7 @@ def test_mentions_refer_to_each_other(spark):
 def test_given_names_of_one_surname_differ(spark):
     names = [f"Mr {chr(65 + i % 26)}{chr(97 + i // 26)}na Smith" for i in range(300)]
     df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "doc_id long, text string")
-    assert collisions(df, "surrogates/0") == 0
+    assert collisions(made_up(df), "k/0") == 0
 
 
 def test_european_phones(spark):

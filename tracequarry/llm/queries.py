@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tracequarry.llm.common import table
@@ -13,6 +15,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The session's setting spark.tracequarry.pii.key; unset: a fresh key, so surrogates hold for one run."""
+    return spark.conf.get("spark.tracequarry.pii.key", None) or secrets.token_hex(32)
+
+
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracequarry.llm.chat import format_messages
 
@@ -59,7 +66,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracequarry.llm.pii import replace_private
 
-    return replace_private(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return replace_private(table(spark, sf_dir, "documents").select("doc_id", "text"), surrogate_key(spark))
 
 
 def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
