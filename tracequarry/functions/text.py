@@ -39,22 +39,38 @@ def whole_words(alternatives: str) -> str:
     return rf"(^|[^\p{{L}}\p{{N}}_])({alternatives})([^\p{{L}}\p{{N}}_]|$)"
 
 
-def phrase_hit(lowered: Column, phrase: str) -> Column:
-    """Phrases of several words are looked for as they stand."""
-    return lowered.contains(phrase) if " " in phrase else lowered.rlike(phrase_pattern(phrase))
+def _let(value: Column, body) -> Column:
+    """body(value) with value evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def found_in(lowered: Column, words: Column, phrases: list[str]) -> Column:
+    """How many of the phrases occur: single words among the text's words, others as they stand."""
+    single = [p for p in phrases if re.fullmatch("[a-z0-9]+", p)]
+    others = [lowered.contains(p) if " " in p else lowered.rlike(phrase_pattern(p)) for p in phrases if p not in single]
+    own = F.size(F.array_intersect(words, F.array(*map(F.lit, single)).cast("array<string>"))).cast("long")
+    return own + total(others)
+
+
+def prepared(text: Column) -> Column:
+    """struct<low, words>: the text in small letters between spaces, and its different runs of a-z and 0-9."""
+    lowered = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
+    return _let(lowered, lambda low: F.struct(low.alias("low"), F.array_distinct(F.split(low, "[^a-z0-9]+")).alias("words")))
 
 
 def hits(text: Column, phrases: list[str]) -> Column:
     """How many of the phrases occur."""
-    lowered = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    return total([phrase_hit(lowered, p) for p in phrases])
+    return _let(prepared(text), lambda p: found_in(p["low"], p["words"], phrases))
 
 
-def procedural_score(text: Column, keywords: list[str] = COMPUTER_KEYWORDS, markers: list[str] = PROCEDURAL_MARKERS, steps: list[str] = STEP_WORDS) -> Column:
+def score_of(p: Column, keywords: list[str], markers: list[str], steps: list[str]) -> Column:
     """Two for each keyword that occurs, one for each marker, one for each occurrence of a step word."""
-    lowered = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    words = F.regexp_count(lowered, F.lit(rf"(?U)\b({'|'.join(steps)})\b")).cast("long")
-    return 2 * hits(text, keywords) + total([lowered.contains(m) for m in markers]) + words
+    words = F.regexp_count(p["low"], F.lit(rf"(?U)\b({'|'.join(steps)})\b")).cast("long")
+    return 2 * found_in(p["low"], p["words"], keywords) + total([p["low"].contains(m) for m in markers]) + words
+
+
+def procedural_score(text: Column, keywords: list[str] = COMPUTER_KEYWORDS, markers: list[str] = PROCEDURAL_MARKERS, steps: list[str] = STEP_WORDS) -> Column:
+    return _let(prepared(text), lambda p: score_of(p, keywords, markers, steps))
 
 
 def any_marker(text: Column, markers: list[str]) -> Column:
@@ -71,6 +87,19 @@ def is_identifier_like(value: Column) -> Column:
     return (F.length(value) >= 3) & value.rlike("[_/0-9]")
 
 
+def is_failure(text: Column) -> Column:
+    return any_marker(text, FAILURE_MARKERS)
+
+
+def is_success(text: Column) -> Column:
+    """Markers stand as they are, in quotation marks."""
+    return reduce(lambda a, b: a | b, [text.contains(m) for m in SUCCESS_MARKERS])
+
+
+def expects_recovery(text: Column) -> Column:
+    return any_marker(text, RECOVERY_MARKERS)
+
+
 def is_opaque_name(name: Column) -> Column:
     return name.rlike(r"^(operation|tool|function)_\d+_[0-9a-f]+$")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracequarry.functions import text as T
-from tracequarry.operators.ordering import global_ordinal
+from tracequarry.operators.ordering import global_ordinal, sequence_digest, sequence_digest_sql
 from tracequarry.operators.trace import latest_observations, recoveries
 from tracequarry.plans.catalog import query
 from tracequarry.sources.tables import RESPONSES, TRACE, responses, table, trace, with_sql
@@ -58,10 +58,11 @@ def a16_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses(spark, sf_dir).agg(F.count_if("ok").alias("accepted"), F.round(F.sum("elapsed"), 3).alias("elapsed"), F.round(F.count_if("ok") / (F.sum("elapsed") / 3600), 3).alias("accepted_per_hour"), F.max("elapsed").alias("slowest"))
 
 
-@query(with_sql(TRACE) + "SELECT episode_id, step, tool, 64 - step AS remaining_steps FROM trace WHERE step <= 64")
+@query(with_sql(TRACE) + "SELECT episode_id, step, tool, greatest(64 - step, 0) AS remaining_steps, step > 64 AS over_budget FROM trace")
 def p18_policy_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a policy may see: no branches, errors or values."""
-    return trace(spark, sf_dir).filter("step <= 64").select("episode_id", "step", "tool", (F.lit(64) - F.col("step")).alias("remaining_steps"))
+    """What a policy may see: no branches, errors or values. Steps beyond the budget are marked."""
+    left = F.greatest(F.lit(64) - F.col("step"), F.lit(0).cast("long"))
+    return trace(spark, sf_dir).select("episode_id", "step", "tool", left.alias("remaining_steps"), (F.col("step") > 64).alias("over_budget"))
 
 
 @query(with_sql(TRACE) + "SELECT episode_id, concat_ws(';', CASE WHEN count(error_code) > 0 THEN 'errors=' || count(error_code) END, CASE WHEN count(*) FILTER (tool = 'purchase') = 0 THEN 'no_purchase' END, 'steps_diagnostic={\"steps\":' || count(*) || '}') AS feedback FROM trace GROUP BY episode_id")
@@ -72,12 +73,19 @@ def p21_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("episode_id", F.array_join(parts, ";").alias("feedback"))
 
 
-@query(with_sql(TRACE) + "SELECT episode_id, string_agg(consumed, ',' ORDER BY step) FILTER (tool = 'click') AS calls, string_agg(consumed, ',' ORDER BY step) FILTER (tool = 'purchase') AS results, coalesce(string_agg(consumed, ',' ORDER BY step) FILTER (tool = 'click') = string_agg(consumed, ',' ORDER BY step) FILTER (tool = 'purchase'), false) AS balanced FROM trace GROUP BY episode_id")
+_CALLS = "o AS (SELECT episode_id, tool, consumed, row_number() OVER (PARTITION BY episode_id, tool ORDER BY step) AS i FROM trace WHERE tool IN ('click', 'purchase')), d AS (" + sequence_digest_sql("o", "episode_id, tool", "i", "consumed", "digest") + "), n AS (SELECT episode_id, count(*) FILTER (tool = 'click') AS calls, count(*) FILTER (tool = 'purchase') AS results FROM trace GROUP BY 1)"
+
+
+@query(with_sql(TRACE, _CALLS) + "SELECT n.episode_id, calls, results, c.digest AS call_digest, r.digest AS result_digest, coalesce(c.digest = r.digest, false) AS balanced FROM n LEFT JOIN d c ON c.episode_id = n.episode_id AND c.tool = 'click' LEFT JOIN d r ON r.episode_id = n.episode_id AND r.tool = 'purchase'")
 def v14_balanced_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of calls and of results in order; balanced if both lists are the same."""
-    listed = lambda tool: F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("tool") == tool, F.struct("step", "consumed")))), lambda s: s["consumed"]), ","), F.lit(""))
-    g = trace(spark, sf_dir).groupBy("episode_id").agg(listed("click").alias("calls"), listed("purchase").alias("results"))
-    return g.withColumn("balanced", F.coalesce(F.col("calls") == F.col("results"), F.lit(False)))
+    """Calls and results of an episode; balanced if their ids in order are the same, told by digests of the two lists."""
+    t = trace(spark, sf_dir)
+    o = t.filter(F.col("tool").isin("click", "purchase")).withColumn("i", F.row_number().over(Window.partitionBy("episode_id", "tool").orderBy("step")))
+    d = sequence_digest(o, ["episode_id", "tool"], "i", "consumed", "digest")
+    of = lambda tool: F.max(F.when(F.col("tool") == tool, F.col("digest")))
+    both = d.groupBy("episode_id").agg(of("click").alias("call_digest"), of("purchase").alias("result_digest"))
+    n = t.groupBy("episode_id").agg(F.count_if(F.col("tool") == "click").alias("calls"), F.count_if(F.col("tool") == "purchase").alias("results"))
+    return n.join(both, "episode_id", "left").withColumn("balanced", F.coalesce(F.col("call_digest") == F.col("result_digest"), F.lit(False)))
 
 
 @query(with_sql(TRACE, SOURCED, "n AS (SELECT episode_id, min(step) FILTER (error_code IS NOT NULL) AS divergence FROM trace GROUP BY 1)") + "SELECT n.episode_id, divergence, count(s.step) FILTER (s.source_step < divergence) AS seen_before, count(s.step) FILTER (s.source_step < divergence) > 0 AS grounded FROM n LEFT JOIN sourced s ON s.episode_id = n.episode_id WHERE divergence IS NOT NULL GROUP BY n.episode_id, divergence")
@@ -102,15 +110,17 @@ def c16_closed_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.groupBy("episode_id", "axis").agg(F.min("measured").alias("measured"), F.min("controlled").alias("controlled"), read.alias("read_back")).filter("read_back is not null")
 
 
-@query(with_sql(TRACE) + "SELECT d.doc_id AS id, coalesce(string_agg(DISTINCT e.error_code, ',' ORDER BY e.error_code), '') AS leaked FROM (SELECT doc_id, upper(substr(text, 1, 400)) AS head FROM documents WHERE doc_id % 2 = 0) d LEFT JOIN (SELECT DISTINCT error_code FROM trace WHERE error_code IS NOT NULL) e ON contains(d.head, replace(e.error_code, 'E', 'E')) GROUP BY d.doc_id")
+@query(with_sql(TRACE, "c AS (SELECT DISTINCT error_code FROM trace WHERE error_code IS NOT NULL)", "t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(upper(text), 'E[0-9]+'))) AS code FROM documents)", "l AS (SELECT doc_id, string_agg(code, ',' ORDER BY code) AS leaked FROM t WHERE code IN (SELECT error_code FROM c) GROUP BY 1)") + "SELECT doc_id AS id, coalesce(leaked, '') AS leaked FROM documents LEFT JOIN l USING (doc_id)")
 def c20_route_hiding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error codes that an instruction (a text's head) gives away. Codes are few and checked to be, so they go along as a literal."""
-    codes = sorted(r[0] for r in trace(spark, sf_dir).select("error_code").filter("error_code is not null").distinct().limit(101).collect())
-    if len(codes) > 100:
-        raise ValueError("too many codes for one expression")
-    head = F.upper(F.substring("text", 1, 400))
-    found = F.array_compact(F.array(*[F.when(head.contains(c), F.lit(c)) for c in codes])) if codes else F.array().cast("array<string>")
-    return table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.array_join(found, ",").alias("leaked"))
+    """Error codes that an instruction (a whole text) gives away.
+
+    What looks like a code is joined with the codes there are, however many, so no list of codes goes along.
+    """
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    codes = trace(spark, sf_dir).select(F.col("error_code").alias("code")).filter("code is not null").distinct()
+    seen = d.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit("E[0-9]+"), F.lit(0)))).alias("code"))
+    leaked = seen.join(codes, "code", "left_semi").groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("leaked"))
+    return d.select("id").join(leaked, "id", "left").na.fill("", ["leaked"])
 
 
 PROFILE = "p AS (SELECT episode_id, count(*) AS steps, count(DISTINCT tool) AS tools, count(DISTINCT branch) AS branches, count(DISTINCT produced) AS handles FROM trace GROUP BY 1)"
@@ -154,28 +164,33 @@ def x5_cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses(spark, sf_dir).groupBy(key.alias("key")).agg(F.count("*").alias("uses"), F.bool_or("ok").alias("cached"))
 
 
-@query(with_sql(RESPONSES, "a AS (SELECT id, ok, unnest(range(1, CASE WHEN ok THEN 2 ELSE CAST(id % 4 + 2 AS BIGINT) END)) AS attempt FROM responses)") + "SELECT id, count(*) AS attempts, sum(attempt - 1) * 2.0::DOUBLE AS waited, bool_or(ok) AS ok FROM a GROUP BY id")
+@query(with_sql(TRACE, "q AS (SELECT *, coalesce(sum(CASE WHEN error_code IS NULL OR error_code = 'E4' THEN 1 ELSE 0 END) OVER (PARTITION BY episode_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS request FROM trace)") + "SELECT episode_id, request, count(*) AS attempts, (count(*) * (count(*) - 1))::DOUBLE AS waited, bool_or(error_code IS NULL) AS ok, coalesce(bool_or(error_code = 'E4'), false) AS rejected FROM q GROUP BY episode_id, request")
 def l2_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attempts of every request and the seconds that a linear backoff of two waited."""
-    n = F.when(F.col("ok"), F.lit(1).cast("long")).otherwise(F.col("id") % 4 + 1)
-    return responses(spark, sf_dir).select("id", n.alias("attempts"), (n * (n - 1) / 2 * 2.0).alias("waited"), "ok")
+    """Requests and their attempts: an error is a failed attempt that the next step repeats, but E4, which is permanent
+    and ends the request. waited: seconds of a backoff that grows by two with every attempt."""
+    ends = (F.col("error_code").isNull() | (F.col("error_code") == "E4")).cast("int")
+    before = Window.partitionBy("episode_id").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    q = trace(spark, sf_dir).withColumn("request", F.coalesce(F.sum(ends).over(before), F.lit(0)).cast("long"))
+    n = F.count("*")
+    return q.groupBy("episode_id", "request").agg(n.alias("attempts"), (n * (n - 1)).cast("double").alias("waited"), F.bool_or(F.col("error_code").isNull()).alias("ok"), F.coalesce(F.bool_or(F.col("error_code") == "E4"), F.lit(False)).alias("rejected"))
+
+
+_RENDERED = "r AS (SELECT episode_id, step, i AS rendering, CASE WHEN i = 0 THEN tool ELSE tool || '_' || i END AS name FROM trace, (SELECT unnest([0, 1, 2]) AS i)), d AS (" + sequence_digest_sql("r", "episode_id, rendering", "step", "name", "trace_hash") + ")"
 
 
-@query(with_sql(TRACE) + "SELECT e.episode_id, r.i AS rendering, CASE WHEN r.i = 0 THEN 'canonical' ELSE 'seed_' || r.i END AS kind, sha256(string_agg(CASE WHEN r.i = 0 THEN tool ELSE tool || '_' || r.i END, ',' ORDER BY step)) AS trace_hash FROM trace e, (SELECT unnest([0, 1, 2]) AS i) r WHERE step <= 20 GROUP BY e.episode_id, r.i")
+@query(with_sql(TRACE, _RENDERED) + "SELECT episode_id, rendering, CASE WHEN rendering = 0 THEN 'canonical' ELSE 'seed_' || rendering END AS kind, trace_hash FROM d")
 def m4_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canonical sample of every episode and two renderings: aggregated once, then multiplied."""
-    steps = F.array_sort(F.collect_list(F.struct("step", "tool")))
-    e = trace(spark, sf_dir).filter("step <= 20").groupBy("episode_id").agg(steps.alias("s"))
-    r = e.withColumn("rendering", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    name = F.transform("s", lambda x: F.when(F.col("rendering") == 0, x["tool"]).otherwise(F.concat_ws("_", x["tool"], F.col("rendering").cast("string"))))
-    return r.select("episode_id", "rendering", F.when(F.col("rendering") == 0, "canonical").otherwise(F.concat(F.lit("seed_"), F.col("rendering").cast("string"))).alias("kind"), F.sha2(F.array_join(name, ","), 256).alias("trace_hash"))
+    """The canonical sample of every whole episode and two renderings."""
+    r = trace(spark, sf_dir).select("episode_id", "step", "tool").withColumn("rendering", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    i = F.col("rendering").cast("string")
+    r = r.withColumn("name", F.when(F.col("rendering") == 0, F.col("tool")).otherwise(F.concat_ws("_", "tool", i)))
+    return sequence_digest(r, ["episode_id", "rendering"], "step", "name", "trace_hash").select("episode_id", "rendering", F.when(F.col("rendering") == 0, "canonical").otherwise(F.concat(F.lit("seed_"), i)).alias("kind"), "trace_hash")
 
 
-@query(with_sql(TRACE, "g AS (SELECT episode_id, sha256(string_agg(tool, '>' ORDER BY step) FILTER (step <= 3)) AS fp FROM trace GROUP BY 1)") + "SELECT fp AS fingerprint, min(episode_id) AS id, count(*) AS episodes, 'tier' || (min(episode_id) % 3) AS tier FROM g GROUP BY fp")
+@query(with_sql(TRACE, "g AS (" + sequence_digest_sql("trace", "episode_id", "step", "tool", "fp") + ")") + "SELECT fp AS fingerprint, min(episode_id) AS id, count(*) AS episodes, 'tier' || (min(episode_id) % 3) AS tier FROM g GROUP BY fp")
 def m3_export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Episodes for export, one of each shape (first three tools), with a tier label."""
-    steps = F.array_sort(F.collect_list(F.when(F.col("step") <= 3, F.struct("step", "tool"))))
-    g = trace(spark, sf_dir).groupBy("episode_id").agg(F.sha2(F.array_join(F.transform(steps, lambda s: s["tool"]), ">"), 256).alias("fingerprint"))
+    """Episodes for export, one of each shape (the whole sequence of tools), with a tier label."""
+    g = sequence_digest(trace(spark, sf_dir), ["episode_id"], "step", "tool", "fingerprint")
     return g.groupBy("fingerprint").agg(F.min("episode_id").alias("id"), F.count("*").alias("episodes")).withColumn("tier", F.concat(F.lit("tier"), (F.col("id") % 3).cast("string")))
 
 
@@ -201,8 +216,8 @@ def x17_json_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.col("url").alias("path"), T.pointer_token(F.col("url")).alias("pointer"))
 
 
-@query("WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM documents WHERE lang = 'fr') SELECT doc_id AS id, CAST((i - 1) % 4 AS BIGINT) AS worker FROM o")
+@query("WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM documents) SELECT doc_id AS id, CAST((i - 1) % 4 AS BIGINT) AS worker FROM o")
 def l3_ordered_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests dealt to four workers in input order."""
-    d = global_ordinal(table(spark, sf_dir, "documents").filter("lang = 'fr'").select(F.col("doc_id").alias("id")), "id")
+    d = global_ordinal(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), "id")
     return d.select("id", ((F.col("ordinal") - 1) % 4).alias("worker"))

@@ -8,9 +8,11 @@ from pyspark.sql.window import Window, WindowSpec
 
 from tracequarry.functions import text as T
 from tracequarry.operators.ordering import global_ordinal
+from tracequarry.operators.tools import TOOLS, alias, tools
 from tracequarry.plans.catalog import query
 from tracequarry.sources.tables import MESSAGES, TRACE, messages, trace, with_sql
 
+
 def turns() -> WindowSpec:
     """A conversation's messages in order."""
     return Window.partitionBy("id").orderBy("idx")
@@ -54,12 +56,13 @@ def a2_trajectory_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_rank(df: DataFrame, column: str, fractions: list[float]) -> DataFrame:
     """The value at rank round((n - 1) * p), ties to even, for each p; one row.
 
-    Ranks are read off the running counts of distinct values, so only those are ordered in one place.
+    The rank as a share of the rows, half a row up, is what the discrete percentile takes, so counts of values are merged
+    and no rows are ranked.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("rows"))
-    run = counts.select("v", F.sum("rows").over(Window.orderBy("v")).alias("upto"), F.sum("rows").over(Window.partitionBy()).alias("total"))
-    picks = [F.min(F.when(F.col("upto") > F.rint((F.col("total") - 1) * F.lit(p)), F.col("v"))).alias(f"p{round(p * 100)}") for p in fractions]
-    return run.agg(*picks)
+    known = df.filter(F.col(column).isNotNull())
+    n = max(known.count(), 1)
+    share = {p: (round((n - 1) * p) + 0.5) / n for p in fractions}
+    return known.agg(*[F.expr(f"percentile_disc({x!r}) WITHIN GROUP (ORDER BY `{column}`)").cast(df.schema[column].dataType).alias(f"p{round(p * 100)}") for p, x in share.items()])
 
 
 @query(with_sql(MESSAGES, "s AS (SELECT id, count(*) AS n FROM messages GROUP BY id)") + "SELECT (list_sort(list(n)))[CAST(round_even((count(*) - 1) * CAST(0.5 AS DOUBLE), 0) AS BIGINT) + 1] AS p50, (list_sort(list(n)))[CAST(round_even((count(*) - 1) * CAST(0.9 AS DOUBLE), 0) AS BIGINT) + 1] AS p90 FROM s")
@@ -102,12 +105,17 @@ def w1_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(spark, sf_dir).select("id", "idx", "role", before.alias("before"), F.lead("role").over(turns()).alias("after"), F.coalesce(before == F.col("role"), F.lit(False)).alias("repeated"))
 
 
-@query(with_sql(MESSAGES) + "SELECT id, idx, coalesce(length(string_agg(text, ' ') OVER w), 0) AS context_length, coalesce(contains(lower(string_agg(text, ' ') OVER w), lower(split_part(text, ' ', 1))), false) AS grounded FROM messages WINDOW w AS (PARTITION BY id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+@query(with_sql(MESSAGES, "words AS (SELECT id, idx, unnest(string_split(lower(text), ' ')) AS word FROM messages)", "first AS (SELECT id, word, min(idx) AS at FROM words GROUP BY 1, 2)") + "SELECT m.id, m.idx, coalesce(sum(length(text) + 1) OVER (PARTITION BY m.id ORDER BY m.idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1, 0)::BIGINT AS context_length, coalesce(f.at < m.idx, false) AS grounded FROM messages m LEFT JOIN first f ON f.id = m.id AND f.word = split_part(lower(text), ' ', 1)")
 def w2_running_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a message's first word occurs in the text of all messages before it."""
-    w = turns().rowsBetween(Window.unboundedPreceding, -1)
-    seen = messages(spark, sf_dir).withColumn("context", F.array_join(F.collect_list("text").over(w), " "))
-    return seen.select("id", "idx", F.length("context").cast("long").alias("context_length"), F.when(F.length("context") > 0, F.lower("context").contains(F.lower(F.substring_index("text", " ", 1)))).otherwise(False).alias("grounded"))
+    """The length of the text of all messages before one, and whether its first word is among their words.
+
+    Where a word first stands in a conversation is one aggregate, so the context itself is never built.
+    """
+    m = messages(spark, sf_dir)
+    before = F.sum(F.length("text").cast("long") + 1).over(turns().rowsBetween(Window.unboundedPreceding, -1)) - 1
+    seen = m.select("id", "idx", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("word")).groupBy("id", "word").agg(F.min("idx").alias("at"))
+    own = m.select("id", "idx", F.coalesce(before, F.lit(0)).alias("context_length"), F.substring_index(F.lower("text"), " ", 1).alias("word"))
+    return own.join(seen, ["id", "word"], "left").select("id", "idx", "context_length", F.coalesce(F.col("at") < F.col("idx"), F.lit(False)).alias("grounded"))
 
 
 @query(with_sql(TRACE) + "SELECT episode_id, step, tool, coalesce(tool = 'purchase' AND max(CASE WHEN error_code IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY episode_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1, false) AS recovered FROM trace")
@@ -174,13 +182,18 @@ def table_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-@query("""WITH n(name) AS (VALUES ('read_file'), ('file_status'), ('verify'), ('delete'), ('operation_3_ff'), ('api_key'), ('my_secret_x'), ('list_all'), ('statusx'), ('tool_x_1'))
-SELECT name, regexp_matches(name, '^(verify|read|get|list|search|poll)_') OR list_has_any(string_split(name, '_'), ['verify', 'status']) AS verifies,
-  regexp_matches(name, '^(operation|tool|function)_[0-9]+_[0-9a-f]+$') AS opaque, regexp_matches(name, 'password|secret|credential|api_key|private_key') AS sensitive FROM n""")
+_NAMES = TOOLS + ", n AS (SELECT id, 'own' AS origin, name FROM tools UNION ALL SELECT id, 'alias', 'tool_' || (id % 10) || '_' || substr(sha256('s1:tool:' || name), 1, 6) FROM tools UNION ALL SELECT id, 'argument', lower(replace(description, '#', '_')) || CASE WHEN id % 9 = 0 THEN '_api_key' ELSE '' END FROM tools)"
+
+
+@query("WITH " + _NAMES + """ SELECT id, origin, regexp_matches(name, '^(verify|read|get|list|search|poll)_') OR list_has_any(string_split(name, '_'), ['verify', 'status']) AS verifies,
+  regexp_matches(name, '^(operation|tool|function)_[0-9]+_[0-9a-f]+$') AS opaque, regexp_matches(lower(name), 'password|secret|credential|api_key|private_key') AS sensitive FROM n""")
 def f7_tool_name_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["read_file", "file_status", "verify", "delete", "operation_3_ff", "api_key", "my_secret_x", "list_all", "statusx", "tool_x_1"]
-    n = spark.createDataFrame([(x,) for x in names], "name string")
-    return n.select("name", T.is_verification_tool(F.col("name")).alias("verifies"), T.is_opaque_name(F.col("name")).alias("opaque"), T.is_sensitive(F.col("name")).alias("sensitive"))
+    """Tests of the tools' own names, of their aliases and of argument names."""
+    t = tools(spark, sf_dir)
+    argument = F.concat(F.lower(F.replace("description", F.lit("#"), F.lit("_"))), F.when(F.col("id") % 9 == 0, "_api_key").otherwise(""))
+    one = lambda origin, name: F.struct(F.lit(origin).alias("origin"), name.alias("name"))
+    n = t.select("id", F.explode(F.array(one("own", F.col("name")), one("alias", alias("tool", F.lit("s1"), F.col("name"), F.col("id") % 10)), one("argument", argument))).alias("n")).select("id", "n.*")
+    return n.select("id", "origin", T.is_verification_tool(F.col("name")).alias("verifies"), T.is_opaque_name(F.col("name")).alias("opaque"), T.is_sensitive(F.col("name")).alias("sensitive"))
 
 
 @query(with_sql(MESSAGES) + "SELECT id, CAST((row_number() OVER (ORDER BY id) - 1) // 16 AS BIGINT) AS shard FROM (SELECT DISTINCT id FROM messages)")

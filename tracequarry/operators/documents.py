@@ -71,9 +71,14 @@ def f1_length_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def selected(df: DataFrame, keywords=T.COMPUTER_KEYWORDS, strong=T.STRONG_KEYWORDS, core=T.CORE_KEYWORDS, markers=T.PROCEDURAL_MARKERS, steps=T.STEP_WORDS, least: int = 8) -> DataFrame:
-    """Rows whose score, strong and core hits and title make them procedural; the four measures are added."""
-    text = row_text(F.col("title"), F.col("body"))
-    scored = df.withColumn("score", T.procedural_score(text, keywords, markers, steps)).withColumn("strong", T.hits(text, strong)).withColumn("core", T.hits(text, core)).withColumn("title_core", T.hits(F.col("title"), core))
+    """id and the four measures of rows whose score, strong and core hits and title make them procedural.
+
+    A text is lowered and cut into words once for all measures. They come out of a generator, so that the filter can't be
+    pushed below it, which would evaluate them twice.
+    """
+    text = T.prepared(row_text(F.col("title"), F.col("body")))
+    measure = lambda p: F.struct(T.score_of(p, keywords, markers, steps).alias("score"), T.found_in(p["low"], p["words"], strong).alias("strong"), T.found_in(p["low"], p["words"], core).alias("core"), T.hits(F.col("title"), core).alias("title_core"))
+    scored = df.select("id", F.explode(F.transform(F.array(text), measure)).alias("m")).select("id", "m.*")
     return scored.filter((F.col("score") >= least) & (F.col("strong") >= 1) & (F.col("core") >= 1) & (F.col("title_core") >= 1))
 
 
@@ -102,8 +107,9 @@ def f3_stage1_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id AS id, {sql_hits('text', WORDS)} AS hits, {sql_hits('text', T.STRONG_KEYWORDS)} AS strong, {sql_hits('text', T.CORE_KEYWORDS)} AS core FROM documents")
 def f4_phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.hits(t, WORDS).alias("hits"), T.hits(t, T.STRONG_KEYWORDS).alias("strong"), T.hits(t, T.CORE_KEYWORDS).alias("core"))
+    count = lambda p: F.struct(*[T.found_in(p["low"], p["words"], w).alias(n) for n, w in (("hits", WORDS), ("strong", T.STRONG_KEYWORDS), ("core", T.CORE_KEYWORDS))])
+    found = F.explode(F.transform(F.array(T.prepared(F.col("text"))), count)).alias("m")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), found).select("id", "m.*")
 
 
 @query("WITH s AS (SELECT doc_id, ' ' || lower(text) || ' ' AS low FROM documents) SELECT doc_id AS id, 2 * (" + sql_hits("low", WORDS) + ") + " + " + ".join(f"CAST(contains(low, {_q(m)}) AS BIGINT)" for m in MARKERS) + r" + len(regexp_extract_all(low, '\b(license|version)\b')) AS score FROM s")
@@ -144,19 +150,19 @@ def source_audit(df: DataFrame, signals: dict[str, str] = SIGNALS) -> DataFrame:
     """One row: rows, signal counts, least, upper-median and greatest step count, and two readiness heuristics.
 
     Steps are the pieces of the text after its last 'summary:' between full stops with white space around them, with two
-    words or more. Rank of the median: exact by a count of each step count, so no list of rows is gathered.
+    words or more. Counts are kept by step count, so texts are read once; the median is read off that table, which has at
+    most as many rows as the longest text has steps.
     """
     low = F.lower("text")
     steps = F.size(F.filter(F.split(low, r"\s*\.\s+"), lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda w: w != "")) >= 2)).cast("long")
     marks = df.select(steps.alias("steps"), *[low.rlike(p.replace(r"\b", r"(?U:\b)")).alias(n) for n, p in signals.items()])
     core = (F.col("steps") >= 4) & F.col("observe") & F.col("mutate") & F.col("artifact") & F.col("verify")
     more = F.col("branch") | F.col("failure") | F.col("async")
-    counted = marks.agg(F.count("*").alias("rows"), *[F.count_if(n).alias(n) for n in signals], F.min("steps").alias("least"), F.max("steps").alias("most"), F.count_if(core).alias("core"), F.count_if(core & more).alias("recursive"))
-    sizes = marks.groupBy("steps").agg(F.count("*").alias("n"))
-    median = sizes.agg(F.array_sort(F.collect_list(F.struct("steps", "n"))).alias("a")).select(
-        F.aggregate("a", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("value")), lambda s, x: F.struct((s["seen"] + x["n"]).alias("seen"), F.coalesce(s["value"], F.when(s["seen"] + x["n"] > F.floor(F.aggregate(F.col("a"), F.lit(0).cast("long"), lambda t, y: t + y["n"]) / 2), x["steps"])).alias("value")))["value"].alias("median")
-    )
-    return counted.crossJoin(median)
+    by = marks.groupBy("steps").agg(F.count("*").alias("n"), *[F.count_if(n).alias(n) for n in signals], F.count_if(core).alias("core"), F.count_if(core & more).alias("recursive"))
+    whole = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in signals], F.min("steps").alias("least"), F.max("steps").alias("most"), F.coalesce(F.sum("core"), F.lit(0)).alias("core"), F.coalesce(F.sum("recursive"), F.lit(0)).alias("recursive"), F.array_sort(F.collect_list(F.struct("steps", "n"))).alias("a"))
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("value"))
+    median = F.aggregate("a", start, lambda s, x: F.struct((s["seen"] + x["n"]).alias("seen"), F.coalesce(s["value"], F.when(s["seen"] + x["n"] > F.floor(F.col("rows") / 2), x["steps"])).alias("value")))["value"]
+    return whole.withColumn("median", median).drop("a")
 
 
 @query(r"""WITH s AS (SELECT CAST(len(list_filter(string_split(regexp_replace(lower(text), '\s*\.\s+', chr(1), 'g'), chr(1)), lambda s: len(list_filter(string_split(regexp_replace(s, '\s+', ' ', 'g'), ' '), lambda w: w <> '')) >= 2)) AS BIGINT) AS steps, """ + ", ".join(f"regexp_matches(lower(text), {_q(p)}) AS {n}" for n, p in OWN_SIGNALS.items() if n != "async") + ", regexp_matches(lower(text), " + _q(OWN_SIGNALS["async"]) + ''') AS "async" FROM documents),

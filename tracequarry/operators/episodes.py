@@ -1,7 +1,8 @@
-"""Episodes replayed as ordered folds over a state, with histories, ablation, rewards and exports.
+"""Episodes replayed over a state of numbers, with histories, ablation, rewards and exports.
 
-Rules are declarative: for each tool the effects on a map of numbers. A fold runs inside one expression over an episode's
-steps, whose number a step budget bounds, so replay, ablation and history need one shuffle and no code outside the JVM.
+Rules are declarative: for each tool the effects on keys. A key's value is what its last reset (set or delete) left, and
+the sum of what came after, so states are aggregates and running sums over rows of effects: no episode is gathered into one
+row, and none is cut off. A step budget only names the steps beyond it.
 """
 
 from __future__ import annotations
@@ -24,90 +25,136 @@ RULES = {
 }
 
 
-def without(state: Column, key: str) -> Column:
-    return F.map_filter(state, lambda k, _: k != key)
+def effects(t: DataFrame, rules: dict = RULES) -> DataFrame:
+    """One row an effect: episode_id, step, ord (its place in the tool's list), key, reset, amount (null for a delete)."""
+    listed = F.array().cast("array<struct<ord:int,key:string,reset:boolean,amount:double>>")
+    for tool, own in rules.items():
+        one = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(key).alias("key"), F.lit(op != "increment").alias("reset"), F.lit(None if op == "delete" else amount).cast("double").alias("amount")) for i, (op, key, amount) in enumerate(own)])
+        listed = F.when(F.col("tool") == tool, one).otherwise(listed)
+    return t.select("episode_id", "step", F.explode(listed).alias("e")).select("episode_id", "step", "e.*")
 
 
-def put(state: Column, key: str, value: Column) -> Column:
-    return F.map_concat(without(state, key), F.create_map(F.lit(key), value))
+def final_states(t: DataFrame, rules: dict = RULES) -> DataFrame:
+    """episode_id, key, value of every key that an episode leaves behind. Unknown tools change nothing."""
+    e = effects(t, rules)
+    last = e.filter("reset").groupBy("episode_id", "key").agg(F.max(F.struct("step", "ord", "amount")).alias("r"))
+    later = ~F.col("reset") & (F.col("r").isNull() | (F.struct("step", "ord") > F.struct("r.step", "r.ord")))
+    g = e.join(last, ["episode_id", "key"], "left").groupBy("episode_id", "key").agg(F.max("r").alias("r"), F.sum(F.when(later, F.col("amount"))).alias("more"))
+    return g.filter("r.amount is not null or more is not null").select("episode_id", "key", (F.coalesce("r.amount", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("value"))
 
 
-def step(state: Column, tool: Column, rules: dict = RULES) -> Column:
-    """The state after a tool's effects, in their order; unknown tools change nothing."""
-    out = state
-    for name, effects in rules.items():
-        after = state
-        for op, key, amount in effects:
-            old = after
-            if op == "set":
-                after = put(old, key, F.lit(amount))
-            elif op == "increment":
-                after = put(old, key, F.coalesce(old[key], F.lit(0.0)) + amount)
-            else:
-                after = without(old, key)
-        out = F.when(tool == name, after).otherwise(out)
-    return out
+def with_values(t: DataFrame, keys: list[str], rules: dict = RULES) -> DataFrame:
+    """t with each of the keys' values after every step (null where it is absent), by running sums since the last reset.
 
+    A tool has at most one effect on a key.
+    """
+    order = Window.partitionBy("episode_id").orderBy("step")
+    for key in keys:
+        own = {tool: [x for x in es if x[1] == key] for tool, es in rules.items()}
+        if any(len(x) > 1 for x in own.values()):
+            raise ValueError(f"several effects on {key} in one step")
+        amount = lambda ops: F.coalesce(*[F.when(F.col("tool") == tool, F.lit(x[0][2])) for tool, x in own.items() if x and x[0][0] in ops], F.lit(None).cast("double"))
+        reset = F.col("tool").isin(*[tool for tool, x in own.items() if x and x[0][0] != "increment"])
+        since = Window.partitionBy("episode_id", f"__since_{key}").orderBy("step")
+        t = t.withColumn(f"__since_{key}", F.sum(F.coalesce(reset, F.lit(False)).cast("int")).over(order))
+        base, more = F.max(amount(("set",))).over(since), F.sum(amount(("increment",))).over(since)
+        t = t.withColumn(key, F.when(base.isNotNull() | more.isNotNull(), F.coalesce(base, F.lit(0.0)) + F.coalesce(more, F.lit(0.0))))
+    return t.drop(*[f"__since_{key}" for key in keys])
+
+
+def without_step(t: DataFrame, keys: list[str], rules: dict = RULES) -> DataFrame:
+    """t with key (the final value) and without_key (the final value if this step is left out) for each of the keys.
+
+    An increment after the last reset is subtracted. The last reset gives way to the value before it. All other steps
+    change nothing.
+    """
+    order = Window.partitionBy("episode_id").orderBy("step")
+    whole = Window.partitionBy("episode_id")
+    out = with_values(t, keys, rules)
+    for key in keys:
+        own = {tool: x for tool, es in rules.items() for x in es if x[1] == key}
+        op = F.coalesce(*[F.when(F.col("tool") == tool, F.lit(x[0])) for tool, x in own.items()], F.lit(""))
+        amount = F.coalesce(*[F.when(F.col("tool") == tool, F.lit(x[2])) for tool, x in own.items() if x[0] != "delete"], F.lit(0.0))
+        out = out.withColumn("__op", op).withColumn("__amount", amount)
+        out = out.withColumn("__last", F.max(F.when(F.col("__op").isin("set", "delete"), F.col("step"))).over(whole)).withColumn("__before", F.lag(key).over(order))
+        out = out.withColumn("__final", F.max(F.struct("step", F.col(key).alias("v"))).over(whole)["v"])
+        after = F.coalesce(F.col("step") > F.col("__last"), F.lit(True))
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+        out = out.withColumn(f"without_{key}", F.when((F.col("__op") == "increment") & after, F.col("__final") - F.col("__amount")).when(F.col("step") == F.col("__last"), zero("__before") + zero("__final") - F.col("__amount")).otherwise(F.col("__final")))
+        out = out.withColumn(key, F.col("__final"))
+    return out.drop("__op", "__amount", "__last", "__before", "__final")
+
+
+_SEG = "s AS (SELECT *, max(CASE WHEN tool = 'purchase' THEN step END) OVER (PARTITION BY episode_id) AS lp, max(CASE WHEN tool = 'signup' THEN step END) OVER (PARTITION BY episode_id) AS ls FROM trace)"
+
+
+@query(with_sql(TRACE, _SEG) + """SELECT episode_id, count(*) AS steps, CASE WHEN count(*) > 64 THEN 'over_budget' ELSE 'completed' END AS status, count(*) FILTER (tool = 'view')::DOUBLE AS seen, count(*) FILTER (tool = 'click')::DOUBLE AS clicks, count(*) FILTER (tool = 'purchase')::DOUBLE AS bought,
+  CASE WHEN greatest(coalesce(lp, 0), coalesce(ls, 0)) = 0 OR coalesce(lp, 0) > coalesce(ls, 0) THEN nullif(count(*) FILTER (tool = 'error' AND step > coalesce(lp, 0)), 0)::DOUBLE ELSE count(*) FILTER (tool = 'error' AND step > ls)::DOUBLE END AS errors FROM s GROUP BY episode_id, lp, ls""")
+def t2_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final state of every whole episode, and whether it is longer than the budget; errors is missing after a purchase
+    until the next error or signup."""
+    t = trace(spark, sf_dir)
+    state = lambda k: F.max(F.when(F.col("key") == k, F.col("value")))
+    s = final_states(t).groupBy("episode_id").agg(*[state(k).alias(k) for k in ("seen", "clicks", "bought", "errors")])
+    n = t.groupBy("episode_id").agg(F.count("*").alias("steps"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    status = F.when(F.col("steps") > BUDGET, "over_budget").otherwise("completed")
+    return n.join(s, "episode_id", "left").select("episode_id", "steps", status.alias("status"), zero("seen"), zero("clicks"), zero("bought"), "errors")
+
+
+@query(with_sql(TRACE, "r AS (SELECT episode_id, step, sum(CASE WHEN tool = 'click' THEN 1 ELSE 0 END) OVER w AS c, sum(CASE WHEN tool = 'view' THEN 1 ELSE 0 END) OVER w AS v FROM trace WINDOW w AS (PARTITION BY episode_id ORDER BY step))") + "SELECT episode_id, min(step) FILTER (c > v) AS first_violation, count(*) FILTER (c > v) AS violations, arg_max(c <= v, step) AS holds_at_end FROM r GROUP BY episode_id")
+def t14_predicate_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicate clicks <= seen at every step: first violation, number, and whether it holds at the end."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    h = with_values(trace(spark, sf_dir).select("episode_id", "step", "tool"), ["clicks", "seen"]).withColumn("holds", zero("clicks") <= zero("seen"))
+    return h.groupBy("episode_id").agg(F.min(F.when(~F.col("holds"), F.col("step"))).alias("first_violation"), F.count_if(~F.col("holds")).alias("violations"), F.max_by("holds", "step").alias("holds_at_end"))
 
-def empty_state() -> Column:
-    return F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
-
-
-def replay(tools: Column, rules: dict = RULES) -> Column:
-    """The state after a list of tools."""
-    return F.aggregate(tools, empty_state(), lambda s, t: step(s, t, rules))
-
-
-def history(tools: Column, value, rules: dict = RULES) -> Column:
-    """value(state) before the first step and after each, as an array."""
-    start = F.struct(empty_state().alias("s"), F.array(value(empty_state())).alias("h"))
-
-    def one(acc: Column, t: Column) -> Column:
-        after = F.transform(F.array(step(acc["s"], t, rules)), lambda s: F.struct(s.alias("s"), F.concat(acc["h"], F.array(value(s))).alias("h")))
-        return after[0]
-
-    return F.aggregate(tools, start, one)["h"]
 
+@query(with_sql(TRACE, "n AS (SELECT episode_id, count(*) AS steps, count(*) FILTER (tool = 'purchase') AS b, count(*) FILTER (tool = 'view') AS v FROM trace GROUP BY 1)") + "SELECT f.episode_id, steps, count(*) FILTER (b >= 1 AND v >= 1 AND ((tool = 'purchase' AND b = 1) OR (tool = 'view' AND v = 1))) AS necessary, round(count(*) FILTER (b >= 1 AND v >= 1 AND ((tool = 'purchase' AND b = 1) OR (tool = 'view' AND v = 1))) / steps, 4) AS ratio FROM trace f JOIN n USING (episode_id) GROUP BY f.episode_id, steps")
+def c10_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For the goal bought >= 1 and seen >= 1: the steps without which a met goal is missed. Every step is judged."""
+    judged = without_step(trace(spark, sf_dir).select("episode_id", "step", "tool"), ["bought", "seen"])
+    goal = lambda p: (F.coalesce(F.col(f"{p}bought"), F.lit(0.0)) >= 1) & (F.coalesce(F.col(f"{p}seen"), F.lit(0.0)) >= 1)
+    g = judged.groupBy("episode_id").agg(F.count("*").alias("steps"), F.count_if(goal("") & ~goal("without_")).alias("necessary"))
+    return g.withColumn("ratio", F.round(F.col("necessary") / F.col("steps"), 4))
 
-def episodes(t: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """episode_id and its tools in order, up to the step budget."""
-    steps = F.array_sort(F.collect_list(F.struct("step", "tool")))
-    return t.filter(F.col("step") <= budget).groupBy("episode_id").agg(F.transform(steps, lambda s: s["tool"]).alias("tools"))
 
+_MINIMAL = "f AS (SELECT episode_id, tool, min(step) AS pos FROM trace WHERE tool IN ('purchase', 'view') GROUP BY 1, 2), m AS (SELECT episode_id, count(*) AS kinds, max(pos) AS needed FROM f GROUP BY 1)"
 
-_SEG = "s AS (SELECT *, max(CASE WHEN tool = 'purchase' THEN step END) OVER (PARTITION BY episode_id) AS lp, max(CASE WHEN tool = 'signup' THEN step END) OVER (PARTITION BY episode_id) AS ls FROM trace WHERE step <= 64)"
 
+@query(with_sql(TRACE, _MINIMAL, "n AS (SELECT episode_id, count(*) AS steps FROM trace GROUP BY 1)") + "SELECT episode_id, steps, CASE WHEN kinds = 2 THEN 2 ELSE 0 END::BIGINT AS kept, CASE WHEN kinds = 2 THEN steps - 2 ELSE 0 END AS removable, CASE WHEN kinds = 2 THEN needed END AS last_needed FROM n LEFT JOIN m USING (episode_id)")
+def c11_minimization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A least plan for the goal of c10: of every key that the goal wants, the first step that brings it there.
 
-@query(with_sql(TRACE, _SEG) + """SELECT episode_id, count(*) FILTER (tool = 'view')::DOUBLE AS seen, count(*) FILTER (tool = 'click')::DOUBLE AS clicks, count(*) FILTER (tool = 'purchase')::DOUBLE AS bought,
-  CASE WHEN greatest(coalesce(lp, 0), coalesce(ls, 0)) = 0 OR coalesce(lp, 0) > coalesce(ls, 0) THEN nullif(count(*) FILTER (tool = 'error' AND step > coalesce(lp, 0)), 0)::DOUBLE ELSE count(*) FILTER (tool = 'error' AND step > ls)::DOUBLE END AS errors FROM s GROUP BY episode_id, lp, ls""")
-def t2_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Final state of every episode; errors is missing after a purchase until the next error or signup."""
-    e = episodes(trace(spark, sf_dir)).select("episode_id", replay(F.col("tools")).alias("s"))
-    return e.select("episode_id", F.coalesce(F.col("s")["seen"], F.lit(0.0)).alias("seen"), F.coalesce(F.col("s")["clicks"], F.lit(0.0)).alias("clicks"), F.coalesce(F.col("s")["bought"], F.lit(0.0)).alias("bought"), F.col("s")["errors"].alias("errors"))
+    An episode that misses the goal has no plan. Both wants are counts that only grow, so leaving out any other step
+    keeps the goal met, and leaving out a kept one misses it.
+    """
+    t = trace(spark, sf_dir)
+    f = t.filter(F.col("tool").isin("purchase", "view")).groupBy("episode_id", "tool").agg(F.min("step").alias("at"))
+    m = f.groupBy("episode_id").agg(F.count("*").alias("kinds"), F.max("at").alias("needed"))
+    n = t.groupBy("episode_id").agg(F.count("*").alias("steps")).join(m, "episode_id", "left")
+    met = F.coalesce(F.col("kinds") == 2, F.lit(False))
+    return n.select("episode_id", "steps", F.when(met, 2).otherwise(0).cast("long").alias("kept"), F.when(met, F.col("steps") - 2).otherwise(0).alias("removable"), F.when(met, F.col("needed")).alias("last_needed"))
 
 
-@query(with_sql(TRACE, "r AS (SELECT episode_id, step, sum(CASE WHEN tool = 'click' THEN 1 ELSE 0 END) OVER w AS c, sum(CASE WHEN tool = 'view' THEN 1 ELSE 0 END) OVER w AS v FROM trace WHERE step <= 64 WINDOW w AS (PARTITION BY episode_id ORDER BY step))") + "SELECT episode_id, min(step) FILTER (c > v) AS first_violation, count(*) FILTER (c > v) AS violations, arg_max(c <= v, step) AS holds_at_end FROM r GROUP BY episode_id")
-def t14_predicate_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The predicate clicks <= seen at every step: first violation, number, and whether it holds at the end."""
-    holds = lambda s: F.coalesce(s["clicks"], F.lit(0.0)) <= F.coalesce(s["seen"], F.lit(0.0))
-    h = episodes(trace(spark, sf_dir)).select("episode_id", F.slice(history(F.col("tools"), holds), 2, BUDGET + 1).alias("h"))
-    n = F.size(F.filter("h", lambda x: ~x)).cast("long")
-    return h.select("episode_id", F.nullif(F.array_position("h", False), F.lit(0)).alias("first_violation"), n.alias("violations"), F.element_at("h", -1).alias("holds_at_end"))
+_VARIANT = "v AS (SELECT episode_id, sum(CASE WHEN tool = 'purchase' THEN 1 ELSE 0 END) AS bought, sum(CASE WHEN tool = 'error' THEN 1 ELSE 0 END) AS errors, sum(CASE WHEN tool = 'click' THEN 1 ELSE 0 END) - sum(CASE WHEN tool = 'view' THEN 1 ELSE 0 END) AS debt FROM trace GROUP BY 1), x AS (SELECT *, unnest([0, 2, 5]) AS start FROM v)"
 
 
-@query(with_sql(TRACE, "f AS (SELECT * FROM trace WHERE step <= 10)", "n AS (SELECT episode_id, count(*) AS steps, count(*) FILTER (tool = 'purchase') AS b, count(*) FILTER (tool = 'view') AS v FROM f GROUP BY 1)") + "SELECT f.episode_id, steps, count(*) FILTER (b >= 1 AND v >= 1 AND ((tool = 'purchase' AND b = 1) OR (tool = 'view' AND v = 1))) AS necessary, round(count(*) FILTER (b >= 1 AND v >= 1 AND ((tool = 'purchase' AND b = 1) OR (tool = 'view' AND v = 1))) / steps, 4) AS ratio FROM f JOIN n USING (episode_id) GROUP BY f.episode_id, steps")
-def c10_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For the goal bought >= 1 and seen >= 1 over the first ten steps: steps without which a met goal is missed.
+@query(with_sql(TRACE, _VARIANT) + "SELECT episode_id, start AS variant, (bought + 0.0)::DOUBLE AS bought, (start - debt)::DOUBLE AS credit, start - debt >= 0 AS goal, (start - debt >= 0) <> (0 - debt >= 0) AS changed FROM x")
+def c13_counterfactuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every episode replayed from three initial states that override the key seen by 0, 2 and 5 (c12): whether the goal
+    seen >= clicks is met, and whether the override changed that.
 
-    Every episode is exploded by the step left out, and each copy replayed.
+    An override is one more effect before the first step, so the variants are rows, not runs.
     """
-    e = episodes(trace(spark, sf_dir), 10)
-    goal = lambda s: (F.coalesce(s["bought"], F.lit(0.0)) >= 1) & (F.coalesce(s["seen"], F.lit(0.0)) >= 1)
-    runs = e.withColumn("met", goal(replay(F.col("tools")))).select("episode_id", "met", "tools", F.posexplode("tools").alias("out", "t"))
-    fewer = F.filter("tools", lambda _, i: i != F.col("out"))
-    judged = runs.withColumn("needed", F.col("met") & ~goal(replay(fewer)))
-    g = judged.groupBy("episode_id").agg(F.count("*").alias("steps"), F.count_if("needed").alias("necessary"))
-    return g.withColumn("ratio", F.round(F.col("necessary") / F.col("steps"), 4))
+    t = trace(spark, sf_dir).select("episode_id", "step", "tool")
+    variants = F.array(*[F.lit(x) for x in (0, 2, 5)])
+    v = t.withColumn("variant", F.explode(variants)).groupBy("episode_id", "variant").agg(
+        F.count_if(F.col("tool") == "purchase").cast("double").alias("bought"),
+        (F.col("variant") + F.count_if(F.col("tool") == "view") - F.count_if(F.col("tool") == "click")).cast("double").alias("credit"),
+    )
+    plain = v.filter("variant = 0").select("episode_id", (F.col("credit") >= 0).alias("before"))
+    return v.join(plain, "episode_id").select("episode_id", "variant", "bought", "credit", (F.col("credit") >= 0).alias("goal"), ((F.col("credit") >= 0) != F.col("before")).alias("changed"))
 
 
 def reward(goal: Column, invariant: Column, grounded: Column, steps: Column, reference: Column, valid: Column) -> Column:
@@ -124,13 +171,14 @@ def m5_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("episode_id", reward(F.col("goal"), F.col("inv"), F.col("grounded"), F.col("steps"), F.lit(50), F.col("steps") >= 60).alias("reward"))
 
 
-@query(with_sql(MESSAGES, VALIDATIONS, "ok AS (SELECT id FROM validations GROUP BY id HAVING bool_and(valid))", "m AS (SELECT id, string_agg(role || ':' || length(text), '|' ORDER BY idx) AS shape, count(*) AS n FROM messages GROUP BY id)") + "SELECT m.id, shape, n, 'conversation' AS domain FROM m WHERE id IN (SELECT id FROM ok)")
+@query(with_sql(MESSAGES, VALIDATIONS, "ok AS (SELECT id FROM validations GROUP BY id HAVING bool_and(valid))", "m AS (SELECT id, '[' || string_agg(to_json({'content': text, 'role': role})::VARCHAR, ',' ORDER BY idx) || ']' AS messages, count(*) AS n FROM messages GROUP BY id)") + "SELECT m.id, messages, n, 'conversation' AS domain, sha256(messages) AS messages_sha256 FROM m WHERE id IN (SELECT id FROM ok)")
 def m1_sft_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training rows of conversations that every validator accepts."""
+    """Training rows of conversations that every validator accepts: the messages as canonical JSON, and its hash."""
     ok = validations(spark, sf_dir).groupBy("id").agg(F.bool_and("valid").alias("ok")).filter("ok").select("id")
-    part = F.array_sort(F.collect_list(F.struct("idx", F.concat_ws(":", "role", F.length("text").cast("string")).alias("p"))))
-    m = messages(spark, sf_dir).groupBy("id").agg(F.array_join(F.transform(part, lambda s: s["p"]), "|").alias("shape"), F.count("*").alias("n"))
-    return m.join(ok, "id", "left_semi").withColumn("domain", F.lit("conversation"))
+    one = F.to_json(F.struct(F.col("text").alias("content"), "role"), {"ignoreNullFields": "false"})
+    part = F.array_sort(F.collect_list(F.struct("idx", one.alias("p"))))
+    m = messages(spark, sf_dir).join(ok, "id", "left_semi").groupBy("id").agg(F.concat(F.lit("["), F.array_join(F.transform(part, lambda s: s["p"]), ","), F.lit("]")).alias("messages"), F.count("*").alias("n"))
+    return m.select("id", "messages", "n", F.lit("conversation").alias("domain"), F.sha2("messages", 256).alias("messages_sha256"))
 
 
 CATALOGUE = '["click","view"]'

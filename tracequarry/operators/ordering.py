@@ -16,6 +16,7 @@ def global_ordinal(df: DataFrame, key: str, name: str = "ordinal", parts: int |
     Approximate quantiles cut the keys into ranges; each range is numbered on its own and raised by the rows of the
     ranges before it, of which there are `parts`. Rows without a key come last.
     """
+    df = df.checkpoint()  # it is read three times: for the cuts, the counts and the numbering
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted({c for c in df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.01)}) if parts > 1 else []
     ranged = df.withColumn("__range", F.coalesce(reduce(add, [(F.col(key) > c).cast("int") for c in cuts], F.when(F.col(key).isNotNull(), 0)), F.lit(parts)))
@@ -27,3 +28,19 @@ def global_ordinal(df: DataFrame, key: str, name: str = "ordinal", parts: int |
     own = F.row_number().over(Window.partitionBy("__range").orderBy(F.asc_nulls_last(key))).cast("long")
     added = start[F.col("__range")].cast("long") if offsets else F.lit(0).cast("long")
     return ranged.withColumn(name, own + added).drop("__range")
+
+
+def sequence_digest(rows: DataFrame, keys: list[str], ordinal: str, value: str, name: str, chunk: int = 1000) -> DataFrame:
+    """keys and one SHA-256 of each group's values in the order of their ordinals (1, 2, ... without gaps).
+
+    Values are joined and hashed in chunks, then the chunks' hashes are, so that a long group isn't one row's list. Missing
+    values are skipped.
+    """
+    joined = lambda o, v: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(o, v))), lambda s: s[v]), ","), 256)
+    part = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.floor((F.col(ordinal) - 1) / chunk).alias("__chunk")).agg(joined(ordinal, value).alias("__hash"))
+    return part.groupBy(*keys).agg(joined("__chunk", "__hash").alias(name))
+
+
+def sequence_digest_sql(rows: str, keys: str, ordinal: str, value: str, name: str) -> str:
+    """The same in SQL."""
+    return f"SELECT {keys}, sha256(string_agg(h, ',' ORDER BY chunk)) AS {name} FROM (SELECT {keys}, ({ordinal} - 1) // 1000 AS chunk, sha256(string_agg({value}, ',' ORDER BY {ordinal})) AS h FROM {rows} WHERE {value} IS NOT NULL GROUP BY ALL) GROUP BY {keys}"

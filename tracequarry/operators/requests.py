@@ -37,22 +37,22 @@ def p4_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("stage1").alias("stage"), m.alias("messages"), F.sha2(m, 256).alias("request_hash"))
 
 
-@query(with_sql(VALIDATIONS, "e AS (SELECT id, string_agg(validator || ': ' || errors[1], ';' ORDER BY validator) AS errors FROM validations WHERE NOT valid GROUP BY id)") + "SELECT doc_id AS id, coalesce(errors, '') AS errors, 'Repair ' || doc_id || ': ' || coalesce(errors, 'nothing') AS prompt FROM documents LEFT JOIN e ON e.id = doc_id WHERE doc_id % 2 = 1")
+@query(with_sql(VALIDATIONS, "e AS (SELECT id, string_agg(validator || ': ' || errors[1], ';' ORDER BY validator) AS errors FROM validations WHERE NOT valid GROUP BY id)") + "SELECT doc_id AS id, coalesce(errors, '') AS errors, 'Repair ' || doc_id || ': ' || coalesce(errors, 'nothing') AS prompt FROM documents LEFT JOIN e ON e.id = doc_id")
 def p6_repair_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every odd row with its validation errors, none by default."""
+    """Every row with its validation errors, none by default."""
     bad = validations(spark, sf_dir).filter(~F.col("valid")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("validator", F.get("errors", F.lit(0)).alias("e")))).alias("l"))
     bad = bad.select("id", F.array_join(F.transform("l", lambda s: F.concat(s["validator"], F.lit(": "), s["e"])), ";").alias("errors"))
-    d = table(spark, sf_dir, "documents").filter(F.col("doc_id") % 2 == 1).select(F.col("doc_id").alias("id"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
     return d.join(bad, "id", "left").select("id", F.coalesce("errors", F.lit("")).alias("errors"), F.concat(F.lit("Repair "), F.col("id").cast("string"), F.lit(": "), F.coalesce("errors", F.lit("nothing"))).alias("prompt"))
 
 
 CATALOG = ["policy", "capacity", "audit", "route", "readiness"]
 
 
-@query("WITH o AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents WHERE lang = 'en') SELECT id, i AS ordinal, ['policy', 'capacity', 'audit', 'route', 'readiness'][i % 5 + 1] AS operator FROM o")
+@query("WITH o AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) SELECT id, i AS ordinal, ['policy', 'capacity', 'audit', 'route', 'readiness'][i % 5 + 1] AS operator FROM o")
 def p11_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue entries dealt in turn to the rows in order."""
-    d = global_ordinal(table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("id")), "id")
+    d = global_ordinal(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), "id")
     i = F.col("ordinal") - 1
     return d.select("id", i.alias("ordinal"), F.get(F.array(*map(F.lit, CATALOG)), (i % len(CATALOG)).cast("int")).alias("operator"))
 
@@ -72,34 +72,38 @@ def p14_materialize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(r, "id").select("id", F.when(F.col("tokens") % 3 == 0, "missing_tool").otherwise("ready").alias("status"), F.coalesce(F.when(F.col("tokens") % 2 == 0, F.lit("new")), "lang").alias("plan"), (F.col("tokens") - F.col("n_chars")).alias("ignored"))
 
 
-@query(with_sql(RESPONSES, "c AS (SELECT * FROM responses WHERE ok AND stage = 'stage0')", "b AS (SELECT doc_id AS id, length(text) AS n FROM documents WHERE doc_id % 3 = 0)") + "SELECT id, n < 200 AS too_short, tokens > 3000 AS too_long, concat_ws(',', CASE WHEN n < 200 THEN 'too_short' END, CASE WHEN tokens > 3000 THEN 'too_long' END) AS errors FROM b JOIN c USING (id)")
+@query(with_sql(RESPONSES, "c AS (SELECT * FROM responses WHERE ok)", "b AS (SELECT doc_id AS id, length(text) AS n FROM documents)") + "SELECT id, n < 200 AS too_short, tokens > 3000 AS too_long, concat_ws(',', CASE WHEN n < 200 THEN 'too_short' END, CASE WHEN tokens > 3000 THEN 'too_long' END) AS errors FROM b JOIN c USING (id)")
 def j10_contract_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bundles that have an accepted contract, with what is wrong with the pair."""
-    c = responses(spark, sf_dir).filter("ok and stage = 'stage0'").select("id", "tokens")
-    b = table(spark, sf_dir, "documents").filter(F.col("doc_id") % 3 == 0).select(F.col("doc_id").alias("id"), F.length("text").alias("n"))
+    c = responses(spark, sf_dir).filter("ok").select("id", "tokens")
+    b = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("n"))
     short, long = F.col("n") < 200, F.col("tokens") > 3000
     return b.join(c, "id").select("id", short.alias("too_short"), long.alias("too_long"), F.concat_ws(",", F.when(short, "too_short"), F.when(long, "too_long")).alias("errors"))
 
 
-@query("""WITH seeds AS (SELECT doc_id AS id, sha256(text) AS h, [substr(text, 1, 20), substr(text, 30, 15), CASE WHEN doc_id % 4 = 0 THEN 'not in the text' ELSE substr(text, 5, 9) END] AS spans FROM documents WHERE doc_id % 2 = 0)
+@query("""WITH seeds AS (SELECT doc_id AS id, sha256(text) AS h, [substr(text, 1, 20), substr(text, CAST(length(text) // 2 AS BIGINT) + 1, 30), substr(text, greatest(length(text) - 14, 1), 15), source] AS spans FROM documents)
 SELECT s.id, sha256(d.text) = s.h AS same_source, CAST(len(list_filter(spans, lambda x: NOT contains(d.text, x))) AS BIGINT) AS unsupported, sha256(d.text) = s.h AND len(list_filter(spans, lambda x: NOT contains(d.text, x))) = 0 AND length(d.text) >= 60 AS valid FROM seeds s JOIN documents d ON d.doc_id = s.id""")
 def v13_seed_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeds whose source is the same text and whose every evidence span stands in it."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    odd = F.when(F.col("id") % 4 == 0, F.lit("not in the text")).otherwise(F.substring("text", 5, 9))
-    seeds = d.filter(F.col("id") % 2 == 0).select("id", F.sha2("text", 256).alias("h"), F.array(F.substring("text", 1, 20), F.substring("text", 30, 15), odd).alias("spans"))
+    """Seeds whose source is the same text and whose every evidence span stands in it: its head, middle and tail, and the
+    name of its source."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    n = F.length("text")
+    spans = F.array(F.substring("text", 1, 20), F.substring("text", F.floor(n / 2).cast("int") + 1, F.lit(30)), F.substring("text", F.greatest(n - 14, F.lit(1)), F.lit(15)), F.col("source"))
+    seeds = d.select("id", F.sha2("text", 256).alias("h"), spans.alias("spans"))
     same = F.sha2("text", 256) == F.col("h")
     missing = F.size(F.filter("spans", lambda s: ~F.col("text").contains(s))).cast("long")
-    return seeds.join(d, "id").select("id", same.alias("same_source"), missing.alias("unsupported"), (same & (missing == 0) & (F.length("text") >= 60)).alias("valid"))
+    return seeds.join(d.select("id", "text"), "id").select("id", same.alias("same_source"), missing.alias("unsupported"), (same & (missing == 0) & (F.length("text") >= 60)).alias("valid"))
 
 
-@query("""WITH a AS (SELECT doc_id AS id, sha256(lower(text)) AS t FROM documents WHERE doc_id % 3 <> 1), b AS (SELECT doc_id AS id, sha256(CASE WHEN doc_id % 10 = 0 THEN upper(lang) ELSE lower(text) END) AS t FROM documents WHERE doc_id % 5 <> 2)
-SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'only_audit' WHEN b.id IS NULL THEN 'only_row' WHEN a.t = b.t THEN 'same' ELSE 'differs' END AS verdict FROM a FULL JOIN b ON a.id = b.id""")
+@query(with_sql(VALIDATIONS, "a AS (SELECT doc_id AS id, sha256(lower(text)) AS t FROM documents WHERE doc_id IN (SELECT id FROM validations WHERE validator = 'length' AND valid))", "b AS (SELECT l.doc_id AS id, sha256(CASE WHEN l.toxic = 1 THEN upper(lang) ELSE lower(text) END) AS t FROM labels l JOIN documents d ON d.doc_id = l.doc_id)") + """SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'only_audit' WHEN b.id IS NULL THEN 'only_row' WHEN a.t = b.t THEN 'same' ELSE 'differs' END AS verdict FROM a FULL JOIN b ON a.id = b.id""")
 def j12_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and audits one to one by id, with equal canonical content; what either lacks shows."""
+    """Rows (texts of a good length) and audits (labelled texts; a toxic one was taken down to its language) one to one by
+    id, with equal canonical content; what either lacks shows."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
-    a = d.filter(F.col("id") % 3 != 1).select("id", F.sha2(F.lower("text"), 256).alias("a"))
-    b = d.filter(F.col("id") % 5 != 2).select("id", F.sha2(F.when(F.col("id") % 10 == 0, F.upper("lang")).otherwise(F.lower("text")), 256).alias("b"))
+    good = validations(spark, sf_dir).filter("validator = 'length' and valid").select("id")
+    n = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "toxic")
+    a = d.join(good, "id", "left_semi").select("id", F.sha2(F.lower("text"), 256).alias("a"))
+    b = n.join(d, "id").select("id", F.sha2(F.when(F.col("toxic") == 1, F.upper("lang")).otherwise(F.lower("text")), 256).alias("b"))
     verdict = F.when(F.col("a").isNull(), "only_audit").when(F.col("b").isNull(), "only_row").when(F.col("a") == F.col("b"), "same").otherwise("differs")
     return a.join(b, "id", "full_outer").select("id", verdict.alias("verdict"))
 

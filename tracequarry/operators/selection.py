@@ -33,46 +33,37 @@ def quota_select(candidates: DataFrame, per_cell: int = 1, per_parent: int = 2,
     A candidate is refused if its fingerprint was selected already, or its cell, parent or operator has reached its
     quota, by the first of these that holds. Each decision hangs on those before it, so this can't be one parallel step;
     it runs in rounds. A candidate that isn't among the best quota-many undecided of every group it is in waits. One that
-    is (and whose fingerprint's best it is) can't be refused by any candidate before it, and is selected; one whose group
-    is full of selected better ones is refused. Every round decides at least the best undecided candidate and usually a
-    large share, and every key's groups are ranked by windows over what is left.
+    is can't be refused by any candidate before it, and is selected; one whose group is full is out. Every round decides
+    at least the best undecided candidate and usually a large share. Of a group only the quota's best are ranked, and each
+    task keeps no more than these before the shuffle, so a few large groups load no task. Rows without an id are refused. With the selection known, a
+    group is full for a refused candidate if the worst of its quota-many selected is better.
     """
     groups = [("fingerprint", 1, "semantic_duplicate"), ("cell", per_cell, "archive_cell_full"), ("parent", per_parent, "parent_quota"), ("operator", per_operator, "operator_quota")]
     order = [F.desc("score"), F.asc("id")]
-    left = candidates.select("id", "score", *[g for g, _, _ in groups]).checkpoint()
-    done: DataFrame | None = None
-    counts = {g: left.select(g).limit(0).withColumn("taken", F.lit(0).cast("long")) for g, _, _ in groups}
-    for _ in range(10_000):
-        state = left
+    columns = ["id", "score", *[g for g, _, _ in groups]]
+    left = candidates.filter("id is not null").select(*columns).checkpoint()
+    done = left.limit(0)
+    while not left.isEmpty():
+        top = None
         for g, quota, _ in groups:
-            state = state.join(counts[g].withColumnRenamed("taken", f"taken_{g}"), g, "left").na.fill(0, [f"taken_{g}"])
-        reason = F.lit(None).cast("string")
-        for g, quota, name in reversed(groups):
-            reason = F.when(F.col(f"taken_{g}") >= quota, name).otherwise(reason)
-        # a full group refuses whoever is left of it, but which reason is first depends on groups that may still fill up
-        judged = state.withColumn("reason", reason)
+            taken = done.groupBy(g).agg(F.count("*").alias("taken"))
+            best = left.withColumn("place", F.row_number().over(Window.partitionBy(g).orderBy(*order))).filter(F.col("place") <= quota)
+            best = best.join(taken, g, "left").filter(F.col("place") + F.coalesce("taken", F.lit(0)) <= quota).select("id")
+            top = best if top is None else top.unionByName(best)
+        sure = top.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") == len(groups)).select("id").checkpoint()
+        done = done.unionByName(left.join(sure, "id", "left_semi")).checkpoint()
+        left = left.join(sure, "id", "left_anti")
         for g, quota, _ in groups:
-            judged = judged.withColumn(f"place_{g}", F.row_number().over(Window.partitionBy(g, F.col("reason").isNotNull()).orderBy(*order)) + F.col(f"taken_{g}"))
-        sure = F.lit(True)
-        for g, quota, _ in groups:
-            sure = sure & (F.col(f"place_{g}") <= quota)
-        judged = judged.select("id", "score", *[g for g, _, _ in groups], "reason", (F.col("reason").isNull() & sure).alias("sure")).checkpoint()
-        picked = judged.filter("sure").select("id", "score", *[g for g, _, _ in groups], F.lit(None).cast("string").alias("reason"))
-        done = picked if done is None else done.unionByName(picked)
-        done = done.checkpoint()
-        counts = {g: done.groupBy(g).agg(F.count("*").alias("taken")) for g, _, _ in groups}
-        left = judged.filter("not sure and reason is null").select("id", "score", *[g for g, _, _ in groups]).checkpoint()
-        if left.isEmpty():
-            break
-    kept = done.select("id", "score", *[g for g, _, _ in groups])
-    # with the selection known, a refused row's reason is the first group that was full when its turn came
-    rest = candidates.select("id", "score", *[g for g, _, _ in groups]).join(kept.select("id"), "id", "left_anti")
-    both = kept.withColumn("kept", F.lit(1)).unionByName(rest.withColumn("kept", F.lit(0)))
-    reason = F.lit(None).cast("string")
+            left = left.join(done.groupBy(g).agg(F.count("*").alias("n")).filter(F.col("n") >= quota).select(g), g, "left_anti")
+        left = left.select(*columns).checkpoint()
+    rest = candidates.select(*columns).join(done.select("id"), "id", "left_anti")
+    reason = F.when(F.col("id").isNull(), "no_id")
     for g, quota, name in reversed(groups):
-        before = F.sum("kept").over(Window.partitionBy(g).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-        reason = F.when(F.coalesce(before, F.lit(0)) >= quota, name).otherwise(reason)
-    return both.withColumn("reason", F.when(F.col("kept") == 0, reason)).select("id", "score", "reason")
+        full = done.groupBy(g).agg(F.count("*").alias("n"), F.max(F.struct((-F.col("score")).alias("s"), F.col("id").alias("i"))).alias(f"worst_{g}")).filter(F.col("n") >= quota).drop("n")
+        rest = rest.join(full, g, "left")
+        reason = F.when(F.struct((-F.col("score")).alias("s"), F.col("id").alias("i")) > F.col(f"worst_{g}"), name).otherwise(reason)
+    refused = rest.select("id", "score", reason.alias("reason"))
+    return done.select("id", "score", F.lit(None).cast("string").alias("reason")).unionByName(refused)
 
 
 @query()

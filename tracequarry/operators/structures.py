@@ -23,19 +23,24 @@ def t6_observed_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id and a parameter schema as JSON for every part."""
+    """id and a parameter schema as JSON: a property for every word of a part's type, typed by the word's length."""
     p = table(spark, sf_dir, "part")
-    size = (F.col("p_size") % 3).cast("string")
-    text = F.concat(F.lit('{"type":"object","description":"'), F.col("p_brand"), F.lit('","properties":{"x'), size, F.lit('":{"description":"d","type":"string"}},"required":["x'), size, F.lit('"]}'))
+    words = F.array_sort(F.array_distinct(F.split(F.lower("p_type"), " ")))
+    kind = lambda w: F.when(F.length(w) % 2 == 0, "string").otherwise("integer")
+    shown = F.transform(words, lambda w: F.concat(F.lit('"'), w, F.lit('":{"type":"'), kind(w), F.lit('","description":"'), F.lower("p_brand"), F.lit('"}')))
+    text = F.concat(F.lit('{"type":"object","description":"'), F.col("p_brand"), F.lit('","required":["'), words[0], F.lit('"],"properties":{'), F.array_join(shown, ","), F.lit("}}"))
     return p.select(F.col("p_partkey").alias("id"), text.alias("schema"))
 
 
-@query("SELECT p_partkey AS id, '{\"properties\":{\"x' || (p_size % 3) || '\":{\"type\":\"string\"}},\"required\":[\"x' || (p_size % 3) || '\"],\"type\":\"object\"}' AS signature FROM part")
+_WORDS = "w AS (SELECT p_partkey, list_sort(list_distinct(string_split(lower(p_type), ' '))) AS w FROM part)"
+
+
+@query(f"WITH {_WORDS} SELECT p_partkey AS id, '{{\"properties\":{{' || array_to_string(list_transform(w, lambda x: '\"' || x || '\":{{\"type\":\"' || CASE WHEN length(x) % 2 = 0 THEN 'string' ELSE 'integer' END || '\"}}'), ',') || '}},\"required\":[\"' || w[1] || '\"],\"type\":\"object\"}}' AS signature FROM w")
 def x12_schema_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _schemas(spark, sf_dir).select("id", schema_signature(F.col("schema")).alias("signature"))
 
 
-@query("SELECT p_partkey AS id, '$.description,$.properties.x' || (p_size % 3) || '.description' AS leaks FROM part")
+@query(f"WITH {_WORDS} SELECT p_partkey AS id, '$.description,' || array_to_string(list_transform(w, lambda x: '$.properties.' || x || '.description'), ',') AS leaks FROM w")
 def f18_leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths under keys that mustn't be published (descriptions here)."""
     return _schemas(spark, sf_dir).select("id", F.array_join(forbidden_keys(F.col("schema"), ["description", "solution"]), ",").alias("leaks"))
@@ -83,10 +88,10 @@ def r25_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("root", F.col("id") - F.col("id") % 2).join(stored, "root").select("id", (F.col("h") == F.col("old")).alias("reusable"))
 
 
-@query(with_sql(TRACE, "v AS (SELECT DISTINCT episode_id, step % 4 AS variant FROM trace WHERE error_code IS NULL AND step <= 8)") + "SELECT v.episode_id, v.variant FROM v WHERE NOT EXISTS (SELECT 1 FROM trace t WHERE t.episode_id = v.episode_id AND t.step <= 8 AND t.step % 4 = v.variant AND t.error_code IS NOT NULL)")
+@query(with_sql(TRACE, "v AS (SELECT DISTINCT episode_id, step % 4 AS variant FROM trace WHERE error_code IS NULL)") + "SELECT v.episode_id, v.variant FROM v WHERE NOT EXISTS (SELECT 1 FROM trace t WHERE t.episode_id = v.episode_id AND t.step % 4 = v.variant AND t.error_code IS NOT NULL)")
 def r8_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variants none of whose steps failed."""
-    v = trace(spark, sf_dir).filter("step <= 8").groupBy("episode_id", (F.col("step") % 4).alias("variant")).agg(F.count("error_code").alias("failed"))
+    v = trace(spark, sf_dir).groupBy("episode_id", (F.col("step") % 4).alias("variant")).agg(F.count("error_code").alias("failed"))
     return v.filter("failed = 0").select("episode_id", "variant")
 
 

@@ -133,10 +133,10 @@ def totalized(branches: Column) -> Column:
     return F.concat(conditional, F.when(F.size(always) > 0, always).otherwise(fallback))
 
 
-@query("""WITH b AS (SELECT l_orderkey AS id, 'b' || l_linenumber AS b, CASE WHEN l_quantity > 40 THEN 'true' ELSE 'q' || CAST(l_quantity AS BIGINT) END AS w, l_linenumber AS n FROM lineitem WHERE l_linenumber <= 3),
-o AS (SELECT id, string_agg(b, ',' ORDER BY n) FILTER (w <> 'true') AS c, coalesce(arg_min(b, n) FILTER (w = 'true'), 'fallback') AS f FROM (SELECT DISTINCT * FROM b) GROUP BY id) SELECT id, concat_ws(',', c, f) AS branches FROM o""")
+@query("""WITH b AS (SELECT l_orderkey AS id, 'b' || l_linenumber AS b, CASE WHEN l_quantity > 40 THEN 'true' ELSE 'q' || CAST(l_quantity AS BIGINT) END AS w, l_linenumber AS n FROM lineitem),
+o AS (SELECT id, string_agg(b, ',' ORDER BY n, w) FILTER (w <> 'true') AS c, coalesce(arg_min(b, n) FILTER (w = 'true'), 'fallback') AS f FROM (SELECT DISTINCT * FROM b) GROUP BY id) SELECT id, concat_ws(',', c, f) AS branches FROM o""")
 def r4_totalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3")
+    li = table(spark, sf_dir, "lineitem")
     when = F.when(F.col("l_quantity") > 40, "true").otherwise(F.concat(F.lit("q"), F.col("l_quantity").cast("long").cast("string")))
     rows = li.select(F.col("l_orderkey").alias("oid"), F.col("l_linenumber").alias("n"), F.concat(F.lit("b"), F.col("l_linenumber").cast("string")).alias("id"), when.alias("when")).distinct()
     g = rows.groupBy("oid").agg(F.array_sort(F.collect_list(F.struct("n", "id", "when"))).alias("b"))

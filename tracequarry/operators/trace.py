@@ -76,21 +76,17 @@ def c7_unexplained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chain_depth(t: DataFrame) -> DataFrame:
-    """Longest chain of sourced steps in each episode.
+    """Longest chain of sourced steps in each episode: a step's depth is one more than its source's, 1 without a source.
 
-    A step's depth is one more than its source's, 1 without a source. Depths build up in step order, one fold over an
-    episode's steps, whose number a step budget bounds; a source that isn't in the fold yet counts as depth 1.
+    Every round doubles the length of the known jumps, so rounds are the logarithm of the longest chain; a round is one
+    join of steps with steps, and no episode is gathered into one row.
     """
-    s = t.join(latest_observations(t).select("episode_id", "step", "source_step"), ["episode_id", "step"], "left")
-    steps = F.array_sort(F.collect_list(F.struct("step", "source_step")))
-    empty = F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<bigint>"))
-
-    def fold(depth, x):
-        own = F.when(x["source_step"].isNull(), F.lit(1).cast("long")).otherwise(F.coalesce(depth[x["source_step"]], F.lit(1).cast("long")) + 1)
-        return F.map_concat(depth, F.map_from_arrays(F.array(x["step"]), F.array(own)))
-
-    depths = F.map_values(F.aggregate("steps", empty, fold))
-    return s.groupBy("episode_id").agg(steps.alias("steps")).select("episode_id", F.array_max(depths).alias("depth"))
+    found = t.select("episode_id", "step").join(latest_observations(t).select("episode_id", "step", "source_step"), ["episode_id", "step"], "left")
+    state = found.select("episode_id", "step", F.col("source_step").alias("next"), F.lit(1).cast("long").alias("depth")).checkpoint()
+    while not state.filter("next is not null").isEmpty():
+        jump = state.select("episode_id", F.col("step").alias("next"), F.col("next").alias("on"), F.col("depth").alias("more"))
+        state = state.join(jump, ["episode_id", "next"], "left").select("episode_id", "step", F.col("on").alias("next"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")).checkpoint()
+    return state.groupBy("episode_id").agg(F.max("depth").alias("depth"))
 
 
 @query("WITH RECURSIVE " + TRACE + ",\n" + SOURCED + """,
@@ -177,10 +173,10 @@ def g1_api_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy(F.col("source_tool").alias("source"), F.col("tool").alias("target")).agg(F.count("*").alias("provenance_count"))
 
 
-@query(with_sql(TRACE, "alt AS (SELECT DISTINCT step, k % 4 AS axes, tool, k FROM trace WHERE step <= 12)") + "SELECT step AS divergence, axes, count(*) AS alternatives, count(DISTINCT tool) > 1 AS policy_branch, CASE WHEN count(DISTINCT tool) > 1 THEN round(log2(count(*)), 4) ELSE 0.0 END AS entropy FROM alt GROUP BY step, axes")
+@query(with_sql(TRACE, "alt AS (SELECT DISTINCT step, k % 4 AS axes, tool, k FROM trace)") + "SELECT step AS divergence, axes, count(*) AS alternatives, count(DISTINCT tool) > 1 AS policy_branch, CASE WHEN count(DISTINCT tool) > 1 THEN round(log2(count(*)), 4) ELSE 0.0 END AS entropy FROM alt GROUP BY step, axes")
 def c15_decision_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct alternatives at each divergence and set of changed axes; entropy counts where tools differ."""
-    alt = trace(spark, sf_dir).filter("step <= 12").select(F.col("step").alias("divergence"), (F.col("k") % 4).alias("axes"), "tool", "k").distinct()
+    alt = trace(spark, sf_dir).select(F.col("step").alias("divergence"), (F.col("k") % 4).alias("axes"), "tool", "k").distinct()
     g = alt.groupBy("divergence", "axes").agg(F.count("*").alias("alternatives"), (F.countDistinct("tool") > 1).alias("policy_branch"))
     return g.withColumn("entropy", F.when(F.col("policy_branch"), F.round(F.log2("alternatives"), 4)).otherwise(F.lit(0.0)))
 
