@@ -75,3 +75,14 @@ def test_without_labels(spark, odd_docs, no_docs):
     assert {r.score for r in toxicity(odd_docs, none).collect()} == {0.5}
     some = spark.createDataFrame([(7, 1, 1), (14, 0, 0), (None, 1, 1), (21, 1, None)], "doc_id long, quality int, toxic int")
     assert toxicity(odd_docs, some).count() == odd_docs.count() and toxicity(no_docs, some).count() == 0
+
+
+def test_held_out_quality_on_the_tables(spark):
+    """Rows that taught nothing: most toxic ones found, clean ones left alone."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    known = {r.doc_id: r.toxic for r in labels.collect()}
+    away = [(r.score, known[r.doc_id]) for r in toxicity(docs, labels).collect() if r.held_out and r.doc_id in known]
+    bad, good = [s for s, t in away if t], [s for s, t in away if not t]
+    auc = sum((b > g) + (b == g) / 2 for b in bad for g in good) / (len(bad) * len(good))
+    assert len(bad) > 50 and auc > 0.93
+    assert sum(s >= 0.3 for s in bad) >= 0.85 * len(bad) and sum(s >= 0.3 for s in good) <= 0.02 * len(good)

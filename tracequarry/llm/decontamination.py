@@ -87,14 +87,43 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple]]:
-    """The benchmark in blocks whose size is checked before any of them is collected."""
+def item_blocks(items: DataFrame, window: int, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple]]:
+    """The benchmark in blocks of at most block_bytes, whose sizes are known before any of them is collected.
+
+    Items above a quarter of a block are cut into pieces that share a window less one word. Items are dealt to cells by a
+    hash; neighbouring cells fill a block. A cell that is larger than a block is dealt into cells again.
+    """
     rows = items.select("item_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    step = max(block_bytes // 64, 1)  # words of a piece: at most 16 bytes each, or the piece is cut again below
+    pieces = _pieces(F.col("text"), step, window)
+    rows = rows.select("item_id", F.explode(F.when(F.octet_length("text") > block_bytes // 4, pieces).otherwise(F.array("text"))).alias("text")).distinct()
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = -(-total // block_bytes) or 1
-    for b in range(blocks):
-        part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        yield sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda x: (str(x[0]), x[1]))
+    yield from _dealt(rows, total, block_bytes, 0)
+
+
+def _pieces(text: Column, step: int, window: int) -> Column:
+    ws = F.regexp_extract_all(text, F.lit(_WORD.pattern), F.lit(0))
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(ws) - window, F.lit(0)), F.lit(step)), lambda i: F.array_join(F.slice(ws, i + 1, F.lit(step + window - 1)), " "))
+
+
+def _dealt(rows: DataFrame, total: int, block_bytes: int, depth: int) -> Iterator[list[tuple]]:
+    cells = 1 if total <= block_bytes else 4 * -(-total // block_bytes)
+    cell = F.pmod(F.xxhash64(F.lit(depth), "item_id", "text"), F.lit(cells))
+    sizes = sorted((r["cell"], r["n"] or 0) for r in rows.groupBy(cell.alias("cell")).agg(F.sum(F.octet_length("text")).alias("n")).collect())
+    own: list[int] = []
+    filled = 0
+    for number, size in [*sizes, (None, block_bytes + 1)]:
+        if own and filled + size > block_bytes:
+            part = rows.filter(cell.isin(own))
+            if filled <= block_bytes or depth > 8:
+                yield sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda x: (str(x[0]), x[1]))
+            else:
+                yield from _dealt(part, filled, block_bytes, depth + 1)
+            own, filled = [], 0
+        own.append(number)
+        filled += size
+    if not sizes:
+        yield []
 
 
 def scan(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES, keep: list[Column | str] | None = None) -> DataFrame:
@@ -102,7 +131,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: int =
 
     Columns added: n_words, n_hit, ranges (array of struct start, end: word numbers), spans (the same as code points of
     the original text), items (item ids as strings, sorted), n_items, items_sha256, contaminated. The benchmark goes to
-    the executors in blocks of checked size (each a pass over the rows, without a shuffle). Texts are scanned once per
+    the executors in blocks of checked size, by broadcast variables (each a pass over the rows, without a shuffle). Texts are scanned once per
     block, whole. Null text: no words. Null item ids and items without words match nothing. Repeated rows stay.
     """
     keep = keep or ["doc_id"]
@@ -113,7 +142,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: int =
     middle = f"{head}, {'' if own else '__text string, '}__ranges array<bigint>, __items array<string>"
     at_text = keep.index("text") if own else len(keep)
     final = f"{head}, {HITS}"
-    block = next(blocks := item_blocks(items, block_bytes))
+    block = next(blocks := item_blocks(items, window, block_bytes))
     while block is not None:
         after = next(blocks, None)
         df = _scanned(df, block, window, final if after is None else middle, len(keep) if after is None else None, at_text)
@@ -128,10 +157,11 @@ def _scanned(df: DataFrame, block: list[tuple], window: int, ddl: str, kept: int
     """One pass for one block: adds its hits to the ranges and items so far. The last pass (kept: how many columns it
     keeps) forms the result."""
     key = hashlib.sha256(repr((block, window)).encode()).hexdigest()
+    shared = df.sparkSession.sparkContext.broadcast(block)
     target = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(key, block, window)
+        matcher = _matcher(key, shared.value, window)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)

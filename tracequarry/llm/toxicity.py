@@ -16,9 +16,7 @@ from tracequarry.llm.common import arrow_schema, bounded_batches, materialize
 
 #: At most so many labelled rows, the least by a hash of doc_id, teach the lexicon and the weights.
 SAMPLE_ROWS = 20_000
-#: At most so many lexicon entries and exceptions, the strongest first.
-TERMS, EXCEPTIONS = 3_000, 50_000
-#: Different words or entries that a worker holds at a time.
+#: Different words, entries or moves of the automaton that a worker holds at a time.
 HELD = 100_000
 STEM_SIZES = range(4, 9)
 FUZZY_LEAST = 5
@@ -57,6 +55,7 @@ class LevenshteinTrie:
         self.number: dict[frozenset, int] = {}
         self.moves: list[dict[str, int]] = []
         self.found: list[tuple[int, str] | None] = []
+        self.learnt = 0
         self.start = self._state({(0, 0)})
 
     def _state(self, nodes: set) -> int:
@@ -84,10 +83,15 @@ class LevenshteinTrie:
                 after.update((child, 1) for child in self.children[node].values())
                 after.add((node, 1))
         to = self.moves[state][ch] = self._state(after)
+        self.learnt += 1
         return to
 
     def match(self, word: str) -> tuple[int, str] | None:
-        """(edits, lexicon word) of the nearest lexicon word within one edit."""
+        """(edits, lexicon word) of the nearest lexicon word within one edit. Moves are learnt anew once there are many."""
+        if self.learnt > HELD:
+            self.learnt = 0
+            for known in self.moves:
+                known.clear()
         state, moves = self.start, self.moves
         for ch in word:
             to = moves[state].get(ch)
@@ -216,7 +220,10 @@ class Model:
 
 
 def _lexicon(counts: DataFrame, halves: list[int], sizes: dict) -> Lexicon:
-    """Entries over-represented in toxic rows: at least 3 of them, 4 standard errors and 4 times the share of others."""
+    """Entries over-represented in toxic rows: at least 3 of them, 4 standard errors and 4 times the share of others.
+
+    All such entries, and all ordinary words near one: both are words of the sample's rows, which bound them.
+    """
     nt, nc = sum(sizes.get((h, 1), 0) for h in halves), sum(sizes.get((h, 0), 0) for h in halves)
     if not nt or not nc:
         return Lexicon({}, {}, set())
@@ -225,7 +232,7 @@ def _lexicon(counts: DataFrame, halves: list[int], sizes: dict) -> Lexicon:
     z = (F.col("t") - nt * F.col("p")) / F.sqrt(nt * F.col("p") * (1 - F.col("p")) + 0.05)
     odds = F.log((F.col("t") + 0.5) / (nt + 1)) - F.log((F.col("c") + 0.5) / (nc + 1))
     strong = rows.withColumn("z", z).withColumn("w", odds).filter(f"t >= 3 and z >= 4 and w >= {math.log(4)}")
-    top = strong.orderBy(F.desc("z"), "entry").limit(TERMS).collect()
+    top = strong.orderBy(F.desc("z"), "entry").collect()  # as many as the sample's words bear out
     words = {r["entry"]: r["w"] for r in top if not r["entry"].endswith("~")}
     stems = {r["entry"][:-1]: r["w"] for r in top if r["entry"].endswith("~")}
     # a stem has to say more than the words that were found with it
@@ -238,7 +245,7 @@ def _lexicon(counts: DataFrame, halves: list[int], sizes: dict) -> Lexicon:
             yield batch.filter(keep)
 
     plain = rows.filter("c > 0 and t <= c and not endswith(entry, '~')").select("entry", "c")
-    found = plain.mapInArrow(ordinary, "entry string, c long").orderBy(F.desc("c"), "entry").limit(EXCEPTIONS).collect()
+    found = plain.mapInArrow(ordinary, "entry string, c long").collect()
     return Lexicon(words, stems, {r["entry"] for r in found} - words.keys())
 
 
