@@ -1,9 +1,10 @@
 import json
+import random
 
 from tracequarry.llm.chat import format_messages, link_calls
 
 SCHEMA = "conv_id long, turn long, role string, text string"
-TOOLS = {"tools": [{"function": {"name": "add", "parameters": {"properties": {"x": {"type": "integer"}, "y": {"type": "number"}, "s": {"type": "string", "enum": ["a", "b"]}, "b": {"type": "boolean"}, "l": {"type": "array"}, "o": {"type": "object"}}, "required": ["x"]}}}]}
+TOOLS = {"tools": [{"function": {"name": "add", "parameters": {"properties": {"x": {"type": "integer"}, "y": {"type": "number"}, "s": {"type": "string", "enum": ["a", "b"]}, "b": {"type": "boolean"}, "l": {"type": "array"}, "o": {"type": "object"}}, "required": ["x"], "additionalProperties": False}}}]}
 
 
 def call(i, args, name="add"):
@@ -54,3 +55,62 @@ def test_messages(spark):
     assert sum(r.conv_id == 1 and r.turn == 0 for r in out) == 3
     assert format_messages(spark.createDataFrame([], SCHEMA)).count() == 0
 
+
+
+def errors_of(spark, schema, *arguments):
+    rows = talk(1, ("system", {"tools": [{"name": "f", "parameters": schema}]}), ("assistant", {"tool_calls": [{"id": str(i), "name": "f", "arguments": a} for i, a in enumerate(arguments)]}))
+    got = {r.call_id: r.errors for r in link_calls(spark.createDataFrame(rows, SCHEMA)).collect()}
+    return [got[str(i)] for i in range(len(arguments))]
+
+
+def test_nested_schemas(spark):
+    schema = {
+        "properties": {
+            "o": {"type": "object", "properties": {"k": {"type": ["string", "null"]}, "deep": {"properties": {"n": {"type": "integer"}}, "additionalProperties": False}}, "required": ["k"]},
+            "l": {"type": "array", "items": {"type": "object", "properties": {"v": {"enum": [1, "a"]}}, "required": ["v"]}},
+            "c": {"const": {"a": 1}},
+            "f": {"type": "number"},
+        },
+        "required": [],
+    }
+    good = {"o": {"k": None, "more": 1, "deep": {"n": 3}}, "l": [{"v": 1}, {"v": "a"}], "c": {"a": 1}, "f": 1.0, "free": True}
+    bad = {"o": {"deep": {"n": 1.0, "x": 0}}, "l": [{"v": 2}, {}, 5], "c": {"a": 2}, "f": "1.0"}
+    loose = {"o": "${x}", "l": "${y}", "f": 1e3}
+    assert errors_of(spark, schema, good, bad, loose) == [[], sorted(["missing:o.k", "type:o.deep.n", "unexpected:o.deep.x", "enum:l[].v", "missing:l[].v", "type:l[]", "const:c", "type:f"]), []]
+
+
+def test_numbers_and_other_members_stay_as_written(spark):
+    text = '{"z": 1.0, "content": "a 1.0 \\"2.50\\" b", "n": [1e3, -0, 12345678901234567890123, 2.50, 7], "refusal": null, "tool_calls": [{"id": "a", "type": "function", "function": {"name": "f", "arguments": "{\\"x\\": 1.0}"}}]}'
+    out = {r.role: r for r in format_messages(spark.createDataFrame([(1, 1, "assistant", text), (1, 2, "user", text)], SCHEMA)).collect()}
+    assert out["assistant"].canonical == '{"content":"a 1.0 \\"2.50\\" b","n":[1e3,-0,12345678901234567890123,2.50,7],"refusal":null,"role":"assistant","tool_calls":[{"arguments":{"x":1.0},"id":"a","level":0,"name":"f","result":null,"type":"function"}],"z":1.0}'
+    assert '"z":1.0}' in out["user"].canonical and out["user"].n_calls == 0
+
+
+def test_messages_of_one_turn_keep_their_calls(spark):
+    one = lambda i: json.dumps({"tool_calls": [call(i, {})]})
+    out = format_messages(spark.createDataFrame([(1, 1, "assistant", one("a")), (1, 1, "assistant", one("b")), (1, 1, "user", "x"), (1, 1, "assistant", one("a"))], SCHEMA)).collect()
+    assert sorted((r.n_calls, [c["id"] for c in json.loads(r.canonical)["tool_calls"]] if r.role == "assistant" else []) for r in out) == [(0, []), (1, ["a"]), (1, ["a"]), (1, ["b"])]
+
+
+def brute_levels(wants):
+    done = {}
+    while True:
+        ready = {i: 1 + max((done[w] for w in ws if w in wants), default=-1) for i, ws in wants.items() if i not in done and all(w in done for w in ws if w in wants)}
+        if not ready:
+            return {i: done.get(i) for i in wants}
+        done |= ready
+
+
+def test_levels_of_any_graph(spark):
+    rng, rows, wanted = random.Random(4), [], {}
+    for conv in range(40):
+        n = rng.randrange(1, 30)
+        for i in range(n):
+            pool = range(i) if conv % 3 else range(n)
+            ws = {f"k{rng.choice(pool)}" for _ in range(rng.choice((0, 1, 1, 1, 2, 3)))} if pool else set()
+            wanted.setdefault(conv, {})[f"k{i}"] = ws
+            rows.append((conv, i, "assistant", json.dumps({"tool_calls": [call(f"k{i}", {w: f"${{{w}}}" for w in ws})]})))
+    got = {}
+    for r in link_calls(spark.createDataFrame(rows, SCHEMA)).collect():
+        got.setdefault(r.conv_id, {})[r.call_id] = r.level
+    assert got == {conv: brute_levels(ws) for conv, ws in wanted.items()}

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import secrets
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tracequarry.llm.chat import json_string
 from tracequarry.llm.common import table
 
 
@@ -20,10 +23,42 @@ def surrogate_key(spark: SparkSession) -> str:
     return spark.conf.get("spark.tracequarry.pii.key", None) or secrets.token_hex(32)
 
 
+#: What the assistants of the table may call: a look-up, and a note about a call.
+TOOLS = {
+    "tools": [
+        {"function": {"name": "lookup", "parameters": {"additionalProperties": False, "properties": {"after": {"type": "string"}, "n": {"type": "integer"}, "q": {"type": ["string", "null"]}}, "required": ["n", "q"], "type": "object"}}},
+        {"function": {"name": "note", "parameters": {"properties": {"meta": {"properties": {"size": {"type": "integer"}}, "required": ["size"], "type": "object"}, "of": {"type": "string"}}, "required": ["of"], "type": "object"}}},
+    ]
+}
+
+
+def with_calls(conversations: DataFrame) -> DataFrame:
+    """The conversations as ones of tool use, as the table itself holds no calls.
+
+    Every conversation declares TOOLS before its first turn. An assistant's message at turn t makes two calls: a look-up
+    a<t> of its first word after the note b<t-2>, and a note b<t> on it. A user's message at turn t is also the result of
+    a<t-1>. Texts of several lines give a look-up a wrong type, texts that don't end in a full stop a note an empty meta.
+    """
+    c = conversations.select("conv_id", "turn", "role", "text")
+    declared = c.select("conv_id").distinct().select("conv_id", F.lit(-1).cast("long").alias("turn"), F.lit("system").alias("role"), F.lit(json.dumps(TOOLS)).alias("text"))
+    turn = F.col("turn").cast("string")
+    ref = lambda k, t: F.concat(F.lit("${" + k), t, F.lit("}"))
+    call = lambda i, name, arguments: F.concat(F.lit('{"id":'), json_string(i), F.lit(f',"type":"function","function":{{"name":"{name}","arguments":'), arguments, F.lit("}}"))
+    n = F.when(F.col("text").contains("\n"), F.lit('"lines"')).otherwise(F.length("text").cast("string"))
+    first = F.concat(F.lit('{"q":'), json_string(F.substring_index("text", " ", 1)), F.lit(',"n":'), n, F.lit(',"after":'), json_string(ref("b", (F.col("turn") - 2).cast("string"))), F.lit("}"))
+    size = F.when(F.col("text").endswith("."), F.concat(F.lit('{"size":'), F.length("text").cast("string"), F.lit("}"))).otherwise("{}")
+    second = F.concat(F.lit('{"of":'), json_string(ref("a", turn)), F.lit(',"meta":'), size, F.lit("}"))
+    spoken = F.concat(F.lit('{"content":'), json_string(F.col("text")), F.lit(',"name":"helper","tool_calls":['), call(F.concat(F.lit("a"), turn), "lookup", first), F.lit(","), call(F.concat(F.lit("b"), turn), "note", second), F.lit("]}"))
+    own = c.withColumn("text", F.when((F.col("role") == "assistant") & F.col("text").isNotNull() & F.col("turn").isNotNull(), spoken).otherwise(F.col("text")))
+    answer = F.concat(F.lit('{"tool_call_id":'), json_string(F.concat(F.lit("a"), (F.col("turn") - 1).cast("string"))), F.lit(',"content":'), json_string(F.col("text")), F.lit("}"))
+    told = c.filter("role = 'user' and text is not null and turn is not null").select("conv_id", "turn", F.lit("tool").alias("role"), answer.alias("text"))
+    return declared.unionByName(own).unionByName(told)
+
+
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracequarry.llm.chat import format_messages
 
-    return format_messages(table(spark, sf_dir, "conversations"))
+    return format_messages(with_calls(table(spark, sf_dir, "conversations")))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,12 +118,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_chat, op2_simhash, op3_decontaminate, op4_secrets, op5_pack, op6_toxicity, op7_pii, op9_mpeg_audio, op8_pitman_yor, op10_substring_dedup)}
 
-#: Only what SQL expresses whole. op1's holds for messages without calls, as all of the tables' are; tests cover the rest.
+#: Only what SQL expresses whole.
 ORACLE_SQL: dict[str, str] = {
     "op1_chat": """
-        SELECT conv_id, turn, role, 0::BIGINT AS n_calls, 0::BIGINT AS n_linked, 0::BIGINT AS n_invalid,
-               NULL::BIGINT AS level, to_json({'content': text, 'role': role})::VARCHAR AS canonical
-        FROM conversations
+        WITH s AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS i FROM conversations WHERE role = 'assistant'),
+        depth AS (SELECT conv_id, turn, 2 * (row_number() OVER (PARTITION BY conv_id, turn % 2, turn - 2 * i ORDER BY turn) - 1) AS level FROM s),
+        calls AS (
+          SELECT a.conv_id, a.turn, a.text, d.level, u.text AS answer, contains(a.text, chr(10)) AS bad_a, NOT ends_with(a.text, '.') AS bad_b
+          FROM conversations a JOIN depth d USING (conv_id, turn) LEFT JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn + 1 AND u.role = 'user' WHERE a.role = 'assistant')
+        SELECT DISTINCT conv_id, -1::BIGINT AS turn, 'system' AS role, 0::BIGINT AS n_calls, 0::BIGINT AS n_linked, 0::BIGINT AS n_invalid, NULL::BIGINT AS level, '"""
+    + json.dumps(TOOLS, sort_keys=True, separators=(",", ":"))
+    + """' AS canonical FROM conversations
+        UNION ALL SELECT conv_id, turn, role, 0, 0, 0, NULL, to_json({'content': text, 'role': role})::VARCHAR FROM conversations WHERE role <> 'assistant'
+        UNION ALL SELECT conv_id, turn, 'tool', 0, 0, 0, NULL, to_json({'content': text, 'tool_call_id': 'a' || (turn - 1)})::VARCHAR FROM conversations WHERE role = 'user'
+        UNION ALL SELECT conv_id, turn, 'assistant', 2, (answer IS NOT NULL)::BIGINT, bad_a::BIGINT + bad_b::BIGINT, level + 1,
+          '{"content":' || to_json(text)::VARCHAR || ',"name":"helper","role":"assistant","tool_calls":[{"arguments":{"after":"${b' || (turn - 2) || '}","n":' || CASE WHEN bad_a THEN '"lines"' ELSE length(text)::VARCHAR END || ',"q":' || to_json(split_part(text, ' ', 1))::VARCHAR
+          || '},"id":"a' || turn || '","level":' || level || ',"name":"lookup","result":' || coalesce(to_json(answer)::VARCHAR, 'null') || ',"type":"function"},{"arguments":{"meta":' || CASE WHEN bad_b THEN '{}' ELSE '{"size":' || length(text) || '}' END
+          || ',"of":"${a' || turn || '}"},"id":"b' || turn || '","level":' || (level + 1) || ',"name":"note","result":null,"type":"function"}]}' FROM calls
     """,
     "op3_decontaminate": r"""
         WITH w AS (
