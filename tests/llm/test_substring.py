@@ -47,7 +47,14 @@ def test_against_brute_force(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     out = remove_repeats(df, with_text=True).collect()
     assert sorted(tuple(r[:4]) for r in out) == brute(docs)
+    texts = {}
+    for doc, text in docs:
+        texts.setdefault(doc, []).append((text or "").split())
     for r in out:
+        for f in r.factors:
+            assert (f.source_doc, f.source_start) < (r.doc_id, f.start)
+            own = [ws[f.start : f.start + f.length] for ws in texts[r.doc_id] if len(ws) == r.n_words]
+            assert any(ws[f.source_start : f.source_start + f.length] in own for ws in texts[f.source_doc])
         covered = {i for f in r.factors for i in range(f.start, f.start + f.length)}
         assert len(covered) == r.n_removed and all(f.length >= 20 for f in r.factors)
         assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
@@ -58,3 +65,14 @@ def test_odd_and_empty(odd_docs, no_docs):
     known = [(r.doc_id, r.text) for r in odd_docs.collect() if r.doc_id is not None]
     assert sorted(tuple(r[:4]) for r in remove_repeats(odd_docs.filter("doc_id is not null")).collect()) == brute(known)
     assert remove_repeats(no_docs).count() == 0
+
+
+def test_a_factor_ends_where_its_source_does(spark):
+    words = [f"w{i}" for i in range(200)]
+    docs = [(1, " ".join(words[:60])), (2, " ".join(words[40:120])), (3, " ".join(words[10:110])), (4, " ".join(words[10:55] + ["x"] + words[56:100]))]
+    for block in (1 << 20, 100):
+        out = {r.doc_id: r.factors for r in remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), block_bytes=block).collect()}
+        assert [tuple(f) for f in out[2]] == [(0, 20, 1, 40)]
+        assert [tuple(f) for f in out[3]] == [(0, 50, 1, 10), (31, 69, 2, 1)]
+        assert [tuple(f) for f in out[4]] == [(0, 45, 1, 10), (46, 44, 2, 16)]
+        assert out[1] == []
