@@ -146,17 +146,6 @@ def f14_path_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), T.paths_overlap(F.col("url"), b).alias("overlaps"))
 
 
-@query("""WITH r AS (SELECT item_id, 'Sure: ' || to_json({'id': item_id, 'k': [1, 2]})::VARCHAR || CASE WHEN item_id % 3 = 0 THEN '' ELSE ' ok' END AS t FROM benchmark) SELECT item_id AS id, item_id AS parsed FROM r""")
-def x11_first_json_object(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The object that begins at the first brace of an answer, whatever stands around it."""
-    t = F.concat(F.lit("Sure: "), F.to_json(F.struct(F.col("item_id").alias("id"), F.array(F.lit(1), F.lit(2)).alias("k"))), F.when(F.col("item_id") % 3 == 0, "").otherwise(" ok"))
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), t.alias("t"))
-    tail = F.substring("t", F.instr("t", F.lit("{")), F.length("t"))
-    ends = F.transform(F.filter(F.sequence(F.length(tail), F.lit(1), F.lit(-1)), lambda i: F.substring(tail, i, F.lit(1)) == "}"), lambda i: F.try_parse_json(F.substring(tail, F.lit(1), i)))
-    whole = F.get(F.filter(ends, lambda v: v.isNotNull()), F.lit(0))
-    return b.select("id", F.try_variant_get(whole, "$.id", "bigint").alias("parsed"))
-
-
 @query(with_sql(RESPONSES) + "SELECT sha256(concat_ws(chr(31), 'v1', stage, request_hash, 'model')) AS key, count(*) AS uses, bool_or(ok) AS cached FROM responses GROUP BY 1")
 def x5_cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of versioned requests with the public part of the provider's settings."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracequarry.plans.catalog import query
-from tracequarry.sources.tables import MESSAGES, TRACE, VALIDATIONS, messages, table, trace, validations, with_sql
+from tracequarry.sources.tables import MESSAGES, TRACE, VALIDATIONS, messages, trace, validations, with_sql
 
 BUDGET = 64
 #: tool -> effects: (operation, key, amount); "set" replaces, "increment" adds, "delete" removes.
@@ -195,19 +195,3 @@ def p20_tool_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = F.when(F.col("at").isNull() & (F.col("idx") == F.col("first")), F.struct((F.col("first") - 1).alias("idx"), F.lit("system").alias("role"), note.alias("text")))
     out = marked.select("id", F.explode(F.array_compact(F.array(new, own))).alias("m"))
     return out.select("id", "m.idx", "m.role", F.sha2("m.text", 256).alias("text_hash"))
-
-
-@query("SELECT p_partkey AS id, concat_ws('/', p_brand, CASE WHEN p_size <= 3 THEN 'le_3' WHEN p_size <= 6 THEN 'le_6' WHEN p_size <= 10 THEN 'le_10' WHEN p_size <= 15 THEN 'le_15' ELSE 'gt_15' END, CASE WHEN p_partkey % 9 <= 0 THEN 'le_0' WHEN p_partkey % 9 <= 1 THEN 'le_1' WHEN p_partkey % 9 <= 3 THEN 'le_3' WHEN p_partkey % 9 <= 6 THEN 'le_6' ELSE 'gt_6' END) AS cell FROM part")
-def r20_archive_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Domain and bucketed depth and decisions as one cell."""
-    from tracequarry.functions.text import bucketize
-
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("/", "p_brand", bucketize(F.col("p_size"), [3, 6, 10, 15]), bucketize(F.col("p_partkey") % 9, [0, 1, 3, 6])).alias("cell"))
-
-
-@query("SELECT s_suppkey AS id, s_acctbal >= 0 AND s_nationkey BETWEEN 3 AND 20 AND s_suppkey % 5 <> 0 AS valid, concat_ws(',', CASE WHEN s_acctbal < 0 THEN 'balance' END, CASE WHEN s_nationkey NOT BETWEEN 3 AND 20 THEN 'steps' END, CASE WHEN s_suppkey % 5 = 0 THEN 'decisions' END) AS failed FROM supplier")
-def c22_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A gate of ranges: a row passes if no rule of it fails, and the failed rules are named."""
-    rules = {"balance": F.col("s_acctbal") >= 0, "steps": F.col("s_nationkey").between(3, 20), "decisions": F.col("s_suppkey") % 5 != 0}
-    failed = F.array_compact(F.array(*[F.when(~ok, F.lit(n)) for n, ok in rules.items()]))
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.size(failed) == 0).alias("valid"), F.array_join(failed, ",").alias("failed"))

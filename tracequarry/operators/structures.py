@@ -46,14 +46,6 @@ def f18_leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _schemas(spark, sf_dir).select("id", F.array_join(forbidden_keys(F.col("schema"), ["description", "solution"]), ",").alias("leaks"))
 
 
-@query("SELECT l_orderkey AS task_id, l_linenumber AS idx, l_partkey AS tool FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 5)")
-def v12_unknown_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plan actions whose tool the bundle doesn't have."""
-    known = table(spark, sf_dir, "part").filter("p_size > 5").select(F.col("p_partkey").alias("tool"))
-    a = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("idx"), F.col("l_partkey").alias("tool"))
-    return a.join(known, "tool", "left_anti").select("task_id", "idx", "tool")
-
-
 @query("WITH b AS (SELECT l_orderkey AS id, list(l_quantity > 40 ORDER BY l_linenumber, l_partkey, l_extendedprice) AS a FROM lineitem GROUP BY 1) SELECT id, len(list_filter(a, lambda x: x)) = 1 AND a[len(a)] AS valid, CAST(len(list_filter(a, lambda x: x)) AS BIGINT) AS unconditional FROM b")
 def v16_final_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exactly one branch always holds, and it is the last."""

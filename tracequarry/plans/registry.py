@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracequarry.operators import audits, conversations, documents, episodes, requests, rollups, selection, structures, tools, trace, validation  # noqa: F401
+from tracequarry.operators import audits, bundles, conversations, documents, episodes, gates, requests, rollups, selection, structures, tools, trace, validation  # noqa: F401
 from tracequarry.plans.catalog import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "a2_trajectory_profile"
