@@ -74,3 +74,8 @@ def test_level_choice_is_least_sum_of_squares():
         options = [h for h in range(20 - size + 1) if h == 0 or counts[h]]
         assert cost(packer.place(size)) == min(map(cost, options))
         packer.add([None], size)
+
+
+def test_few_windows_stay_open(spark):
+    docs = spark.createDataFrame([(i, " ".join(["word"] * (i % 97 + 1))) for i in range(400)], "doc_id long, text string").coalesce(1)
+    check(docs, pack(docs, PATH, 64, open_windows=3), 64)

@@ -15,6 +15,9 @@ from tracequarry.llm.common import arrow_schema, bounded_batches
 
 #: Words kept in a worker's token cache; about 150 bytes each.
 CACHE_WORDS = 500_000
+#: Open windows that a partition holds, of 16 kB at most; beyond these they are filled up by cutting, and packing goes on
+#: with none. Most mixes of sizes keep far fewer open, but some grow in proportion to the documents.
+OPEN = 8192
 #: Letters below this one have one lower-case letter each and are composed already.
 _PLAIN = "\u0130"
 #: Marks that never join with letters; the apostrophe can (it begins contractions).
@@ -147,6 +150,9 @@ class SumOfSquares:
         self.counts[level + size] += 1
         return None
 
+    def open(self) -> int:
+        return int(self.counts.sum())
+
     def drain(self) -> list[tuple[int, list]]:
         return [(level, w) for level in sorted(self.stacks, reverse=True) for w in self.stacks[level]]
 
@@ -190,13 +196,13 @@ def _settle(left: list[tuple[int, list]], capacity: int) -> Iterator[list]:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, with_ids: bool = False, open_windows: int = OPEN) -> DataFrame:
     """Pieces of tokenised documents with their places in sequences of at most `capacity` tokens.
 
-    One pass and no shuffle: each input partition packs its own rows as they come, holding only its open windows
-    (their number stays near the number of levels in use). Sequence ids are the partition's number times 2**33 plus a
-    counter. Texts longer than a window are cut at full windows and their rest is packed. What is open at the
-    partition's end is filled up by cutting pieces of the emptiest windows, and the very last window is cut at powers of
+    One pass and no shuffle: each input partition packs its own rows as they come, holding only its open windows, of which
+    there are at most `open_windows` (see OPEN). So pieces and sequence ids follow the input's splits. Sequence ids are the partition's number times 2**33 plus a
+    counter. Texts longer than a window are cut at full windows and their rest is packed. What is open then or
+    at the partition's end is filled up by cutting pieces of the emptiest windows, and the last of these is cut at powers of
     two, so no sequence needs padding. with_ids adds each piece's ids as little-endian uint32 bytes.
 
     Null text: empty, so only the end id. Null doc_id and repeated rows are packed like any other. Empty table: no rows.
@@ -241,6 +247,10 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
                     window = packer.add([(doc, full, ids[4 * full :], total)], total - full)
                     if window:
                         emit(window)
+                    elif packer.open() > open_windows:
+                        for window in _settle(packer.drain(), capacity):
+                            emit(window)
+                        packer = SumOfSquares(capacity)
             if len(rows) >= 5000:
                 yield flush()
         for window in _settle(packer.drain(), capacity):
