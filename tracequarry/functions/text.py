@@ -25,6 +25,10 @@ VERIFICATION_TOKENS = ["verify", "status"]
 SENSITIVE_NAMES = ["password", "secret", "credential", "api_key", "private_key"]
 
 
+PERMANENT_MARKERS = ["PROHIBITED_CONTENT", "blockReason", "finishReason': 'SAFETY'", '"finishReason": "SAFETY"']
+CONTROL_ARGUMENTS = ["channel", "collection", "constraint_type", "credential_type", "destination", "expected_status", "format", "job_type", "provider", "relationship", "resource_type", "service", "target_collection", "view", "visibility"]
+
+
 def total(flags: list[Column]) -> Column:
     return reduce(add, [f.cast("long") for f in flags], F.lit(0).cast("long"))
 
@@ -100,6 +104,25 @@ def expects_recovery(text: Column) -> Column:
     return any_marker(text, RECOVERY_MARKERS)
 
 
+def is_completed(status: Column) -> Column:
+    """A rollout without a status is a completed one."""
+    return F.coalesce(status, F.lit("completed")) == "completed"
+
+
+def is_permanent_error(message: Column) -> Column:
+    """A rejection that no retry will mend; markers stand as they are."""
+    return F.coalesce(reduce(lambda a, b: a | b, [message.contains(m) for m in PERMANENT_MARKERS]), F.lit(False))
+
+
+def is_scaffolding(tool: Column, capability: Column, tools: list[str], prefix: str = "audit.") -> Column:
+    return F.coalesce(tool.isin(*tools) | capability.startswith(prefix), F.lit(False))
+
+
+def is_control_argument(name: Column) -> Column:
+    """Arguments that need no source in the conversation."""
+    return name.isin(*CONTROL_ARGUMENTS)
+
+
 def is_opaque_name(name: Column) -> Column:
     return name.rlike(r"^(operation|tool|function)_\d+_[0-9a-f]+$")
 

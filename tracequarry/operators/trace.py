@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracequarry.functions import text as T
 from tracequarry.plans.catalog import query
 from tracequarry.sources.tables import TRACE, table, trace, with_sql
 
@@ -215,3 +216,38 @@ def g3_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
             return state
         state = after
     raise RuntimeError("lineage has a cycle")
+
+
+@query(with_sql(TRACE, "s AS (SELECT episode_id, arg_max(coalesce(error_code, ''), step) AS last, count(*) AS steps FROM trace GROUP BY 1)") + "SELECT episode_id, coalesce(CASE WHEN last <> '' THEN 'failed' WHEN steps > 64 THEN 'step_limit' END, 'completed') = 'completed' AS completed FROM s")
+def f10_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes whose status is missing or says so: one that ends in an error failed, one above 64 steps met the limit."""
+    s = trace(spark, sf_dir).groupBy("episode_id").agg(F.max_by(F.coalesce("error_code", F.lit("")), "step").alias("last"), F.count("*").alias("steps"))
+    status = F.when(F.col("last") != "", "failed").when(F.col("steps") > 64, "step_limit")
+    return s.select("episode_id", T.is_completed(status).alias("completed"))
+
+
+@query(with_sql(TRACE, "m AS (SELECT episode_id, step, CASE error_code WHEN 'E4' THEN '{\"finishReason\": \"SAFETY\"}' WHEN 'E3' THEN 'blockReason: ' || tool ELSE 'timeout ' || error_code END AS message FROM trace WHERE error_code IS NOT NULL)") + "SELECT episode_id, step, contains(message, 'blockReason') OR contains(message, 'SAFETY') AS permanent FROM m")
+def f11_permanent_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors as providers word them; E3 and E4 are rejections."""
+    code = F.col("error_code")
+    message = F.when(code == "E4", F.lit('{"finishReason": "SAFETY"}')).when(code == "E3", F.concat(F.lit("blockReason: "), F.col("tool"))).otherwise(F.concat(F.lit("timeout "), code))
+    return trace(spark, sf_dir).filter(code.isNotNull()).select("episode_id", "step", T.is_permanent_error(message).alias("permanent"))
+
+
+@query(with_sql(TRACE) + "SELECT episode_id, count(*) FILTER (tool = 'signup' OR branch = 'b0') AS scaffolding, count(*) FILTER (NOT (tool = 'signup' OR branch = 'b0')) AS own, count(*) FILTER (tool = 'view') AS exempt FROM trace GROUP BY episode_id")
+def f13_scaffolding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps that only hold a task together (a fixed tool, or a capability of audits: branch b0 here), and arguments that
+    need no source (named by the step's tool here)."""
+    capability = F.concat(F.when(F.col("branch") == "b0", "audit.").otherwise("task."), F.col("tool"))
+    held = T.is_scaffolding(F.col("tool"), capability, ["signup"])
+    return trace(spark, sf_dir).groupBy("episode_id").agg(F.count_if(held).alias("scaffolding"), F.count_if(~held).alias("own"), F.count_if(T.is_control_argument(F.col("tool"))).alias("exempt"))
+
+
+@query(with_sql(TRACE) + "SELECT episode_id, arg_max(tool, (k, step)) FILTER (tool IN ('purchase', 'signup')) AS commit_tool, max(step) FILTER (tool IN ('view', 'signup')) AS verify_step, min(step) FILTER (produced IS NOT NULL) AS target_step FROM trace GROUP BY episode_id")
+def o10_hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hooks of an episode: its strongest change (by k, then the later), its last check, and the first step that shows a
+    handle."""
+    change = F.when(F.col("tool").isin("purchase", "signup"), F.struct("k", "step", "tool"))
+    check = F.when(F.col("tool").isin("view", "signup"), F.col("step"))
+    g = trace(spark, sf_dir).groupBy("episode_id").agg(F.max(change).alias("c"), F.max(check).alias("verify_step"), F.min(F.when(F.col("produced").isNotNull(), F.col("step"))).alias("target_step"))
+    return g.select("episode_id", F.col("c.tool").alias("commit_tool"), "verify_step", "target_step")
