@@ -91,8 +91,17 @@ def archive_add(archive: DataFrame, candidates: DataFrame, key: str = "task_id")
     return marked.filter(fresh).drop("__n", "__known"), marked.filter(~fresh).withColumn("reason", reason).drop("__n", "__known")
 
 
+#: Parts of a folder that are hashed on their own.
+CELLS = 4096
+
+
 def digest(spark: SparkSession, root: str) -> str:
-    """SHA-256 over the sorted names and SHA-256 of the files below root; file contents never leave the executors."""
+    """SHA-256 over the names and SHA-256 of the files below root; file contents never leave the executors.
+
+    Files are dealt to CELLS by their names' hash; each cell's sorted list is hashed, then the cells' hashes are in order.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    each = files.select(F.concat_ws(":", F.col("path"), F.sha2("content", 256)).alias("d"))
-    return each.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "\n"), 256).alias("h")).first()["h"]
+    hashed = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    each = files.select(F.pmod(F.xxhash64("path"), F.lit(CELLS)).alias("cell"), F.concat_ws(":", "path", F.sha2("content", 256)).alias("d"))
+    cells = each.groupBy("cell").agg(F.concat_ws(":", F.format_string("%08d", "cell"), hashed("d")).alias("d"))
+    return cells.agg(hashed("d").alias("h")).first()["h"]
