@@ -116,7 +116,30 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_simhash, op3_decontaminate, op4_secrets, op5_pack, op6_toxicity, op7_pii, op9_mpeg_audio, op8_pitman_yor, op10_substring_dedup)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of documents. Where 5 divides the id's crc32, the text's capital letters were made small ones later."""
+    from tracequarry.llm.merkle import audit, leaf_digest, manifest, proof_digest
+
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    small = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    touched = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, leaf_digest([*[F.col(c) for c in columns[:-1]], small]))
+    rows = manifest(table(spark, sf_dir, "documents"), columns, keep={"touched": touched})
+    return audit(rows, F.col("touched")).select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracequarry.llm.odd_sketch import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracequarry.llm.whitening import by_component, whiten
+
+    return by_component(whiten(table(spark, sf_dir, "embeddings")))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat, op2_simhash, op3_decontaminate, op4_secrets, op5_pack, op6_toxicity, op7_pii, op9_mpeg_audio, op8_pitman_yor, op10_substring_dedup, op11_merkle, op12_odd_sketch, op13_whitening)}
 
 #: Only what SQL expresses whole.
 ORACLE_SQL: dict[str, str] = {
