@@ -141,8 +141,65 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_chat, op2_simhash, op3_decontaminate, op4_secrets, op5_pack, op6_toxicity, op7_pii, op9_mpeg_audio, op8_pitman_yor, op10_substring_dedup, op11_merkle, op12_odd_sketch, op13_whitening)}
 
+def _tree_sql(leaves: str, name: str, levels: int) -> str:
+    """CTEs <name>0.. of (g, i, d, n), each with its runs' strings l and r beside every node, from leaves (g, i, d, n)."""
+    siblings = "coalesce(string_agg(d, '') OVER (PARTITION BY g, i // 16 ORDER BY i ROWS BETWEEN {}), '')"
+    left, right = siblings.format("UNBOUNDED PRECEDING AND 1 PRECEDING"), siblings.format("1 FOLLOWING AND UNBOUNDED FOLLOWING")
+    sides = f"CASE WHEN n > 1 THEN {left} ELSE '' END AS l, CASE WHEN n > 1 THEN {right} ELSE '' END AS r"
+    out = [f"{name}0 AS (SELECT *, {sides} FROM {leaves})"]
+    for k in range(levels):
+        out.append(f"{name}{k + 1} AS (SELECT *, {sides} FROM (SELECT g, i // 16 AS i, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(d, '' ORDER BY i)) ELSE any_value(d) END AS d, (any_value(n) + 15) // 16 AS n FROM {name}{k} GROUP BY g, i // 16))")
+    return ",\n        ".join(out)
+
+
+def _climb_sql(start: str, levels: int, digest: str, name: str) -> tuple[str, str, str]:
+    """The joins along a leaf's ancestors, all siblings' digests, and what `digest` leads to."""
+    joins = "".join(f" JOIN {name}{k} ON {name}{k}.g = {start}.g AND {name}{k}.i = {start}.i // {16**k}" for k in range(levels))
+    proof = " || ".join(f"{name}{k}.l || {name}{k}.r" for k in range(levels))
+    for k in range(levels):
+        digest = f"CASE WHEN {name}{k}.n > 1 THEN sha256({name}{k}.l || {digest} || {name}{k}.r) ELSE {digest} END"
+    return joins, proof, digest
+
+
+def _merkle_sql(levels: int = 5, top: int = 3) -> str:
+    """op11 for sources of up to 16**levels rows and up to 16**top sources."""
+    item = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(item(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+    joins, proof, folded = _climb_sql("leaves", levels, "touched", "a")
+    up, rest, whole = _climb_sql("groups", top, "folded", "b")
+    return f"""
+        WITH docs AS (
+          SELECT doc_id, coalesce('=' || source, '') AS g, {leaf("text")} AS d,
+            CASE WHEN {crc} % 5 = 0 THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {leaf("text")} END AS touched FROM documents),
+        leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM docs),
+        {_tree_sql("(SELECT g, i, d, n FROM leaves)", "a", levels)},
+        groups AS (SELECT '' AS g, g AS name, d, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM a{levels}),
+        {_tree_sql("(SELECT g, i, d, n FROM groups)", "b", top)},
+        own AS (SELECT doc_id, leaves.g AS name, leaves.d AS leaf, {proof} AS proof, {folded} AS folded FROM leaves{joins})
+        SELECT doc_id, leaf, groups.d AS subroot, b{top}.d AS root, sha256(proof || {rest}) AS proof_sha256, {whole} AS folded_root, {whole} = b{top}.d AS verified
+        FROM own JOIN groups USING (name){up} CROSS JOIN b{top}
+    """
+
+
 #: Only what SQL expresses whole.
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle": _merkle_sql(),
+    "op12_odd_sketch": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        sets AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+        items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+        common AS (SELECT x, count(*) AS k FROM items GROUP BY x),
+        ranked AS (SELECT doc_id, n, x, row_number() OVER (PARTITION BY doc_id ORDER BY k, x) AS r FROM items JOIN common USING (x)),
+        rare AS (SELECT doc_id, n, x FROM ranked WHERE r <= n - (4 * n + 4) // 5 + 1),
+        candidates AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM rare a JOIN rare b ON a.x = b.x AND a.doc_id < b.doc_id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+        shared AS (SELECT a, b, len(list_intersect(p.s, q.s)) AS i, len(p.s) AS n, len(q.s) AS m FROM candidates JOIN sets p ON p.doc_id = a JOIN sets q ON q.doc_id = b),
+        links AS (SELECT a, b FROM shared WHERE 100 * i >= 80 * (n + m - i)),
+        edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach AS (SELECT a AS doc_id, a AS other FROM edges UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON edges.a = reach.other),
+        least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept FROM sets LEFT JOIN least USING (doc_id)
+    """,
     "op1_chat": """
         WITH s AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS i FROM conversations WHERE role = 'assistant'),
         depth AS (SELECT conv_id, turn, 2 * (row_number() OVER (PARTITION BY conv_id, turn % 2, turn - 2 * i ORDER BY turn) - 1) AS level FROM s),
