@@ -1,181 +1,40 @@
-"""Near copies: MinHash candidates whose shingle sets are compared exactly, one document of each class kept."""
+"""One document of each class of near copies: SimHash within two bits, or five-word shingle sets at a Jaccard of 0.8."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import count
-
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracequarry.llm.blocks import word_hashes
-from tracequarry.llm.common import arrow_schema, bounded_batches, materialize
+from tracequarry.llm import odd_sketch, simhash
+from tracequarry.llm.common import materialize
 from tracequarry.llm.graph import components
 
 SHINGLE = 5
-#: Least similarity of near copies, as a fraction: 4 of 5 is 0.8.
-SHARED, OF = 4, 5
-#: Two texts at 0.8 meet in some band with 1 - (1 - 0.8**5)**20 = 0.9996.
-BANDS, ROWS = 20, 5
-#: Parts of a group that are dealt to different tasks.
-SALTS = 64
-_RNG = np.random.default_rng(42)
-_ODD = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-_PLACE = _RNG.integers(1, 1 << 63, 32, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles; none for a text without words.
-
-    A-Z become a-z, words are cut at ASCII white space; a text shorter than a shingle is one shingle.
-    """
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    w = word_hashes(words)
-    n = min(shingle, len(w))
-    h = np.full(len(w) - n + 1, n, dtype=np.uint64)
-    for k in range(n):
-        h = (h + w[k : len(w) - n + 1 + k]) * _PLACE[k]
-        h ^= h >> np.uint64(29)
-    return np.unique(h)
-
-
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One 64-bit key a band of MinHashes."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 1024):
-        x = hashes[at : at + 1024, None] * _ODD + _ADD
-        x ^= x >> np.uint64(32)
-        least = np.minimum(least, (x * _PLACE[0]).min(axis=0))
-    rows = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], dtype=np.uint64)
-
-
-def _longs(parts: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, dtype=np.int64)))
-
-
-def sketches(docs: DataFrame, keep: list[Column | str], what: str) -> DataFrame:
-    """The kept columns with key (a hash of the text's shingle set), n (its size) and the bands ("bands"), all shingles
-    ("hashes") or neither ("")."""
-    df = docs.select(*keep, F.col("text").alias("__text"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1]) + ", key bigint, n bigint" + (f", {what} array<bigint>" if what else "")
-    target = arrow_schema(ddl)
-    bounded_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 250):
-                batch = whole.slice(at, 250)
-                width = batch.num_columns - 1
-                sets = [shingle_set(t.as_py()) for t in batch.column(width)]
-                keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], dtype=np.uint64).view(np.int64)
-                made = [pa.array(keys), pa.array([len(s) for s in sets], pa.int64())]
-                if what:
-                    made.append(_longs([bands(s) if len(s) else s for s in sets] if what == "bands" else sets))
-                out = pa.Table.from_arrays([*batch.columns[:width], *made], names=target.names).cast(target)
-                yield from out.to_batches()
-
-    return df.mapInArrow(run, ddl)
-
-
-def _node(doc_id: Column, key: Column) -> Column:
-    """A number for each id, and one after all ids for each text that no row with an id has."""
-    return F.coalesce(doc_id.cast("decimal(21,0)"), (key.cast("decimal(21,0)") + F.expr("18446744073709551616BD")).cast("decimal(21,0)"))
-
-
-#: Whether a node is an id.
-_KNOWN = "id < 9223372036854775808BD"
-
-
-def _doc_id() -> Column:
-    return F.col("id").try_cast("long").alias("doc_id")
-
-
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of SHARED/OF or more.
-
-    A set goes only once to each of SALTS parts of its partners, so one that has very many isn't read by one task.
-    """
-    part = F.pmod(F.xxhash64("a"), F.lit(SALTS)).alias("part")
-    salted = pairs.select("a", "b", "out", part)
-    left = salted.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
-    right = salted.select("b", "part").distinct().join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
-    both = left.join(right, ["b", "part"]).withColumn("i", F.size(F.array_intersect("x", "y")))
-    return both.filter(OF * F.col("i") >= SHARED * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b", "out").distinct()
-
-
-def _leads(rows: DataFrame, parts: int) -> DataFrame:
-    """band, lead, m (the lead's set size), lw (its rank's weight): the first by rank of each of up to `parts` parts of a
-    band leads it."""
-    least = rows.groupBy("band", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("p")).agg(F.min(F.struct((-F.col("w")).alias("w"), "id", "n")).alias("l"))
-    return least.select("band", F.col("l.id").alias("lead"), F.col("l.n").alias("m"), (-F.col("l.w")).alias("lw"))
-
-
-def copies(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Edges (a, b), b < a, of near copies. rows: band, id, n, w, distinct; sets: id, hashes.
-
-    Round by round, every band has leads, and all others of the band are compared with them. Of two near copies the later
-    by rank leaves all bands, since the other speaks for its class; a lead leaves the band that it has led. Texts that meet
-    most others (w) rank first: the text that a large class was copied from meets its copies more often than these meet
-    each other, so it leads, and the class goes in the first round. Leads double each round, so rounds are the logarithm
-    of a band's size, and end when no band holds two.
-    """
-    found = None
-    for i in count():
-        crowded = rows.groupBy("band", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("s")).agg(F.count("*").alias("k")).groupBy("band").agg(F.sum("k").alias("k")).filter("k > 1").select("band")
-        rows = materialize(rows.join(crowded, "band", "left_semi"), "bands")
-        if rows.isEmpty():
-            return found
-        leads = materialize(_leads(rows, 1 << i), "leads")
-        salted = rows.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-        met = salted.select("band", "s").distinct().join(leads, "band")
-        pairs = salted.join(met, ["band", "s"]).filter((F.col("id") != F.col("lead")) & (OF * F.least("n", "m") >= SHARED * F.greatest("n", "m")))
-        out = F.when(F.struct(-F.col("w"), "id") < F.struct(-F.col("lw"), "lead"), F.col("lead")).otherwise(F.col("id"))
-        pairs = pairs.select(F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b"), out.alias("out")).distinct()
-        edges = materialize(_similar(pairs, sets), "edges")
-        found = edges.select("a", "b") if found is None else found.unionByName(edges.select("a", "b"))
-        rows = rows.join(leads.select("band", F.col("lead").alias("id")), ["band", "id"], "left_anti").join(edges.select(F.col("out").alias("id")).distinct(), "id", "left_anti")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = 2) -> DataFrame:
     """The rows of docs less all but one document of each class of near copies.
 
-    Near copies are texts whose sets of SHINGLE-word shingles have a Jaccard similarity of 0.8 or more, compared exactly;
-    only which texts are compared is left to MinHash bands. Classes are linked near copies. The least doc_id of a class
-    stays; of several rows with that id the least one. Rows without an id come after all others, one for each set of
-    shingles. All texts without words are one class.
+    Texts are linked if their SimHash fingerprints differ in `radius` bits at most (simhash.near_duplicates), or if their
+    sets of `shingle`-word shingles have a Jaccard similarity of 0.8 or more (odd_sketch.classes: at 0.8 fingerprints
+    differ in some ten bits, which covering masks can't reach). Classes are what both kinds of links connect. The least
+    doc_id of a class stays; of several rows with that id the least one. Texts without words are one class. Rows without an
+    id come after all others: they stay only if no text of their class has an id, one for each set of shingles.
     """
     columns = docs.columns
-    marked = materialize(sketches(docs, ["doc_id"], "bands"), "sketches")
-    nodes = materialize(marked.groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("key", _node(F.col("doc_id"), F.col("key")).alias("id")), "nodes")
-    # Copies have the same bands, so one row of each key is enough.
-    once = marked.filter("n > 0").join(nodes, "key").filter(F.col("doc_id").isNull() | (_node(F.col("doc_id"), F.col("key")) == F.col("id")))
-    rows = once.select(F.explode("bands").alias("band"), "id", "n").distinct()
-    crowded = rows.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1")
-    rows = materialize(rows.join(crowded, "band"), "bands")
-    weights = rows.groupBy("id").agg(F.sum("k").alias("w"))
-    rows = rows.drop("k").join(weights, "id")
-    busy = rows.select("id").distinct()
-    texts = docs.select("doc_id", "text").join(busy.filter(_KNOWN).select(_doc_id()), "doc_id", "left_semi")
-    sets = sketches(texts, ["doc_id"], "hashes").select(_node(F.col("doc_id"), F.col("key")).alias("id"), "hashes")
-    loose = sketches(docs.filter("doc_id is null"), ["doc_id"], "hashes").select(_node(F.col("doc_id"), F.col("key")).alias("id"), "hashes").join(busy, "id", "left_semi")
-    sets = materialize(sets.unionByName(loose).dropDuplicates(["id", "hashes"]), "sets")
-    edges = copies(rows, sets)
-    kept = nodes
-    if edges is not None:
-        dropped = components(edges).filter("id <> component").select("id")
-        kept = nodes.join(dropped, "id", "left_anti")
-    kept = materialize(kept, "kept")
-    ids = kept.filter(_KNOWN).select(_doc_id()).distinct()
-    held = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in columns if c != "doc_id"])).alias("r"))
-    known = held.select(*["doc_id" if c == "doc_id" else F.col(f"r.{c}").alias(c) for c in columns])
-    free = kept.filter(f"not ({_KNOWN})").select("key")
-    rest = sketches(docs.filter("doc_id is null"), list(columns), "").join(free, "key", "left_semi").groupBy("key").agg(F.min(F.struct(*columns)).alias("r"))
-    return known.unionByName(rest.select(*[F.col(f"r.{c}").alias(c) for c in columns]))
+    marked, keys = odd_sketch.classes(docs, shingle)
+    by_set = marked.join(keys, "key").select("doc_id", F.col("class").alias("to"))
+    prints = simhash.near_duplicates(docs.filter("doc_id is not null").select("doc_id", "text"), radius, shingle).select("doc_id", F.col("component_id").alias("to"))
+    edges = by_set.unionByName(prints).filter("doc_id <> to").select(F.col("doc_id").alias("a"), F.col("to").alias("b"))
+    dropped = materialize(components(edges).filter("id <> component").select(F.col("id").alias("doc_id")), "dropped")
+    held = docs.filter("doc_id is not null").join(dropped, "doc_id", "left_anti")
+    held = held.groupBy("doc_id").agg(F.min(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns) if c != "doc_id"])).alias("r"))
+    known = held.select(*["doc_id" if c == "doc_id" else F.col(f"r.c{i}").alias(c) for i, c in enumerate(columns)])
+    loose = docs.filter("doc_id is null")
+    if loose.isEmpty():
+        return known
+    # Keys of rows without ids, less those whose class or whose blankness is met with ids.
+    blank = marked.filter("n = 0 and doc_id is not null").select("key")
+    free = keys.filter("class is null").select("key").unionByName(marked.filter("n = 0").select("key").distinct().join(blank.distinct(), "key", "left_anti"))
+    rest = odd_sketch.keyed(loose, shingle).join(free, "key", "left_semi").groupBy("key").agg(F.min("row").alias("r"))
+    return known.unionByName(rest.select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(columns)]))
