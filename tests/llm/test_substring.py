@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import pytest
+
+from tracequarry.llm import blocks
 from tracequarry.llm.substring import remove_repeats
 
 
@@ -76,3 +79,24 @@ def test_a_factor_ends_where_its_source_does(spark):
         assert [tuple(f) for f in out[3]] == [(0, 50, 1, 10), (31, 69, 2, 1)]
         assert [tuple(f) for f in out[4]] == [(0, 45, 1, 10), (46, 44, 2, 16)]
         assert out[1] == []
+
+
+@pytest.mark.parametrize("least", [1, 3, 64])
+def test_sources_at_several_places_of_one_block(spark, monkeypatch, least):
+    """A run of windows may stand in one document first, then in another, or elsewhere in the same one."""
+    monkeypatch.setattr(blocks, "LEAST", least)
+    w = [f"w{i}" for i in range(90)]
+    docs = [(5, " ".join(w[:30])), (38, " ".join(w[8:50])), (229, " ".join(w[:60]))]
+    docs += [(300, " ".join(w[60:85] + ["x"] + w[40:70])), (301, " ".join(w[40:90])), (302, " ".join(w[50:80] + w[:30] + w[20:60]))]
+    rng = random.Random(11)
+    pool = [f"p{rng.randrange(900)}" for _ in range(400)]
+    for i in range(120):
+        words = []
+        for _ in range(rng.randrange(1, 5)):
+            a = rng.randrange(350)
+            words += pool[a : a + rng.randrange(10, 60)]
+        docs.append((rng.randrange(10**6) + 1000, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = remove_repeats(df, with_text=True).collect()
+    assert sorted(tuple(r[:4]) for r in got) == brute(docs)
+    assert {r.doc_id: r.n_removed for r in got}[229] == 50

@@ -22,8 +22,8 @@ from tracequarry.llm.common import arrow_schema
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
 
-SENT = "bucket int, block int, hashes binary, docs binary, counts binary"
-FOUND = "block int, bucket int, earlier binary, sources binary"
+SENT = "bucket int, block int, hashes binary, docs binary, counts binary, starts binary"
+FOUND = "block int, bucket int, earlier binary, sources binary, docs binary, starts binary"
 ASKED = "reference int, block int, anchors binary, lengths binary"
 TOLD = "block int, reference int, keys binary, ids binary, starts binary, lengths binary, words binary"
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start:bigint,length:bigint,source_doc:bigint,source_start:bigint>>"
@@ -112,11 +112,11 @@ def _send(window: int, blocks: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
         parsed = Parsed(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), block, blocks, window)
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], []]
         for bucket, mine in parsed.by_bucket(buckets):
             key = parsed.order[parsed.doc[mine]]
             cut = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-            for column, value in zip(out, (bucket, block, parsed.hashes[mine].tobytes(), key[cut[:-1]].tobytes(), np.diff(cut).astype("<u4").tobytes()), strict=True):
+            for column, value in zip(out, (bucket, block, parsed.hashes[mine].tobytes(), key[cut[:-1]].tobytes(), np.diff(cut).astype("<u4").tobytes(), _packed((parsed.at[mine] - parsed.begin[parsed.doc[mine]]).astype("<u4"))), strict=True):
                 column.append(value)
         return pa.table([pa.array(c, f.type) for c, f in zip(out, target, strict=True)], schema=target)
 
@@ -124,44 +124,53 @@ def _send(window: int, blocks: int, buckets: int):
 
 
 def _lookup(table: pa.Table) -> pa.Table:
-    """For each block's windows in a bucket: which of them some block has in an earlier document, and the block that has
-    the earliest."""
-    target = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("earlier", pa.binary()), ("sources", pa.binary())])
+    """For each block's windows in a bucket: which of them some block has in an earlier document, and block, document and
+    start of the earliest."""
+    target = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("earlier", pa.binary()), ("sources", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary())])
     blocks = np.array(table.column("block").to_pylist(), dtype="<u4")
     hashes = [np.frombuffer(x, dtype=np.uint64) for x in table.column("hashes").to_pylist()]
     docs = [np.repeat(np.frombuffer(d, dtype=np.int64), np.frombuffer(c, dtype="<u4")) for d, c in zip(table.column("docs").to_pylist(), table.column("counts").to_pylist(), strict=True)]
     h, d = np.concatenate(hashes), np.concatenate(docs)
+    at = np.concatenate([_unpacked(s, "<u4") for s in table.column("starts").to_pylist()])
     of = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
-    order = np.lexsort((of, d, h))
+    order = np.lexsort((at, d, h))
     new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
     head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    earlier, source = np.zeros(len(h), dtype=bool), np.zeros(len(h), dtype="<u4")
-    earlier[order], source[order] = d[order] > d[head], blocks[of[head]]
+    earlier, first = np.zeros(len(h), dtype=bool), np.zeros(len(h), dtype=np.int64)
+    earlier[order], first[order] = d[order] > d[head], head
     cuts = np.cumsum([len(x) for x in hashes])[:-1]
-    rows = [(int(blocks[i]), table.column("bucket")[i].as_py(), np.packbits(e).tobytes(), _packed(x[e])) for i, (e, x) in enumerate(zip(np.split(earlier, cuts), np.split(source, cuts), strict=True)) if e.any()]
+    rows = [(int(blocks[i]), table.column("bucket")[i].as_py(), np.packbits(e).tobytes(), _packed(blocks[of[x[e]]]), _packed(d[x[e]]), _packed(at[x[e]])) for i, (e, x) in enumerate(zip(np.split(earlier, cuts), np.split(first, cuts), strict=True)) if e.any()]
     return _table(rows, target)
 
 
-def _sources(parsed: Parsed, found: list[dict], buckets: int) -> np.ndarray:
-    """The reference block of every window that stands earlier, -1 for all others."""
-    known = {r["bucket"]: r for r in found if r["earlier"] is not None}
-    out = np.full(len(parsed.at), -1, dtype=np.int64)
-    for bucket, mine in parsed.by_bucket(buckets):
-        if bucket in known:
-            hit = np.unpackbits(np.frombuffer(known[bucket]["earlier"], dtype=np.uint8), count=len(mine)).astype(bool)
-            out[mine[hit]] = _unpacked(known[bucket]["sources"], "<u4")
-    if len(out):
-        out = out[parsed.head]
-        out[(out < 0) & parsed.local] = parsed.block
-    return out
-
+class Sources:
+    """Where every window first stands in the corpus, if that is earlier: block (-1: nowhere), document's order key, start."""
 
-def _runs(parsed: Parsed, source: np.ndarray) -> list[tuple[int, int]]:
-    """First and last window (by number) of every run of neighbouring windows with one reference block."""
-    seen = np.flatnonzero(source >= 0)
+    def __init__(self, parsed: Parsed, found: list[dict], buckets: int) -> None:
+        known = {r["bucket"]: r for r in found if r["earlier"] is not None}
+        n = len(parsed.at)
+        block, key, start = np.full(n, -1, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        for bucket, mine in parsed.by_bucket(buckets):
+            if bucket in known:
+                r = known[bucket]
+                hit = mine[np.unpackbits(np.frombuffer(r["earlier"], dtype=np.uint8), count=len(mine)).astype(bool)]
+                block[hit], key[hit], start[hit] = _unpacked(r["sources"], "<u4"), _unpacked(r["docs"], "<i8"), _unpacked(r["starts"], "<u4")
+        if n:
+            block, key, start = block[parsed.head], key[parsed.head], start[parsed.head]
+            own = (block < 0) & parsed.local
+            block[own] = parsed.block
+            key[own] = parsed.order[parsed.doc[parsed.head[own]]]
+            start[own] = (parsed.at - parsed.begin[parsed.doc])[parsed.head[own]]
+        self.block, self.key, self.start = block, key, start
+
+
+def _runs(parsed: Parsed, source: Sources) -> list[tuple[int, int]]:
+    """First and last window (by number) of every run of neighbouring windows whose first places are neighbours too."""
+    seen = np.flatnonzero(source.block >= 0)
     if not len(seen):
         return []
-    ends = np.flatnonzero((np.diff(parsed.at[seen]) != 1) | (np.diff(parsed.doc[seen]) != 0) | (np.diff(source[seen]) != 0))
+    on = lambda x, by: np.diff(x[seen]) != by
+    ends = np.flatnonzero(on(parsed.at, 1) | on(parsed.doc, 0) | on(source.block, 0) | on(source.key, 0) | on(source.start, 1))
     return list(zip(seen[np.concatenate([[0], ends + 1])].tolist(), seen[np.concatenate([ends, [len(seen) - 1]])].tolist(), strict=True))
 
 
@@ -173,10 +182,10 @@ def _ask(window: int, blocks: int, buckets: int):
         if not left.num_rows:
             return _table([], target)
         parsed = Parsed(left.column("doc_id").to_pylist(), left.column("text").to_pylist(), left.column("block")[0].as_py(), blocks, window)
-        source = _sources(parsed, right.to_pylist(), buckets)
+        source = Sources(parsed, right.to_pylist(), buckets)
         wanted: dict[int, dict[int, int]] = {}
         for a, b in _runs(parsed, source):
-            own = wanted.setdefault(int(source[a]), {})
+            own = wanted.setdefault(int(source.block[a]), {})
             own[int(parsed.hashes[a])] = max(own.get(int(parsed.hashes[a]), 0), int(parsed.at[b] - parsed.at[a]) + window)
         return _table([(to, parsed.block, np.array(list(own), dtype=np.uint64).tobytes(), _packed(np.array(list(own.values()), dtype="<u4"))) for to, own in sorted(wanted.items())], target)
 
@@ -257,7 +266,7 @@ def _remove(window: int, blocks: int, buckets: int, with_text: bool, target: pa.
         ids = left.column("doc_id").to_pylist()
         parsed = Parsed(ids, left.column("text").to_pylist(), left.column("block")[0].as_py(), blocks, window)
         told = right.to_pylist()
-        source = _sources(parsed, told, buckets)
+        source = Sources(parsed, told, buckets)
         reference = Reference([r for r in told if r["words"] is not None], window)
         names = windows_of(parsed.short.astype(np.uint64), window, SHORT_SEED)
         covered = np.zeros(int(parsed.begin[-1]), dtype=bool)
