@@ -54,6 +54,15 @@ def _unpacked(b: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(b), dtype=kind)
 
 
+def _steps(a: np.ndarray) -> bytes:
+    """Packed differences, byte plane by byte plane: places mostly rise by little, so their upper bytes are all alike."""
+    return _packed(np.diff(a.astype("<u4"), prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T)
+
+
+def _walked(b: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(_unpacked(b, "u1").reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint32)
+
+
 def _table(rows: list[tuple], target: pa.Schema) -> pa.Table:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in target]
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
@@ -116,7 +125,7 @@ def _send(window: int, blocks: int, buckets: int):
         for bucket, mine in parsed.by_bucket(buckets):
             key = parsed.order[parsed.doc[mine]]
             cut = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-            for column, value in zip(out, (bucket, block, parsed.hashes[mine].tobytes(), key[cut[:-1]].tobytes(), np.diff(cut).astype("<u4").tobytes(), _packed((parsed.at[mine] - parsed.begin[parsed.doc[mine]]).astype("<u4"))), strict=True):
+            for column, value in zip(out, (bucket, block, parsed.hashes[mine].tobytes(), key[cut[:-1]].tobytes(), np.diff(cut).astype("<u4").tobytes(), _steps(parsed.at[mine] - parsed.begin[parsed.doc[mine]])), strict=True):
                 column.append(value)
         return pa.table([pa.array(c, f.type) for c, f in zip(out, target, strict=True)], schema=target)
 
@@ -131,7 +140,7 @@ def _lookup(table: pa.Table) -> pa.Table:
     hashes = [np.frombuffer(x, dtype=np.uint64) for x in table.column("hashes").to_pylist()]
     docs = [np.repeat(np.frombuffer(d, dtype=np.int64), np.frombuffer(c, dtype="<u4")) for d, c in zip(table.column("docs").to_pylist(), table.column("counts").to_pylist(), strict=True)]
     h, d = np.concatenate(hashes), np.concatenate(docs)
-    at = np.concatenate([_unpacked(s, "<u4") for s in table.column("starts").to_pylist()])
+    at = np.concatenate([_walked(s) for s in table.column("starts").to_pylist()])
     of = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
     order = np.lexsort((at, d, h))
     new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
@@ -139,7 +148,7 @@ def _lookup(table: pa.Table) -> pa.Table:
     earlier, first = np.zeros(len(h), dtype=bool), np.zeros(len(h), dtype=np.int64)
     earlier[order], first[order] = d[order] > d[head], head
     cuts = np.cumsum([len(x) for x in hashes])[:-1]
-    rows = [(int(blocks[i]), table.column("bucket")[i].as_py(), np.packbits(e).tobytes(), _packed(blocks[of[x[e]]]), _packed(d[x[e]]), _packed(at[x[e]])) for i, (e, x) in enumerate(zip(np.split(earlier, cuts), np.split(first, cuts), strict=True)) if e.any()]
+    rows = [(int(blocks[i]), table.column("bucket")[i].as_py(), np.packbits(e).tobytes(), _packed(blocks[of[x[e]]]), _packed(d[x[e]]), _steps(at[x[e]])) for i, (e, x) in enumerate(zip(np.split(earlier, cuts), np.split(first, cuts), strict=True)) if e.any()]
     return _table(rows, target)
 
 
@@ -154,7 +163,7 @@ class Sources:
             if bucket in known:
                 r = known[bucket]
                 hit = mine[np.unpackbits(np.frombuffer(r["earlier"], dtype=np.uint8), count=len(mine)).astype(bool)]
-                block[hit], key[hit], start[hit] = _unpacked(r["sources"], "<u4"), _unpacked(r["docs"], "<i8"), _unpacked(r["starts"], "<u4")
+                block[hit], key[hit], start[hit] = _unpacked(r["sources"], "<u4"), _unpacked(r["docs"], "<i8"), _walked(r["starts"])
         if n:
             block, key, start = block[parsed.head], key[parsed.head], start[parsed.head]
             own = (block < 0) & parsed.local
