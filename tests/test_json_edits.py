@@ -2,7 +2,7 @@ import json
 import random
 
 from tracequarry.functions.json_edits import patch_text, patched
-from tracequarry.operators.json_edits import state_effects
+from tracequarry.operators.json_edits import complete, state_effects, state_types
 
 
 def made(rng, depth=3):
@@ -70,3 +70,37 @@ def test_patches(spark):
         assert (got[i].error or json.loads(got[i].document)) == expected
         assert (got[i].document is None) == isinstance(expected, str)
     assert got[98].error == got[99].error == "not_json"
+
+
+def types_of(values, path):
+    """(type, nullable, present) of a path over values, walked one by one."""
+    kinds, present = set(), 0
+    for value in values:
+        for token in path[1:].split("/") if path else []:
+            value = value.get(token.replace("~1", "/").replace("~0", "~"), "\0") if isinstance(value, dict) else "\0"
+        if value != "\0":
+            present += 1
+            kinds.add("boolean" if isinstance(value, bool) else "null" if value is None else {str: "string", int: "integer", float: "number", list: "list", dict: "object"}[type(value)])
+    rest = kinds - {"null"}
+    named = "null" if not rest else "number" if rest == {"integer", "number"} else rest.pop() if len(rest) == 1 else "any"
+    return named, "null" in kinds, present
+
+
+def test_types_are_the_least_that_fit_and_states_become_complete(spark):
+    rng = random.Random(4)
+    values = [{"a": rng.choice([1, 2.5, None]), "b": {k: made(rng, 1) for k in rng.sample("xyz", rng.randrange(3))}, **({"c/d": {"n": rng.randrange(3)}} if rng.random() < 0.5 else {"c/d": None} if rng.random() < 0.3 else {})} for _ in range(80)]
+    df = spark.createDataFrame([("g", i, json.dumps(v)) for i, v in enumerate(values)], "`group` string, id long, state string")
+    types = {r.path: r for r in state_types(df).collect()}
+    assert set(types) >= {"", "/a", "/b", "/b/x", "/c~1d", "/c~1d/n"}
+    for path, r in types.items():
+        assert (r.type, r.nullable, r.present) == types_of(values, path)
+    full = complete(df).collect()
+    assert len(full) == len(values)
+    for r in full:
+        value, old = json.loads(r.state), values[r.id]
+        assert {"a", "b", "c/d"} <= set(value) and {"x", "y", "z"} <= set(value["b"]) and (value["c/d"] is None or "n" in value["c/d"])
+        assert all(set(v) <= set(value["b"][k]) if isinstance(v, dict) else value["b"][k] == v for k, v in old["b"].items()) and value["a"] == old["a"]
+    again = spark.createDataFrame([("g", r.id, r.state) for r in full], "`group` string, id long, state string")
+    assert not any(r.missing for r in state_types(again).collect())
+    assert {r.id: r.state for r in complete(again).collect()} == {r.id: r.state for r in full}
+    assert state_types(df.limit(0)).count() == complete(df.limit(0)).count() == 0

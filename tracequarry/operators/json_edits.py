@@ -127,3 +127,86 @@ def r9_monotone_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     out = repair_rounds(bundles(spark, sf_dir).select("task_id", "contract"), "contract", contract_errors, repairs)
     return out.select("task_id", "rounds", F.array_join("errors", ",").alias("errors"), "converged")
+
+
+#: Kinds of JSON values as bits, so that the kinds seen at a path are merged by one bitwise or.
+KINDS = {"boolean": 1, "string": 2, "integer": 4, "number": 8, "list": 16, "object": 32, "null": 64}
+#: What a missing member of each type begins as; any other type begins as null.
+DEFAULTS = {"boolean": "false", "string": '""', "integer": "0", "number": "0", "list": "[]", "object": "{}"}
+
+
+def _kind(n: Column) -> Column:
+    first = F.substring(n["value"], 1, 1)
+    number = F.when(n["value"].rlike(r"^-?\d+$"), KINDS["integer"]).otherwise(KINDS["number"])
+    named = {"{": "object", "[": "list", '"': "string", "t": "boolean", "f": "boolean", "n": "null"}
+    out = None
+    for mark, kind in named.items():
+        out = F.when(first == mark, KINDS[kind]) if out is None else out.when(first == mark, KINDS[kind])
+    return out.otherwise(number)
+
+
+def _members(states: DataFrame) -> DataFrame:
+    return states.select("group", "id", F.explode(nodes(F.col("state"))).alias("n")).select("group", "id", F.col("n.path").alias("path"), F.col("n.parent").alias("parent"), _kind(F.col("n")).alias("kind"))
+
+
+def state_types(states: DataFrame) -> DataFrame:
+    """group, path, parent, type, nullable, present, missing: the least type that all values at a path have.
+
+    states: group, id, state (JSON). Integers are numbers; values of several other kinds make any; nulls don't change a type
+    but make it nullable; a path of nulls alone is of type null. missing: states of the group whose parent at that path is
+    an object without the member. One aggregate that combines before the shuffle; states aren't gathered.
+    """
+    g = _members(states).groupBy("group", "path", "parent").agg(F.bit_or("kind").alias("kinds"), F.count("*").alias("present"), F.count_if(F.col("kind") == KINDS["object"]).alias("objects"))
+    bare = F.col("kinds").bitwiseAND(F.lit(127 - KINDS["null"]))
+    kind = F.when(bare == 0, "null").when(bare == KINDS["integer"] + KINDS["number"], "number")
+    for name, bit in KINDS.items():
+        kind = kind.when(bare == bit, name)
+    above = g.select("group", F.col("path").alias("parent"), F.col("objects").alias("above"))
+    out = g.join(above, ["group", "parent"], "left")
+    return out.select("group", "path", "parent", kind.otherwise("any").alias("type"), (F.col("kinds").bitwiseAND(F.lit(KINDS["null"])) > 0).alias("nullable"), "present", (F.coalesce("above", "present") - F.col("present")).alias("missing"))
+
+
+def complete(states: DataFrame) -> DataFrame:
+    """group, id, state: every object gets the members that its group's states have at that path, with their defaults.
+
+    What hangs from a value that isn't an object in this state, or begins as none, stays out.
+
+    Missing members are found by an anti join on (id, path) against the group's types and added by one patch a state,
+    parents first. Ids are unique within a group. A group without a missing member stays as it was.
+    """
+    types = state_types(states).filter("parent is not null")
+    value = F.lit("null")
+    for name, default in DEFAULTS.items():
+        value = F.when(F.col("type") == name, default).otherwise(value)
+    members = _members(states)
+    wanted = states.select("group", "id").join(types.select("group", "path", value.alias("value")), "group")
+    lost = wanted.join(members.select("group", "id", "path"), ["group", "id", "path"], "left_anti")
+    # What would hang from a value that isn't an object, there or as a default, stays out.
+    plain = members.filter(F.col("kind") != KINDS["object"]).select("group", "id", "path").unionByName(lost.filter("value <> '{}'").select("group", "id", "path"))
+    blocked = plain.select("group", "id", F.concat("path", F.lit("/")).alias("under"))
+    closed = lost.join(blocked, ["group", "id"]).filter(F.startswith("path", "under")).select("group", "id", "path").distinct()
+    todo = lost.join(closed, ["group", "id", "path"], "left_anti")
+    step = F.struct(F.size(F.split("path", "/")).alias("depth"), "path", F.concat(F.lit('{"op":"add","path":'), F.to_json(F.array("path")).substr(F.lit(2), F.length(F.to_json(F.array("path"))) - 2), F.lit(',"value":'), "value", F.lit("}")).alias("text"))
+    batch = todo.groupBy("group", "id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    batch = batch.select("group", "id", F.concat(F.lit("["), F.array_join(F.transform("steps", lambda s: s["text"]), ","), F.lit("]")).alias("todo"))
+    both = states.join(batch, ["group", "id"], "left").select("group", "id", F.explode(F.array(F.struct("state", "todo"))).alias("i"))
+    done = F.when(F.col("i.todo").isNull(), F.col("i.state")).otherwise(patched(F.col("i.state"), F.col("i.todo"))["document"])
+    return both.select("group", "id", done.alias("state"))
+
+
+@query("""WITH s AS (SELECT l_linestatus AS "group", l_quantity > 45 AS many, l_linenumber % 3 = 0 AS untaxed, l_tax = 0 AS zero, l_discount = 0 AS plain FROM lineitem WHERE l_linestatus IS NOT NULL),
+  g AS (SELECT "group", count(*) AS n, count(*) FILTER (many) AS many, count(*) FILTER (NOT untaxed) AS taxed, count(*) FILTER (NOT untaxed AND NOT zero) AS rated, count(*) FILTER (plain) AS plain FROM s GROUP BY 1)
+  SELECT "group", '' AS path, 'object' AS type, false AS nullable, n AS present, 0::BIGINT AS missing FROM g
+  UNION ALL SELECT "group", '/q', CASE WHEN many = 0 THEN 'integer' WHEN many = n THEN 'string' ELSE 'any' END, false, n, 0 FROM g
+  UNION ALL SELECT "group", '/t', CASE WHEN rated = 0 THEN 'integer' ELSE 'number' END, false, taxed, n - taxed FROM g WHERE taxed > 0
+  UNION ALL SELECT "group", '/d', CASE WHEN plain = n THEN 'null' ELSE 'object' END, plain > 0, n, 0 FROM g
+  UNION ALL SELECT "group", '/d/rate', 'number', false, n - plain, 0 FROM g WHERE plain < n""")
+def r3_state_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of the members of line states by status: quantities of two kinds, taxes that some lines lack, discounts that are
+    null or nested."""
+    li = table(spark, sf_dir, "lineitem").filter("l_linestatus is not null")
+    q = F.when(F.col("l_quantity") > 45, '"many"').otherwise(F.col("l_quantity").cast("long").cast("string"))
+    t = F.when(F.col("l_linenumber") % 3 == 0, "").otherwise(F.concat(F.lit(',"t":'), F.when(F.col("l_tax") == 0, "0").otherwise(F.col("l_tax").cast("string"))))
+    d = F.when(F.col("l_discount") == 0, "null").otherwise(F.concat(F.lit('{"rate":'), F.col("l_discount").cast("string"), F.lit("}")))
+    states = li.select(F.col("l_linestatus").alias("group"), F.col("l_orderkey").alias("id"), F.concat(F.lit('{"q":'), q, t, F.lit(',"d":'), d, F.lit("}")).alias("state"))
+    return state_types(states).drop("parent")
