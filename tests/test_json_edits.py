@@ -1,7 +1,7 @@
 import json
 import random
 
-from tracequarry.functions.json_edits import patch_text, patched
+from tracequarry.functions.json_edits import kept_paths, patch_text, patched, sliced
 from tracequarry.operators.json_edits import complete, state_effects, state_types
 
 
@@ -104,3 +104,32 @@ def test_types_are_the_least_that_fit_and_states_become_complete(spark):
     assert not any(r.missing for r in state_types(again).collect())
     assert {r.id: r.state for r in complete(again).collect()} == {r.id: r.state for r in full}
     assert state_types(df.limit(0)).count() == complete(df.limit(0)).count() == 0
+
+
+def leaves_under(value, path=()):
+    """Paths of scalars and empty containers."""
+    inside = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ()
+    found = [x for k, v in inside for x in leaves_under(v, (*path, str(k)))]
+    return found or [path]
+
+
+def test_slices_hold_just_the_named_paths(spark):
+    cases = [
+        ({"a": {"b": [1, {"c": 2, "d": 3}], "e": 4}, "f": 5}, ["/a/b/1/c", "/f"], {"a": {"b": [{"c": 2}]}, "f": 5}),
+        ({"a": [{"x": 1, "y": 2}, {"x": 3}]}, ["/a/*/x"], {"a": [{"x": 1}, {"x": 3}]}),
+        ({"a/b": {"c~d": 1, "e": 2}}, ["/a~1b/c~0d", "/none/x"], {"a/b": {"c~d": 1}}),
+        ({"a": 1, "b": 2}, [""], {"a": 1, "b": 2}),
+        ({"a": 1, "b": 2}, [], {}),
+        ({"a": 1}, ["/a/b"], {"a": None}),
+    ]
+    for value, paths, expected in cases:
+        df = spark.createDataFrame([(json.dumps(value),), (None,), ("{",)], "t string")
+        got = [r.s for r in df.select(sliced(df.t, paths).alias("s")).collect()]
+        assert json.loads(got[0]) == expected and got[1] is got[2] is None
+    rng = random.Random(5)
+    for _ in range(200):
+        value = {"a": made(rng, 3), "b": made(rng, 3), "c": made(rng, 2)}
+        every = leaves_under(value)
+        named = [p for p in every if p and not any(t.isdigit() for t in p) and rng.random() < 0.4]
+        kept = kept_paths(value, [list(p) for p in named])
+        assert set(leaves_under(kept)) - {()} == set(named) - {()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracequarry.functions.json_edits import nodes, patched, shape
+from tracequarry.functions.json_edits import nodes, patched, shape, sliced
 from tracequarry.operators.bundles import bundles, contract_errors
 from tracequarry.plans.catalog import query
 from tracequarry.sources.tables import table
@@ -210,3 +210,15 @@ def r3_state_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.when(F.col("l_discount") == 0, "null").otherwise(F.concat(F.lit('{"rate":'), F.col("l_discount").cast("string"), F.lit("}")))
     states = li.select(F.col("l_linestatus").alias("group"), F.col("l_orderkey").alias("id"), F.concat(F.lit('{"q":'), q, t, F.lit(',"d":'), d, F.lit("}")).alias("state"))
     return state_types(states).drop("parent")
+
+
+#: What a request about a contract's goal may show: the goal, which predicates there are, and which paths vary.
+CONTEXT_PATHS = ["/goal", "/goal_predicates/*/id", "/counterfactual_axes/*/state_path"]
+
+
+@query("""WITH l AS (SELECT l_orderkey AS task_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, l_quantity, l_discount, l_tax, l_suppkey % 5) AS i, l_linenumber % 6 AS p, l_returnflag = 'R' AS goal FROM lineitem WHERE l_orderkey IS NOT NULL)
+  SELECT task_id, '{"counterfactual_axes":[{"state_path":"$state.tax"}],"goal":"ship","goal_predicates":[' || coalesce(string_agg('{"id":"p' || p || '"}', ',' ORDER BY i) FILTER (goal), '') || ']}' AS context, count(*) FILTER (goal) AS predicates FROM l GROUP BY 1""")
+def p16_context_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracts cut down to CONTEXT_PATHS: no condition, invariant or variant is left."""
+    c = bundles(spark, sf_dir).select("task_id", F.explode(F.array("contract")).alias("contract")).select("task_id", sliced(F.col("contract"), CONTEXT_PATHS).alias("context"))
+    return c.select("task_id", "context", F.size(F.from_json("context", "struct<goal_predicates:array<struct<id:string>>>")["goal_predicates"]).cast("long").alias("predicates"))
