@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from tracequarry.functions import text as T
-from tracequarry.operators.ordering import global_ordinal
+from tracequarry.operators.ordering import global_ordinal, values_at
 from tracequarry.operators.tools import TOOLS, alias, tools
 from tracequarry.plans.catalog import query
 from tracequarry.sources.tables import MESSAGES, TRACE, messages, trace, with_sql
@@ -54,15 +54,12 @@ def a2_trajectory_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, column: str, fractions: list[float]) -> DataFrame:
-    """The value at rank round((n - 1) * p), ties to even, for each p; one row.
-
-    The rank as a share of the rows, half a row up, is what the discrete percentile takes, so counts of values are merged
-    and no rows are ranked.
-    """
+    """The value at rank round((n - 1) * p), ties to even, for each p; one row, nulls where there is no value."""
     known = df.filter(F.col(column).isNotNull())
-    n = max(known.count(), 1)
-    share = {p: (round((n - 1) * p) + 0.5) / n for p in fractions}
-    return known.agg(*[F.expr(f"percentile_disc({x!r}) WITHIN GROUP (ORDER BY `{column}`)").cast(df.schema[column].dataType).alias(f"p{round(p * 100)}") for p, x in share.items()])
+    n = known.count()
+    found = values_at(known, column, [round((n - 1) * p) for p in fractions]) if n else [None] * len(fractions)
+    kind = df.schema[column].dataType
+    return df.sparkSession.range(1).select(*[F.lit(v).cast(kind).alias(f"p{round(p * 100)}") for p, v in zip(fractions, found, strict=True)])
 
 
 @query(with_sql(MESSAGES, "s AS (SELECT id, count(*) AS n FROM messages GROUP BY id)") + "SELECT (list_sort(list(n)))[CAST(round_even((count(*) - 1) * CAST(0.5 AS DOUBLE), 0) AS BIGINT) + 1] AS p50, (list_sort(list(n)))[CAST(round_even((count(*) - 1) * CAST(0.9 AS DOUBLE), 0) AS BIGINT) + 1] AS p90 FROM s")

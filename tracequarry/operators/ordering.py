@@ -3,31 +3,52 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
+from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def _ranged(df: DataFrame, key: str, parts: int | None) -> DataFrame:
+    """df dealt by ranges of key, in order within each (rows without a key last), with __part and __row, both rising."""
+    order = F.asc_nulls_last(key)
+    dealt = df.repartitionByRange(parts, order) if parts else df.repartitionByRange(order)
+    dealt = dealt.sortWithinPartitions(order).withColumn("__row", F.monotonically_increasing_id())
+    return dealt.withColumn("__part", F.shiftright("__row", 33)).checkpoint()
+
+
+def _with_start(ranged: DataFrame, size: Column, name: str) -> DataFrame:
+    """ranged with `name`, the sum of `size` (of an aggregate) over the ranges before a row's own, and __first, that range's
+    first row. Of ranges there are as many as shuffle partitions, so their sums are a small table whatever df holds."""
+    sums = ranged.groupBy("__part").agg(F.min("__row").alias("__first"), size.alias("__size"))
+    before = F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    return ranged.join(sums.select("__part", "__first", F.coalesce(before, F.lit(0)).alias(name)), "__part")
+
+
 def global_ordinal(df: DataFrame, key: str, name: str = "ordinal", parts: int | None = None) -> DataFrame:
-    """df with 1, 2, ... in the order of a unique numeric key.
+    """df with 1, 2, ... in the order of a unique key.
+
+    Rows are dealt by ranges of the key, each range numbers its own and is raised by the rows of the ranges before it.
+    Rows without a key come last.
+    """
+    started = _with_start(_ranged(df, key, parts), F.count("*"), "__before")
+    return started.withColumn(name, F.col("__row") - F.col("__first") + F.col("__before") + 1).select(*df.columns, name)
+
+
+def values_at(df: DataFrame, column: str, ranks: list[int], parts: int | None = None) -> list:
+    """The values of a column (without nulls) at ranks, counted from 0.
 
-    Approximate quantiles cut the keys into ranges; each range is numbered on its own and raised by the rows of the
-    ranges before it, of which there are `parts`. Rows without a key come last.
+    Equal values are counted before anything is dealt; counts are then summed along ranges of values, so neither all rows
+    nor all different values meet in one task. No more rows than ranks are collected.
     """
-    df = df.checkpoint()  # it is read three times: for the cuts, the counts and the numbering
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted({c for c in df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.01)}) if parts > 1 else []
-    ranged = df.withColumn("__range", F.coalesce(reduce(add, [(F.col(key) > c).cast("int") for c in cuts], F.when(F.col(key).isNotNull(), 0)), F.lit(parts)))
-    before, offsets = 0, {}
-    for r in sorted(ranged.groupBy("__range").count().collect()):
-        offsets[r["__range"]] = before
-        before += r["count"]
-    start = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair]) if offsets else F.lit(None)
-    own = F.row_number().over(Window.partitionBy("__range").orderBy(F.asc_nulls_last(key))).cast("long")
-    added = start[F.col("__range")].cast("long") if offsets else F.lit(0).cast("long")
-    return ranged.withColumn(name, own + added).drop("__range")
+    counts = df.groupBy(F.col(column).alias("__value")).agg(F.count("*").alias("__n"))
+    started = _with_start(_ranged(counts, "__value", parts), F.sum("__n"), "__before")
+    own = F.sum("__n").over(Window.partitionBy("__part").orderBy("__row"))
+    ends = started.withColumn("__end", own + F.col("__before"))
+    held = reduce(or_, [(F.col("__end") > r) & (F.col("__end") - F.col("__n") <= r) for r in ranks])
+    found = ends.filter(held).select("__value", "__end", "__n").collect()
+    return [next((r["__value"] for r in found if r["__end"] - r["__n"] <= rank < r["__end"]), None) for rank in ranks]
 
 
 def sequence_digest(rows: DataFrame, keys: list[str], ordinal: str, value: str, name: str, chunk: int = 1000) -> DataFrame:
