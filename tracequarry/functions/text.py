@@ -25,6 +25,7 @@ VERIFICATION_TOKENS = ["verify", "status"]
 SENSITIVE_NAMES = ["password", "secret", "credential", "api_key", "private_key"]
 
 
+#: Marks of answers that no retry changes, and arguments that steer a tool.
 PERMANENT_MARKERS = ["PROHIBITED_CONTENT", "blockReason", "finishReason': 'SAFETY'", '"finishReason": "SAFETY"']
 CONTROL_ARGUMENTS = ["channel", "collection", "constraint_type", "credential_type", "destination", "expected_status", "format", "job_type", "provider", "relationship", "resource_type", "service", "target_collection", "view", "visibility"]
 
