@@ -114,3 +114,17 @@ def test_levels_of_any_graph(spark):
     for r in link_calls(spark.createDataFrame(rows, SCHEMA)).collect():
         got.setdefault(r.conv_id, {})[r.call_id] = r.level
     assert got == {conv: brute_levels(ws) for conv, ws in wanted.items()}
+
+
+def test_texts_that_hold_the_mark_stay(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from tracequarry.llm.chat import MARK, TAIL, canonical
+
+    values = [{"content": MARK + "abc"}, {"content": f'say "{MARK}x" ok', "n": 1.5}, {"a": MARK + "12.0", "b": 12.5}, {"a": MARK + TAIL + "1.0", "b": "\\" + MARK}, [f'"{MARK}7.0"']]
+    texts = [json.dumps(v, ensure_ascii=e) for v in values for e in (True, False)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.c for r in df.select("i", canonical(F.col("t")).alias("c")).collect()}
+    assert [json.loads(got[i]) for i in range(len(texts))] == [v for v in values for _ in (True, False)]

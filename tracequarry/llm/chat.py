@@ -19,7 +19,7 @@ from tracequarry.llm.common import materialize
 REFERENCE = r"\$\{([A-Za-z0-9_.:-]+)\}"
 MESSAGE = "struct<content:variant,tool_call_id:string,tool_calls:array<variant>,tools:array<variant>>"
 #: Numbers that a variant would write otherwise (1.0, 1e3, -0, more than 18 digits) go through it as marked strings.
-MARK = "\ue000\ue001"
+MARK, TAIL = "\ue000\ue001", "\ue002"
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _NUMBER = r"-?[0-9]+(?:\.[0-9]+)?[eE][+-]?[0-9]+|-?[0-9]+\.[0-9]+|-?[0-9]{19,}|-0(?![0-9])"
 
@@ -31,12 +31,14 @@ def exact(text: Column) -> Column:
         rest = F.transform(F.split(t, _STRING, -1), lambda p: F.regexp_replace(p, f"({_NUMBER})", f'"{MARK}$1"'))
         return F.array_join(F.zip_with(rest, F.regexp_extract_all(t, F.lit(_STRING), F.lit(0)), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
 
-    return F.when(text.rlike(_NUMBER), marked(text)).otherwise(text)
+    # A mark that the text itself holds, escaped or not, gets a tail that no number begins with.
+    own = F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)(?:\\u[eE]000|\ue000)(?:\\u[eE]001|\ue001)", f"$1{MARK}{TAIL}")
+    return let(own, lambda t: F.when(t.rlike(_NUMBER), marked(t)).otherwise(t))
 
 
 def plain(json: Column) -> Column:
-    """The JSON with its marked numbers as they were."""
-    return F.regexp_replace(json, f'"{MARK}([^"]*)"', "$1")
+    """The JSON with its marked numbers, and marks of its own, as they were."""
+    return F.replace(F.regexp_replace(json, f'"{MARK}({_NUMBER})"', "$1"), F.lit(MARK + TAIL), F.lit(MARK))
 
 
 def canonical(text: Column) -> Column:
