@@ -7,6 +7,9 @@ row, and none is cut off. A step budget only names the steps beyond it.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -119,22 +122,73 @@ def c10_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("ratio", F.round(F.col("necessary") / F.col("steps"), 4))
 
 
-_MINIMAL = "f AS (SELECT episode_id, tool, min(step) AS pos FROM trace WHERE tool IN ('purchase', 'view') GROUP BY 1, 2), m AS (SELECT episode_id, count(*) AS kinds, max(pos) AS needed FROM f GROUP BY 1)"
+#: What a plan must bring about: how many steps at least of which tools. A step may serve several needs.
+NEEDS = [(("purchase",), 2), (("view",), 3), (("click", "view"), 8), (("signup", "error"), 1)]
+
+
+def minimal_plan(steps: DataFrame, needs: list[tuple[tuple[str, ...], int]]) -> DataFrame:
+    """episode_id, step, met, removed_in: the steps of each episode, with the round in which one was taken out of its plan.
 
+    As long as a run of neighbouring steps can go without missing a need, the longest such run goes, the first of equals.
+    What stays (removed_in is null) can't lose any step or run. An episode that misses a need keeps all steps, and met is
+    false. steps: episode_id, step (unique in an episode), tool; a step without a tool serves no need.
 
-@query(with_sql(TRACE, _MINIMAL, "n AS (SELECT episode_id, count(*) AS steps FROM trace GROUP BY 1)") + "SELECT episode_id, steps, CASE WHEN kinds = 2 THEN 2 ELSE 0 END::BIGINT AS kept, CASE WHEN kinds = 2 THEN steps - 2 ELSE 0 END AS removable, CASE WHEN kinds = 2 THEN needed END AS last_needed FROM n LEFT JOIN m USING (episode_id)")
+    All episodes are shortened at once. How far a run may reach from each step is looked up for every need by a running
+    maximum over the sorted sums of needs served, so a round sorts the steps and never pairs them. The neighbours of a run
+    that went can't go later, so there are no more rounds than steps needed, and one; finished episodes leave.
+    """
+    if not any(least > 0 for _, least in needs):
+        raise ValueError("a plan needs a step at least")
+    serves = [F.coalesce(F.col("tool").isin(*tools), F.lit(False)).cast("long").alias(f"n{m}") for m, (tools, _) in enumerate(needs)]
+    rows = steps.select("episode_id", "step", *serves)
+    slack = [(F.sum(f"n{m}") - least).alias(f"s{m}") for m, (_, least) in enumerate(needs)]
+    met = reduce(and_, [F.col(f"s{m}") >= 0 for m in range(len(needs))])
+    judged = rows.groupBy("episode_id").agg(*slack).select("episode_id", met.alias("met"))
+    all_rows = rows.join(judged, "episode_id").checkpoint()
+    out = all_rows.filter("not met").select("episode_id", "step", "met", F.lit(None).cast("long").alias("removed_in"))
+    left, turn = all_rows.filter("met").drop("met"), 0
+    order = Window.partitionBy("episode_id").orderBy("step")
+    sorted_sums = Window.partitionBy("episode_id", "need").orderBy("sum", "asks", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    while not left.isEmpty():
+        turn += 1
+        free = left.groupBy("episode_id").agg(*slack)
+        sums = [F.sum(f"n{m}").over(order).alias(f"p{m}") for m in range(len(needs))]
+        placed = left.select("*", F.row_number().over(order).alias("pos"), *sums).join(free, "episode_id")
+        marks = [F.struct(F.lit(m).alias("need"), at.alias("sum"), F.lit(asks).alias("asks")) for m in range(len(needs)) for asks, at in ((False, F.col(f"p{m}")), (True, F.col(f"p{m}") - F.col(f"n{m}") + F.col(f"s{m}")))]
+        run = placed.select("episode_id", "pos", F.explode(F.array(*marks)).alias("m")).select("episode_id", "pos", "m.*")
+        reach = F.coalesce(F.max(F.when(~F.col("asks"), F.col("pos"))).over(sorted_sums), F.lit(0))
+        ends = run.withColumn("end", reach).filter("asks").groupBy("episode_id", "pos").agg(F.min("end").alias("end")).filter("end >= pos")
+        best = ends.groupBy("episode_id").agg(F.max(F.struct((F.col("end") - F.col("pos")).alias("more"), (-F.col("pos")).alias("back"))).alias("b"))
+        best = best.select("episode_id", (-F.col("b.back")).alias("first"), (F.col("b.more") - F.col("b.back")).alias("last"))
+        goes = F.coalesce(F.col("pos").between(F.col("first"), F.col("last")), F.lit(False))
+        state = placed.join(best, "episode_id", "left").select(*left.columns, goes.alias("goes"), F.col("first").isNull().alias("done")).checkpoint()
+        out = out.unionByName(state.filter("goes or done").select("episode_id", "step", F.lit(True).alias("met"), F.when(F.col("goes"), F.lit(turn)).cast("long").alias("removed_in")))
+        left = state.filter("not goes and not done").drop("goes", "done")
+    return out
+
+
+def _needs_sql(tools: str) -> str:
+    return " AND ".join(f"len(list_filter({tools}, lambda x: x IN ({', '.join(repr(t) for t in names)}))) >= {least}" for names, least in NEEDS)
+
+
+@query(f"""WITH RECURSIVE {TRACE}, plan AS (
+  SELECT episode_id, 0 AS round, list(step ORDER BY step) AS kept, list(tool ORDER BY step) AS tools FROM trace GROUP BY episode_id
+  UNION ALL
+  SELECT episode_id, round + 1, kept[:b.i - 1] || kept[b.j + 1:], tools[:b.i - 1] || tools[b.j + 1:]
+  FROM (SELECT episode_id, round, kept, tools, arg_max({{'i': i, 'j': j}}, (j - i, -i)) AS b
+        FROM (SELECT *, unnest(range(i, len(kept) + 1)) AS j FROM (SELECT *, unnest(range(1, len(kept) + 1)) AS i FROM plan))
+        WHERE {_needs_sql("(tools[:i - 1] || tools[j + 1:])")} GROUP BY ALL)),
+  ends AS (SELECT episode_id, max(len(kept)) AS steps, max(round) AS removals, arg_max(kept, round) AS kept, arg_min({_needs_sql("tools")}, round) AS met FROM plan GROUP BY episode_id)
+  SELECT episode_id, steps, met, CASE WHEN met THEN len(kept) END AS kept, CASE WHEN met THEN removals ELSE 0 END::BIGINT AS removals, CASE WHEN met THEN array_to_string(kept, ',') END AS kept_steps FROM ends""")
 def c11_minimization(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A least plan for the goal of c10: of every key that the goal wants, the first step that brings it there.
+    """A least plan of every episode for NEEDS: what is kept can lose no run of steps; null if the episode misses a need.
 
-    An episode that misses the goal has no plan. Both wants are counts that only grow, so leaving out any other step
-    keeps the goal met, and leaving out a kept one misses it.
+    A kept plan has no more steps than the needs add up to, so it fits a row.
     """
-    t = trace(spark, sf_dir)
-    f = t.filter(F.col("tool").isin("purchase", "view")).groupBy("episode_id", "tool").agg(F.min("step").alias("at"))
-    m = f.groupBy("episode_id").agg(F.count("*").alias("kinds"), F.max("at").alias("needed"))
-    n = t.groupBy("episode_id").agg(F.count("*").alias("steps")).join(m, "episode_id", "left")
-    met = F.coalesce(F.col("kinds") == 2, F.lit(False))
-    return n.select("episode_id", "steps", F.when(met, 2).otherwise(0).cast("long").alias("kept"), F.when(met, F.col("steps") - 2).otherwise(0).alias("removable"), F.when(met, F.col("needed")).alias("last_needed"))
+    p = minimal_plan(trace(spark, sf_dir).select("episode_id", "step", "tool"), NEEDS)
+    stays = F.when(F.col("met") & F.col("removed_in").isNull(), F.col("step"))
+    g = p.groupBy("episode_id", "met").agg(F.count("*").alias("steps"), F.count(stays).alias("kept"), F.coalesce(F.max("removed_in"), F.lit(0)).alias("removals"), F.array_join(F.array_sort(F.collect_list(stays)), ",").alias("kept_steps"))
+    return g.select("episode_id", "steps", "met", F.when(F.col("met"), F.col("kept")).alias("kept"), "removals", F.when(F.col("met"), F.col("kept_steps")).alias("kept_steps"))
 
 
 _VARIANT = "v AS (SELECT episode_id, sum(CASE WHEN tool = 'purchase' THEN 1 ELSE 0 END) AS bought, sum(CASE WHEN tool = 'error' THEN 1 ELSE 0 END) AS errors, sum(CASE WHEN tool = 'click' THEN 1 ELSE 0 END) - sum(CASE WHEN tool = 'view' THEN 1 ELSE 0 END) AS debt FROM trace GROUP BY 1), x AS (SELECT *, unnest([0, 2, 5]) AS start FROM v)"
