@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def _ranged(df: DataFrame, key: str, parts: int | None) -> DataFrame:
+def ranged(df: DataFrame, key: str, parts: int | None) -> DataFrame:
     """df dealt by ranges of key, in order within each (rows without a key last), with __part and __row, both rising."""
     order = F.asc_nulls_last(key)
     dealt = df.repartitionByRange(parts, order) if parts else df.repartitionByRange(order)
@@ -32,7 +32,7 @@ def global_ordinal(df: DataFrame, key: str, name: str = "ordinal", parts: int |
     Rows are dealt by ranges of the key, each range numbers its own and is raised by the rows of the ranges before it.
     Rows without a key come last.
     """
-    started = _with_start(_ranged(df, key, parts), F.count("*"), "__before")
+    started = _with_start(ranged(df, key, parts), F.count("*"), "__before")
     return started.withColumn(name, F.col("__row") - F.col("__first") + F.col("__before") + 1).select(*df.columns, name)
 
 
@@ -43,7 +43,7 @@ def values_at(df: DataFrame, column: str, ranks: list[int], parts: int | None =
     nor all different values meet in one task. No more rows than ranks are collected.
     """
     counts = df.groupBy(F.col(column).alias("__value")).agg(F.count("*").alias("__n"))
-    started = _with_start(_ranged(counts, "__value", parts), F.sum("__n"), "__before")
+    started = _with_start(ranged(counts, "__value", parts), F.sum("__n"), "__before")
     own = F.sum("__n").over(Window.partitionBy("__part").orderBy("__row"))
     ends = started.withColumn("__end", own + F.col("__before"))
     held = reduce(or_, [(F.col("__end") > r) & (F.col("__end") - F.col("__n") <= r) for r in ranks])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracequarry.operators import alignment, audits, bundles, conversations, documents, episodes, gates, json_edits, requests, rollups, selection, structures, tools, trace, validation  # noqa: F401
+from tracequarry.operators import alignment, assignment, audits, bundles, conversations, documents, episodes, gates, json_edits, requests, rollups, selection, structures, tools, trace, validation  # noqa: F401
 from tracequarry.plans.catalog import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "a2_trajectory_profile"
