@@ -37,15 +37,46 @@ def effects(t: DataFrame, rules: dict = RULES) -> DataFrame:
     return t.select("episode_id", "step", F.explode(listed).alias("e")).select("episode_id", "step", "e.*")
 
 
-def final_states(t: DataFrame, rules: dict = RULES) -> DataFrame:
-    """episode_id, key, value of every key that an episode leaves behind. Unknown tools change nothing."""
+def _parts(t: DataFrame, rules: dict) -> DataFrame:
+    """episode_id, key, r (the last reset: step, ord, amount; null if there was none) and more (what was added after it)."""
     e = effects(t, rules)
     last = e.filter("reset").groupBy("episode_id", "key").agg(F.max(F.struct("step", "ord", "amount")).alias("r"))
     later = ~F.col("reset") & (F.col("r").isNull() | (F.struct("step", "ord") > F.struct("r.step", "r.ord")))
-    g = e.join(last, ["episode_id", "key"], "left").groupBy("episode_id", "key").agg(F.max("r").alias("r"), F.sum(F.when(later, F.col("amount"))).alias("more"))
+    return e.join(last, ["episode_id", "key"], "left").groupBy("episode_id", "key").agg(F.max("r").alias("r"), F.sum(F.when(later, F.col("amount"))).alias("more"))
+
+
+def final_states(t: DataFrame, rules: dict = RULES) -> DataFrame:
+    """episode_id, key, value of every key that an episode leaves behind. Unknown tools change nothing."""
+    g = _parts(t, rules)
     return g.filter("r.amount is not null or more is not null").select("episode_id", "key", (F.coalesce("r.amount", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("value"))
 
 
+def overridden_states(t: DataFrame, variants: dict[str, dict[str, float | None]], rules: dict = RULES) -> DataFrame:
+    """episode_id, variant, state (struct of every key's final value, null where it is absent) and hidden (how many of the
+    variant's overrides a later reset hides), for every episode replayed from each variant's initial state.
+
+    variants: name -> key -> value before the first step (None: absent). An override is one more reset before the first
+    step, so it stands in the final state just where the episode has no reset of that key. Steps are summed once whatever
+    the number of variants; only the episodes' states are multiplied by it.
+    """
+    keys = sorted({key for own in rules.values() for _, key, _ in own} | {key for own in variants.values() for key in own})
+    part = lambda key, value: F.max(F.when(F.col("key") == key, value))
+    each = [c for i, key in enumerate(keys) for c in (part(key, F.col("r")).alias(f"r{i}"), part(key, F.col("more")).alias(f"m{i}"))]
+    sums = t.select("episode_id").distinct().join(_parts(t, rules).groupBy("episode_id").agg(*each), "episode_id", "left")
+
+    def state(own: dict[str, float | None]) -> Column:
+        values = []
+        for i, key in enumerate(keys):
+            base = F.when(F.col(f"r{i}").isNull(), F.lit(own.get(key)).cast("double")).otherwise(F.col(f"r{i}.amount"))
+            more = F.col(f"m{i}")
+            values.append(F.when(base.isNotNull() | more.isNotNull(), F.coalesce(base, F.lit(0.0)) + F.coalesce(more, F.lit(0.0))).alias(key))
+        return F.struct(*values)
+
+    hidden = lambda own: sum((F.col(f"r{keys.index(key)}").isNotNull().cast("long") for key in own), F.lit(0).cast("long"))
+    rows = F.array(*[F.struct(F.lit(name).alias("variant"), state(own).alias("state"), hidden(own).alias("hidden")) for name, own in variants.items()])
+    return sums.select("episode_id", F.explode(rows).alias("v")).select("episode_id", "v.*")
+
+
 def with_values(t: DataFrame, keys: list[str], rules: dict = RULES) -> DataFrame:
     """t with each of the keys' values after every step (null where it is absent), by running sums since the last reset.
 
@@ -191,24 +222,25 @@ def c11_minimization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("episode_id", "steps", "met", F.when(F.col("met"), F.col("kept")).alias("kept"), "removals", F.when(F.col("met"), F.col("kept_steps")).alias("kept_steps"))
 
 
-_VARIANT = "v AS (SELECT episode_id, sum(CASE WHEN tool = 'purchase' THEN 1 ELSE 0 END) AS bought, sum(CASE WHEN tool = 'error' THEN 1 ELSE 0 END) AS errors, sum(CASE WHEN tool = 'click' THEN 1 ELSE 0 END) - sum(CASE WHEN tool = 'view' THEN 1 ELSE 0 END) AS debt FROM trace GROUP BY 1), x AS (SELECT *, unnest([0, 2, 5]) AS start FROM v)"
+#: Initial states to replay from. The first is the episode as it was.
+VARIANTS = {"plain": {}, "seen_2": {"seen": 2.0}, "seen_5": {"seen": 5.0}, "errors_9": {"errors": 9.0}, "both": {"seen": 5.0, "errors": 9.0}}
+_SUMS = """v AS (SELECT episode_id, lp, ls, count(*) FILTER (tool = 'view') AS views, count(*) FILTER (tool = 'click') AS clicks, count(*) FILTER (tool = 'error' AND step > greatest(coalesce(lp, 0), coalesce(ls, 0))) AS late FROM s GROUP BY 1, 2, 3),
+  x AS (SELECT *, unnest([{'variant': 'plain', 'a': 0, 'b': NULL}, {'variant': 'seen_2', 'a': 2, 'b': NULL}, {'variant': 'seen_5', 'a': 5, 'b': NULL}, {'variant': 'errors_9', 'a': 0, 'b': 9}, {'variant': 'both', 'a': 5, 'b': 9}]) AS o FROM v),
+  f AS (SELECT episode_id, o.variant AS variant, (views + o.a)::DOUBLE AS seen, clicks::DOUBLE AS clicks, (o.b IS NOT NULL AND (lp IS NOT NULL OR ls IS NOT NULL))::BIGINT AS hidden,
+    CASE WHEN coalesce(ls, 0) > coalesce(lp, 0) THEN late WHEN lp IS NOT NULL THEN nullif(late, 0) ELSE coalesce(late + o.b, nullif(late, 0)) END::DOUBLE AS errors FROM x),
+  g AS (SELECT *, seen >= clicks AND coalesce(errors, 0) <= 8 AS goal FROM f)"""
 
 
-@query(with_sql(TRACE, _VARIANT) + "SELECT episode_id, start AS variant, (bought + 0.0)::DOUBLE AS bought, (start - debt)::DOUBLE AS credit, start - debt >= 0 AS goal, (start - debt >= 0) <> (0 - debt >= 0) AS changed FROM x")
+@query(with_sql(TRACE, _SEG, _SUMS) + "SELECT episode_id, variant, seen, clicks, errors, hidden, goal, goal <> max(CASE WHEN variant = 'plain' THEN goal END) OVER (PARTITION BY episode_id) AS changed FROM g")
 def c13_counterfactuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every episode replayed from three initial states that override the key seen by 0, 2 and 5 (c12): whether the goal
-    seen >= clicks is met, and whether the override changed that.
-
-    An override is one more effect before the first step, so the variants are rows, not runs.
-    """
-    t = trace(spark, sf_dir).select("episode_id", "step", "tool")
-    variants = F.array(*[F.lit(x) for x in (0, 2, 5)])
-    v = t.withColumn("variant", F.explode(variants)).groupBy("episode_id", "variant").agg(
-        F.count_if(F.col("tool") == "purchase").cast("double").alias("bought"),
-        (F.col("variant") + F.count_if(F.col("tool") == "view") - F.count_if(F.col("tool") == "click")).cast("double").alias("credit"),
-    )
-    plain = v.filter("variant = 0").select("episode_id", (F.col("credit") >= 0).alias("before"))
-    return v.join(plain, "episode_id").select("episode_id", "variant", "bought", "credit", (F.col("credit") >= 0).alias("goal"), ((F.col("credit") >= 0) != F.col("before")).alias("changed"))
+    """Every episode replayed from VARIANTS (c12): the states it ends in, the overrides that later resets hide, whether the
+    goal seen >= clicks and errors <= 8 is met, and whether that differs from the episode as it was."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    v = overridden_states(trace(spark, sf_dir).select("episode_id", "step", "tool"), VARIANTS)
+    v = v.select("episode_id", "variant", zero("state.seen").alias("seen"), zero("state.clicks").alias("clicks"), F.col("state.errors").alias("errors"), "hidden")
+    v = v.withColumn("goal", (F.col("seen") >= F.col("clicks")) & (zero("errors") <= 8))
+    plain = F.max(F.when(F.col("variant") == "plain", F.col("goal"))).over(Window.partitionBy("episode_id"))
+    return v.withColumn("changed", F.col("goal") != plain)
 
 
 def reward(goal: Column, invariant: Column, grounded: Column, steps: Column, reference: Column, valid: Column) -> Column:
