@@ -60,8 +60,7 @@ def assign(rows: DataFrame, cards: list[Card], parts: int | None = None) -> Data
     greater id.
 
     Each choice hangs on all before it, yet only through one count a card. Rows are dealt by ranges of ids; every range
-    is run at once from guessed counts, which gives the counts that it adds and with them a better guess for the ranges
-    behind it. A range whose counts at its start come out as guessed, as do all before it, is settled; only ranges with a
+    is run at once from guessed counts, and the counts that it ends with are the next guess for the range behind it. A range whose counts at its start come out as guessed, as do all before it, is settled; only ranges with a
     new guess run again. Guesses that differ draw nearer with each row, as a card that one run has used more often is
     chosen there less, so a few rounds settle all ranges; and each round settles one at least, so the result is exact
     whatever the rows are. The driver holds one count a card and range, never rows.
@@ -99,17 +98,19 @@ def assign(rows: DataFrame, cards: list[Card], parts: int | None = None) -> Data
 
     ranges = sorted(r[0] for r in dealt.select("__part").distinct().collect())
     starts = {p: none for p in ranges}
-    todo, adds = set(ranges), {}
+    todo, ends, first = set(ranges), {}, True
     while todo:
         some = dealt.filter(F.col("__part").isin(*todo)) if len(todo) < len(ranges) else dealt
         found = some.select("hits", "__part").mapInArrow(added(starts), "part bigint, added array<bigint>").collect()
-        adds |= {r["part"]: tuple(r["added"]) for r in found}
+        ends |= {r["part"]: tuple(a + b for a, b in zip(starts[r["part"]], r["added"])) for r in found}
         at, todo = none, set()
         for p in ranges:
             if starts[p] != at:
                 starts[p] = at
                 todo.add(p)
-            at = tuple(a + b for a, b in zip(at, adds[p]))
+            # All began at zero in the first round, so what they added is summed; then a range's end is the next one's start.
+            at = tuple(a + b for a, b in zip(at, ends[p])) if first else ends[p]
+        first = False
     return dealt.select("id", "hits", "__part").mapInArrow(chosen(starts), f"id {dealt.schema['id'].dataType.simpleString()}, operator string")
 
 
