@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracequarry.functions.json_edits import nodes, patched, shape, sliced
+from tracequarry.functions.json_edits import KINDS, effects, kinds, patched, shape, sliced
 from tracequarry.operators.bundles import bundles, contract_errors
 from tracequarry.plans.catalog import query
 from tracequarry.sources.tables import table
@@ -40,17 +40,11 @@ def r5_json_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def state_effects(pairs: DataFrame) -> DataFrame:
     """id, path, op (set or delete), value: the least effects that turn `before` into `after`.
 
-    pairs: id, before, after (JSON). Both trees become rows of nodes, joined in full on (id, path). A node that is new, gone
-    or of another value is an effect if its parent is an object in both trees; below a new or replaced object nothing is
-    said twice. Lists are values as a whole. A root that isn't an object on both sides is set whole, at path "".
+    pairs: id, before, after (JSON). A pair's trees are compared where the pair is, so no node is shuffled. A node that is
+    new, gone or of another value is an effect if its parent is an object in both trees; below a new or replaced object
+    nothing is said twice. Lists are values as a whole. A root that isn't an object on both sides is set whole, at path "".
     """
-    side = lambda c, p: pairs.select("id", F.explode(nodes(F.col(c))).alias("n")).select("id", F.col("n.path").alias("path"), F.col("n.parent").alias(f"{p}parent"), F.col("n.object").alias(f"{p}object"), F.col("n.value").alias(f"{p}value"))
-    both = side("before", "a").join(side("after", "b"), ["id", "path"], "full")
-    within = both.filter("aobject and bobject").select("id", F.col("path").alias("parent"))
-    changed = both.filter("avalue is null or bvalue is null or (avalue <> bvalue and not (aobject and bobject))").withColumn("parent", F.coalesce("aparent", "bparent"))
-    inner = changed.filter("parent is not null").join(within, ["id", "parent"], "left_semi")
-    shown = ["id", "path", F.when(F.col("bvalue").isNull(), "delete").otherwise("set").alias("op"), F.col("bvalue").alias("value")]
-    return inner.select(*shown).unionByName(changed.filter("parent is null").select(*shown))
+    return pairs.select("id", F.explode(effects(F.col("before"), F.col("after"))).alias("e")).select("id", "e.*")
 
 
 @query("""WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, CAST(sum(l_quantity) AS BIGINT) AS q, max(l_returnflag) AS f FROM lineitem GROUP BY 1, 2),
@@ -67,16 +61,21 @@ def state_effects(pairs: DataFrame) -> DataFrame:
 def r2_state_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Effects from each order's state to the customer's next one."""
     state = order_states(spark, sf_dir)
-    w = Window.partitionBy("o_custkey").orderBy("id")
-    pairs = state.select("id", "o_custkey", F.col("state").alias("after")).withColumn("before", F.lag("after").over(w)).withColumn("prev", F.lag("id").over(w)).filter("prev is not null")
-    line = F.concat("op", F.lit(":"), "path", F.lit("="), F.coalesce("value", F.lit("")))
-    found = state_effects(pairs.select("id", "before", "after")).groupBy("id").agg(F.count("*").alias("n_effects"), F.array_join(F.array_sort(F.collect_list(line)), ";").alias("effects"))
-    return pairs.select("id", "prev").join(found, "id", "left").select("id", "prev", F.coalesce("n_effects", F.lit(0)).alias("n_effects"), F.coalesce("effects", F.lit("")).alias("effects"))
+    w = Window.partitionBy("o_custkey").orderBy(F.asc_nulls_last("id"))
+    pairs = state.select("id", F.col("state").alias("after"), F.lag("state").over(w).alias("before"), F.lag("id").over(w).alias("prev")).filter("prev is not null")
+    own = F.when(F.col("id").isNotNull(), effects(F.col("before"), F.col("after"))).otherwise(F.array())
+    found = pairs.select("id", "prev", own.alias("found"))
+    lines = F.transform("found", lambda e: F.concat(e["op"], F.lit(":"), e["path"], F.lit("="), F.coalesce(e["value"], F.lit(""))))
+    return found.select("id", "prev", F.size("found").cast("long").alias("n_effects"), F.array_join(F.array_sort(lines), ";").alias("effects"))
 
 
 def order_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, o_custkey, state (JSON) of every order: lines by number, each of flag and quantity, and status."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").cast("long").alias("q"), F.max("l_returnflag").alias("f"))
+    """id, o_custkey, state (JSON) of every order: lines by number, each of flag and quantity, and status.
+
+    Lines are dealt by order once; both aggregates and the join then find them in place.
+    """
+    dealt = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag").repartition("l_orderkey")
+    lines = dealt.groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").cast("long").alias("q"), F.max("l_returnflag").alias("f"))
     entry = F.struct(F.col("l_linenumber").cast("string").alias("key"), F.struct("f", "q").alias("value"))
     held = lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.map_from_entries(F.collect_list(entry)).alias("lines"))
     state = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", F.col("o_orderstatus").alias("status")).join(held, "id", "left")
