@@ -128,24 +128,12 @@ def r9_monotone_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("task_id", "rounds", F.array_join("errors", ",").alias("errors"), "converged")
 
 
-#: Kinds of JSON values as bits, so that the kinds seen at a path are merged by one bitwise or.
-KINDS = {"boolean": 1, "string": 2, "integer": 4, "number": 8, "list": 16, "object": 32, "null": 64}
 #: What a missing member of each type begins as; any other type begins as null.
 DEFAULTS = {"boolean": "false", "string": '""', "integer": "0", "number": "0", "list": "[]", "object": "{}"}
 
 
-def _kind(n: Column) -> Column:
-    first = F.substring(n["value"], 1, 1)
-    number = F.when(n["value"].rlike(r"^-?\d+$"), KINDS["integer"]).otherwise(KINDS["number"])
-    named = {"{": "object", "[": "list", '"': "string", "t": "boolean", "f": "boolean", "n": "null"}
-    out = None
-    for mark, kind in named.items():
-        out = F.when(first == mark, KINDS[kind]) if out is None else out.when(first == mark, KINDS[kind])
-    return out.otherwise(number)
-
-
 def _members(states: DataFrame) -> DataFrame:
-    return states.select("group", "id", F.explode(nodes(F.col("state"))).alias("n")).select("group", "id", F.col("n.path").alias("path"), F.col("n.parent").alias("parent"), _kind(F.col("n")).alias("kind"))
+    return states.select("group", "id", F.explode(kinds(F.col("state"))).alias("n")).select("group", "id", "n.*")
 
 
 def state_types(states: DataFrame) -> DataFrame:
@@ -153,16 +141,21 @@ def state_types(states: DataFrame) -> DataFrame:
 
     states: group, id, state (JSON). Integers are numbers; values of several other kinds make any; nulls don't change a type
     but make it nullable; a path of nulls alone is of type null. missing: states of the group whose parent at that path is
-    an object without the member. One aggregate that combines before the shuffle; states aren't gathered.
+    an object without the member. One aggregate that combines before the shuffle; states aren't gathered,
+    and are read once.
     """
     g = _members(states).groupBy("group", "path", "parent").agg(F.bit_or("kind").alias("kinds"), F.count("*").alias("present"), F.count_if(F.col("kind") == KINDS["object"]).alias("objects"))
     bare = F.col("kinds").bitwiseAND(F.lit(127 - KINDS["null"]))
     kind = F.when(bare == 0, "null").when(bare == KINDS["integer"] + KINDS["number"], "number")
     for name, bit in KINDS.items():
         kind = kind.when(bare == bit, name)
-    above = g.select("group", F.col("path").alias("parent"), F.col("objects").alias("above"))
-    out = g.join(above, ["group", "parent"], "left")
-    return out.select("group", "path", "parent", kind.otherwise("any").alias("type"), (F.col("kinds").bitwiseAND(F.lit(KINDS["null"])) > 0).alias("nullable"), "present", (F.coalesce("above", "present") - F.col("present")).alias("missing"))
+    # A path stands under its own name for what it holds and under its parent's for what it asks: no second read of states.
+    names = F.array(F.struct(F.col("path").alias("at"), F.lit(True).alias("holds")), F.struct(F.col("parent").alias("at"), F.lit(False).alias("holds")))
+    named = g.withColumn("name", F.explode(names))
+    above = named.withColumn("above", F.max(F.when(F.col("name.holds"), F.col("objects"))).over(Window.partitionBy("group", "name.at")))
+    out = above.filter(~F.col("name.holds"))
+    missing = F.when(F.col("parent").isNull(), F.lit(0).cast("long")).otherwise(F.coalesce("above", "present") - F.col("present"))
+    return out.select("group", "path", "parent", kind.otherwise("any").alias("type"), (F.col("kinds").bitwiseAND(F.lit(KINDS["null"])) > 0).alias("nullable"), "present", missing.alias("missing"))
 
 
 def complete(states: DataFrame) -> DataFrame:
