@@ -25,28 +25,35 @@ EFFECTS = ("set", "increment", "append", "delete")
 def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """task_id, contract, environment, bindings, plan (JSON) of every order."""
     li = table(spark, sf_dir, "lineitem").filter("l_orderkey is not null")
-    number, quantity = F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("long").cast("string")
-    tool = (F.col("l_suppkey") % 5).cast("string")
-    path = F.when(F.col("l_linestatus") == "F", F.concat(F.lit("$state.q"), number)).otherwise(F.concat(F.lit("q"), number))
-    op = F.when(F.col("l_quantity") > 45, "near").otherwise("gt")
-    predicate = F.concat(F.lit('{"id":"p'), (F.col("l_linenumber") % 6).cast("string"), F.lit('","predicate":{"'), op, F.lit('":["'), path, F.lit('","'), quantity, F.lit('"]}}'))
-    always = F.col("l_shipdate") < F.lit("1995-01-01")
-    effect = F.concat(F.lit('{"op":"'), F.when(F.col("l_returnflag") == "A", "swap").otherwise("set"), F.lit('","path":"$state.q'), number, F.lit('"}'))
-    branch = F.concat(F.lit('{"id":"b'), number, F.lit('","when":'), F.when(always, F.lit("true")).otherwise(F.concat(F.lit('"q > '), quantity, F.lit('"'))), F.lit(',"effects":['), effect, F.lit("]}"))
-    rows = li.select(F.col("l_orderkey").alias("task_id"), F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), "l_returnflag", "l_quantity", "l_discount", "l_tax", tool.alias("tool"), predicate.alias("predicate"), branch.alias("branch")).alias("r"))
-    g = rows.groupBy("task_id").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    # Only the values are dealt by order, in the plan's order; JSON is made of them afterwards.
+    stateless = ~F.coalesce(F.col("l_linestatus") == "F", F.lit(False))
+    always = F.coalesce(F.col("l_shipdate") < F.lit("1995-01-01"), F.lit(False))
+    kept = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), "l_returnflag", "l_quantity", "l_discount", "l_tax", (F.col("l_suppkey") % 5).alias("s"), stateless.alias("stateless"), always.alias("always"))
+    g = li.groupBy(F.col("l_orderkey").alias("task_id")).agg(F.sort_array(F.collect_list(kept)).alias("r"))
+    number, quantity = lambda x: x["n"].cast("string"), lambda x: x["l_quantity"].cast("long").cast("string")
+    tool = lambda x: x["s"].cast("string")
+
+    def predicate(x: Column) -> Column:
+        path = F.concat(F.when(x["stateless"], "q").otherwise("$state.q"), number(x))
+        op = F.when(x["l_quantity"] > 45, "near").otherwise("gt")
+        return F.concat(F.lit('{"id":"p'), (x["n"] % 6).cast("string"), F.lit('","predicate":{"'), op, F.lit('":["'), path, F.lit('","'), quantity(x), F.lit('"]}}'))
+
+    def branch(x: Column) -> Column:
+        effect = F.concat(F.lit('{"op":"'), F.when(x["l_returnflag"] == "A", "swap").otherwise("set"), F.lit('","path":"$state.q'), number(x), F.lit('"}'))
+        return F.concat(F.lit('{"id":"b'), number(x), F.lit('","when":'), F.when(x["always"], F.lit("true")).otherwise(F.concat(F.lit('"q > '), quantity(x), F.lit('"'))), F.lit(',"effects":['), effect, F.lit("]}"))
+
     listed = lambda items: F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
     of = lambda keep, show: F.transform(F.filter("r", keep), show)
-    goals = of(lambda x: x["l_returnflag"] == "R", lambda x: x["predicate"])
-    kept = of(lambda x: x["l_returnflag"] != "R", lambda x: x["predicate"])
+    goals = of(lambda x: x["l_returnflag"] == "R", predicate)
+    kept = of(lambda x: x["l_returnflag"] != "R", predicate)
     taxes = F.array_sort(F.array_distinct(F.transform("r", lambda x: x["l_tax"])))
     contract = F.concat(F.lit('{"contract_version":"1","goal":"ship","goal_predicates":'), listed(goals), F.lit(',"invariants":'), listed(kept), F.lit(',"counterfactual_axes":[{"state_path":"$state.tax","variants":'), listed(F.transform(taxes, lambda x: x.cast("string"))), F.lit("}]}"))
-    tools = F.array_sort(F.array_distinct(of(lambda x: x["l_quantity"] > 10, lambda x: x["tool"])))
+    tools = F.array_sort(F.array_distinct(of(lambda x: x["l_quantity"] > 10, tool)))
     bindings = F.concat(F.lit('{"tools":'), listed(F.transform(tools, lambda t: F.concat(F.lit('{"name":"tool_'), t, F.lit('","capability_id":"cap_'), t, F.lit('"}')))), F.lit("}"))
-    capabilities = F.array_sort(F.array_distinct(of(lambda x: x["l_discount"] > 0.01, lambda x: x["tool"])))
-    own = F.transform(capabilities, lambda c: F.concat(F.lit('"cap_'), c, F.lit('":{"branches":'), listed(of(lambda x: x["tool"] == c, lambda x: x["branch"])), F.lit("}")))
+    capabilities = F.array_sort(F.array_distinct(of(lambda x: x["l_discount"] > 0.01, tool)))
+    own = F.transform(capabilities, lambda c: F.concat(F.lit('"cap_'), c, F.lit('":{"branches":'), listed(of(lambda x: tool(x) == c, branch)), F.lit("}")))
     environment = F.concat(F.lit('{"runtime_version":"1","capabilities":{'), F.array_join(own, ","), F.lit("}}"))
-    plan = F.concat(F.lit('{"actions":'), listed(F.transform("r", lambda x: F.concat(F.lit('{"tool":"tool_'), x["tool"], F.lit('"}')))), F.lit("}"))
+    plan = F.concat(F.lit('{"actions":'), listed(F.transform("r", lambda x: F.concat(F.lit('{"tool":"tool_'), tool(x), F.lit('"}')))), F.lit("}"))
     return g.select("task_id", contract.alias("contract"), environment.alias("environment"), bindings.alias("bindings"), plan.alias("plan"))
 
 
@@ -57,14 +64,18 @@ def _shown(task: Column, errors: Column) -> list[Column]:
 
 def contract_errors(contract: Column) -> Column:
     """Codes: not JSON, no goal, repeated ids, unknown operators, predicates that read no state, axes of one variant."""
-    c = F.from_json(contract, CONTRACT)
-    both = F.concat(F.coalesce(c["goal_predicates"], F.array().cast(f"array<{PREDICATE}>")), F.coalesce(c["invariants"], F.array().cast(f"array<{PREDICATE}>")))
-    ids = F.transform(both, lambda p: p["id"])
-    unknown = F.transform(F.filter(both, lambda p: F.size(F.array_except(F.map_keys(p["predicate"]), F.array(*map(F.lit, OPERATORS)))) > 0), lambda p: F.concat(F.lit("operator:"), p["id"]))
-    stateless = F.transform(F.filter(both, lambda p: ~F.exists(F.flatten(F.map_values(p["predicate"])), lambda x: x.startswith("$state"))), lambda p: F.concat(F.lit("no_state:"), p["id"]))
-    axes = F.transform(F.filter(c["counterfactual_axes"], lambda a: F.size(a["variants"]) < 2), lambda a: F.concat(F.lit("axis:"), a["state_path"]))
-    rules = F.array_compact(F.array(F.when(F.size(c["goal_predicates"]) == 0, "no_goal"), F.when(F.size(F.array_distinct(ids)) < F.size(ids), "repeated_ids")))
-    return F.when(c["contract_version"].isNull(), F.array(F.lit("not_a_contract"))).otherwise(F.concat(rules, unknown, stateless, axes))
+
+    def own(c: Column) -> Column:
+        both = F.concat(F.coalesce(c["goal_predicates"], F.array().cast(f"array<{PREDICATE}>")), F.coalesce(c["invariants"], F.array().cast(f"array<{PREDICATE}>")))
+        ids = F.transform(both, lambda p: p["id"])
+        unknown = F.transform(F.filter(both, lambda p: F.size(F.array_except(F.map_keys(p["predicate"]), F.array(*map(F.lit, OPERATORS)))) > 0), lambda p: F.concat(F.lit("operator:"), p["id"]))
+        stateless = F.transform(F.filter(both, lambda p: ~F.exists(F.flatten(F.map_values(p["predicate"])), lambda x: x.startswith("$state"))), lambda p: F.concat(F.lit("no_state:"), p["id"]))
+        axes = F.transform(F.filter(c["counterfactual_axes"], lambda a: F.size(a["variants"]) < 2), lambda a: F.concat(F.lit("axis:"), a["state_path"]))
+        rules = F.array_compact(F.array(F.when(F.size(c["goal_predicates"]) == 0, "no_goal"), F.when(F.size(F.array_distinct(ids)) < F.size(ids), "repeated_ids")))
+        return F.when(c["contract_version"].isNull(), F.array(F.lit("not_a_contract"))).otherwise(F.concat(rules, unknown, stateless, axes))
+
+    # The contract is parsed once: inside, c is the one item of a list.
+    return F.transform(F.array(F.from_json(contract, CONTRACT)), own)[0]
 
 
 _LINES = "l AS (SELECT l_orderkey AS task_id, l_linenumber AS n, l_partkey AS p, 'p' || (l_linenumber % 6) AS id, l_returnflag AS flag, l_linestatus = 'F' AS stateful, l_quantity AS q, l_tax AS tax, CAST(l_suppkey % 5 AS VARCHAR) AS tool, l_discount AS discount, l_shipdate < TIMESTAMP '1995-01-01' AS always FROM lineitem)"
