@@ -34,6 +34,8 @@ def r5_json_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs = bundles(spark, sf_dir).select("task_id", F.explode(F.array(F.struct(whole.alias("whole"), todo.alias("todo")))).alias("i"))
     done = inputs.select("task_id", patched(F.col("i.whole"), F.col("i.todo"), PATCH_ROOTS).alias("p")).select("task_id", "p.*")
     actions = F.from_json("document", "struct<reference_plan:struct<actions:array<struct<tool:string>>>>")["reference_plan"]["actions"]
+    done = done.select("task_id", "error", actions.alias("actions"))
+    actions = F.col("actions")
     return done.select("task_id", "error", F.array_join(F.transform(actions, lambda a: a["tool"]), ",").alias("tools"), F.when(F.col("error").isNull(), F.size(actions)).cast("long").alias("actions"))
 
 
