@@ -1,8 +1,11 @@
 import json
 import random
 
+from pyspark.sql import functions as F
+
 from tracequarry.functions.json_edits import kept_paths, patch_text, patched, sliced
-from tracequarry.operators.json_edits import complete, state_effects, state_types
+from tracequarry.operators.bundles import contract_errors, v11_contracts
+from tracequarry.operators.json_edits import complete, r5_json_patch, state_effects, state_types
 
 
 def made(rng, depth=3):
@@ -133,3 +136,28 @@ def test_slices_hold_just_the_named_paths(spark):
         named = [p for p in every if p and not any(t.isdigit() for t in p) and rng.random() < 0.4]
         kept = kept_paths(value, [list(p) for p in named])
         assert set(leaves_under(kept)) - {()} == set(named) - {()}
+
+
+def shown(df):
+    return df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+
+
+def test_trees_are_compared_without_a_shuffle(spark):
+    df = spark.createDataFrame([(1, '{"a":{"b":1,"c":1}}', '{"a":{"b":1.0,"d":{}}}'), (2, None, "[]"), (3, "{}", None), (4, "no", None)], "id long, before string, after string")
+    assert "Exchange" not in shown(state_effects(df))
+    got = {(r.id, r.op, r.path, r.value) for r in state_effects(df).collect()}
+    assert got == {(1, "set", "/a/b", "1.0"), (1, "delete", "/a/c", None), (1, "set", "/a/d", "{}"), (2, "set", "", "[]"), (3, "delete", "", None)}
+
+
+def test_states_are_read_once(spark):
+    df = spark.createDataFrame([("g", 1, '{"a":{"b":1}}'), ("g", 2, '{"a":{}}')], "group string, id long, state string")
+    assert shown(state_types(df)).count("ArrowEvalPython") == 1
+    assert {(r.path, r.type, r.present, r.missing) for r in state_types(df).collect()} == {("", "object", 2, 0), ("/a", "object", 2, 0), ("/a/b", "integer", 1, 1)}
+
+
+def test_contracts_are_parsed_once(spark, sf_dir):
+    df = spark.createDataFrame([("{}",)], "contract string")
+    assert shown(df.select(contract_errors(F.col("contract")).alias("e"))).count("from_json(") == 1
+    plan = shown(v11_contracts(spark, sf_dir))
+    assert "concat" not in plan[plan.index("Exchange") :]  # JSON is made after the shuffle
+    assert shown(r5_json_patch(spark, sf_dir)).count("from_json(") == 1
