@@ -169,6 +169,22 @@ def test_sweeps_keep_the_seating_law():
     assert abs(t.mean() - mean) < 0.1
 
 
+def test_all_customers_of_a_dish_move():
+    """A sweep over a dish of a thousand customers is a thousand moves: the same mean as one by one."""
+    n, c, d, a, alone = 2000, 1000, 0.6, 0.02, Alone(0.6)
+    rng, t = np.random.default_rng(1), np.full(2000, 30)
+    for _ in range(c):
+        left = t - (rng.random(n) < alone(np.full(n, c), t))
+        opens = (STRENGTH + d * (20 + left)) * a
+        t = left + (rng.random(n) * (opens + c - 1 - d * left) < opens)
+    got = moved(np.full(n, c), np.full(n, 30), np.full(n, 50.0), np.full(n, a), d, alone, np.arange(n, dtype=np.uint64), 1)
+    assert abs(got.mean() - t.mean()) < 0.4 and abs(got.std() - t.std()) < 0.3
+    # where tables are many, few or all of the customers, the large counts go on where the exact ones end
+    for t in (2, 20, 100, 200, 256):
+        r = (t - 1) / 255
+        assert abs(np.interp(r, alone.ratios, alone.shares) - alone.table[256, t]) < 0.005
+
+
 def test_first_seating():
     key = np.arange(4000, dtype=np.uint64)
     got = seat(np.full(4000, 12), np.full(4000, 0.7), 0.4, key).mean()

@@ -27,8 +27,8 @@ from tracequarry.llm.common import arrow_schema, bounded_batches
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20
 STRENGTH = 1.0
-#: Sweeps after the first seating, of which the last SAMPLES are averaged, and customers of a dish that a sweep moves.
-SWEEPS, SAMPLES, MOVES = 2, 2, 16
+#: Sweeps after the first seating, of which the last SAMPLES are averaged.
+SWEEPS, SAMPLES = 2, 2
 #: Words with this share of all tokens or of a bucket's are hot: their pairs are dealt by context too.
 HOT_SHARE = 1e-5
 #: Different words that a worker counts at a time.
@@ -115,7 +115,8 @@ def seat(customers: np.ndarray, openness: np.ndarray, d: float, key: np.ndarray)
 class Alone:
     """Chance that one of c customers of a dish at t tables sits alone: S(c-1, t-1) / S(c, t), where S are the generalised
     Stirling numbers of the discount, which count the ways to seat c customers at t tables with their weights. Beyond SIZE
-    customers its limit d (t-1) / (c-1)."""
+    customers their saddle point: with r = (t-1) / (c-1) and g(x) = (1 - (1-x)^d) / d, the x where g(x) / (x g'(x)) = r gives
+    r x / g(x). It is d r for few tables and 1 for as many as customers."""
 
     SIZE = 256
 
@@ -130,31 +131,49 @@ class Alone:
             below = np.full((n, n), -np.inf)
             below[1:, 1:] = log[:-1, :-1]
             self.table = np.where(np.isfinite(log), np.exp(below - np.where(np.isfinite(log), log, 0.0)), 0.0)
+        y = np.concatenate([np.logspace(-300, -3, 4000), np.linspace(1e-3, 1 - 1e-4, 2000)[1:]])  # 1 - x
+        g = -np.expm1(d * np.log(y)) / d
+        r = g / (1 - y) * y ** (1 - d)
+        self.ratios, self.shares = np.concatenate([[0.0], r, [1.0]]), np.concatenate([[0.0], r * (1 - y) / g, [1.0]])
 
     def __call__(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
         inside = c <= self.SIZE
-        return np.where(inside, self.table[np.where(inside, c, 0), np.where(inside, t, 0)], np.minimum(1.0, self.d * (t - 1) / np.maximum(c - 1, 1)))
+        small = self.table[np.where(inside, c, 0), np.where(inside, t, 0)]
+        if inside.all():
+            return small
+        return np.where(inside, small, np.interp((t - 1) / np.maximum(c - 1, 1), self.ratios, self.shares))
 
 
 def moved(c: np.ndarray, t: np.ndarray, restaurant: np.ndarray, parent: np.ndarray, d: float, alone: Alone, key: np.ndarray, sweep: int) -> np.ndarray:
-    """Tables after a sweep: again and again one customer of a dish leaves, and is seated given all that stay.
+    """Tables after a sweep: as many times as a dish has customers, one of them leaves, and is seated given all that stay.
 
     It leaves an empty table with the chance that it sat alone, which the numbers of customers and tables give. It then
     opens a table in proportion to (strength + discount * tables of the restaurant) * the parent's probability, or joins
-    one in proportion to customers less discounts. The restaurant's other dishes are those after the sweep before. As many
-    customers move as the dish has, MOVES at most.
+    one in proportion to customers less discounts. The restaurant's other dishes are those after the sweep before. Moves
+    that leave the number of tables as it was are passed over together: how many there are before the next that doesn't is
+    geometric, and what is drawn is that number and then up or down.
     """
     t, own = t.astype(np.int64), t.astype(np.int64)
     active = np.flatnonzero(c > 1)
-    for move in range(MOVES):
-        active = active[c[active] > move]
-        if not len(active):
-            break
+    left, step = c[active].astype(np.float64), 0
+    while len(active):
         n, now, k = c[active], t[active], key[active]
-        now = now - (uniform(k, sweep, move, 0) < alone(n, now))
-        opens = (STRENGTH + d * np.maximum(restaurant[active] - own[active] + now, 0)) * parent[active]
-        joins = np.where(now > 0, n - 1 - d * now, 0.0)
-        t[active] = now + (uniform(k, sweep, move, 1) * (opens + joins) < opens)
+
+        def opening(tables: np.ndarray, n: np.ndarray = n, active: np.ndarray = active) -> np.ndarray:
+            opens = (STRENGTH + d * np.maximum(restaurant[active] - own[active] + tables, 0)) * parent[active]
+            return opens / (opens + np.where(tables > 0, n - 1 - d * tables, 0.0))
+
+        gone = alone(n, now)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            down = np.where(gone > 0, gone * (1 - opening(now - 1)), 0.0)
+            up = np.where(now < n, (1 - gone) * opening(now), 0.0)
+            change = np.minimum(down + up, 1.0)
+            wait = np.where(change > 0, np.floor(np.log1p(-uniform(k, sweep, step, 0)) / np.log1p(-change)) + 1, np.inf)
+        left = left - wait
+        rising = uniform(k, sweep, step, 1) * (down + up) < up
+        on = left >= 0
+        t[active[on]] = now[on] + np.where(rising[on], 1, -1)
+        active, left, step = active[left > 0], left[left > 0], step + 1
     return np.clip(t, np.minimum(c, 1), c)
 
 
