@@ -1,9 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from tracequarry.llm import blocks
+from tracequarry.llm import blocks, substring
 from tracequarry.llm.substring import remove_repeats
 
 
@@ -100,3 +102,19 @@ def test_sources_at_several_places_of_one_block(spark, monkeypatch, least):
     got = remove_repeats(df, with_text=True).collect()
     assert sorted(tuple(r[:4]) for r in got) == brute(docs)
     assert {r.doc_id: r.n_removed for r in got}[229] == 50
+
+
+def test_bytes_of_a_window_in_the_index(spark):
+    """A window goes to the index in 7 bytes of hash, and comes back as if in 8."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 40, 300))) for _ in range(4)]
+    docs = pa.table({"doc_id": [3, 1, 2, 4], "text": [*texts[:3], texts[0]], "block": pa.array([0] * 4, pa.int32())})
+    sent = substring._send(20, 1, 1)(docs)
+    assert sum(len(x) for x in sent.column("hashes").to_pylist()) == 7 * 3 * 281
+    parsed = substring.Parsed([3, 1, 2, 4], [*texts[:3], texts[0]], 0, 1, 20)
+    own = substring._long(b"".join(sent.column("hashes").to_pylist()))
+    assert (own == parsed.hashes[parsed.kept] & np.uint64((1 << 56) - 1)).all()
+    other = substring._send(20, 2, 1)(pa.table({"doc_id": [9], "text": [texts[1]], "block": pa.array([1], pa.int32())}))
+    found = substring._lookup(pa.concat_tables([other, sent])).to_pylist()
+    assert [r["block"] for r in found] == [1] and np.unpackbits(np.frombuffer(found[0]["earlier"], np.uint8), count=281).all()
+    assert (substring._walked(found[0]["starts"]) == np.arange(281)).all() and set(substring._unpacked(found[0]["docs"], "<i8").tolist()) == {1}

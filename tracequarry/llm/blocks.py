@@ -42,5 +42,9 @@ def order_keys(ids: list, block: int, blocks: int) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    h = xxhash.xxh64_intdigest
-    return np.array([h(w) for w in words], dtype=np.uint64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+
+
+def sorted_places(places: np.ndarray, below: int) -> np.ndarray:
+    """The stable order of numbers less than `below`; NumPy sorts short ones by their digits."""
+    return np.argsort(places.astype(np.uint16) if below <= 1 << 16 else places, kind="stable")

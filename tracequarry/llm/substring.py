@@ -15,7 +15,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from tracequarry.llm.blocks import dealt, order_keys, parts, text_bytes, with_block, word_hashes
+from tracequarry.llm.blocks import dealt, order_keys, parts, sorted_places, text_bytes, with_block, word_hashes
 from tracequarry.llm.common import arrow_schema
 
 #: Text of one block, and text whose windows one bucket of the index holds.
@@ -29,6 +29,8 @@ TOLD = "block int, reference int, keys binary, ids binary, starts binary, length
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start:bigint,length:bigint,source_doc:bigint,source_start:bigint>>"
 
 
+#: Bytes of a window's hash that go to the index.
+SENT_BYTES = 7
 #: Of the window hashes over words as they are compared.
 SHORT_SEED = 0xA0761D6478BD642F
 
@@ -54,6 +56,17 @@ def _unpacked(b: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(b), dtype=kind)
 
 
+def _short(hashes: np.ndarray) -> bytes:
+    """Hashes in SENT_BYTES bytes each."""
+    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SENT_BYTES]).tobytes()
+
+
+def _long(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // SENT_BYTES, 8), dtype=np.uint8)
+    out[:, :SENT_BYTES] = np.frombuffer(b, dtype=np.uint8).reshape(-1, SENT_BYTES)
+    return out.view("<u8").ravel()
+
+
 def _steps(a: np.ndarray) -> bytes:
     """Packed differences, byte plane by byte plane: places mostly rise by little, so their upper bytes are all alike."""
     return _packed(np.diff(a.astype("<u4"), prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T)
@@ -91,15 +104,17 @@ class Parsed:
         start = self.at - begin[self.doc]
         ranked = np.lexsort((start, key)) if len(np.unique(self.order)) < len(self.order) else np.arange(len(whole))
         if len(ranked):
-            first = ranked[np.argsort(self.hashes[ranked], kind="stable")]
+            order = np.argsort(self.hashes[ranked])
+            first = ranked[order]
             new = np.concatenate([[True], self.hashes[first][1:] != self.hashes[first][:-1]])
-            head = first[new][np.cumsum(new) - 1]
+            heads = ranked[np.minimum.reduceat(order, np.flatnonzero(new))]
+            head = heads[np.cumsum(new) - 1]
             # earlier in this block: later in (doc_id, start) than the head of its hash
             self.local = np.zeros(len(whole), dtype=bool)
             self.local[first] = (key[first] > key[head]) | ((key[first] == key[head]) & (start[first] > start[head]))
             self.head = np.empty(len(whole), dtype=np.int64)
             self.head[first] = head
-            self.kept = np.sort(first[new])
+            self.kept = np.sort(heads)
         else:
             self.local, self.head, self.kept = np.zeros(0, dtype=bool), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
@@ -109,7 +124,7 @@ class Parsed:
         The bucket comes from a second hash, so windows that are taken for one another agree in it too.
         """
         to = (self.spread[self.kept] % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
+        order = sorted_places(to, buckets)
         cuts = np.flatnonzero(np.diff(to[order])) + 1
         for part in np.split(order, cuts) if len(order) else []:
             yield int(to[part[0]]), self.kept[part]
@@ -125,7 +140,7 @@ def _send(window: int, blocks: int, buckets: int):
         for bucket, mine in parsed.by_bucket(buckets):
             key = parsed.order[parsed.doc[mine]]
             cut = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-            for column, value in zip(out, (bucket, block, parsed.hashes[mine].tobytes(), key[cut[:-1]].tobytes(), np.diff(cut).astype("<u4").tobytes(), _steps(parsed.at[mine] - parsed.begin[parsed.doc[mine]])), strict=True):
+            for column, value in zip(out, (bucket, block, _short(parsed.hashes[mine]), key[cut[:-1]].tobytes(), np.diff(cut).astype("<u4").tobytes(), _steps(parsed.at[mine] - parsed.begin[parsed.doc[mine]])), strict=True):
                 column.append(value)
         return pa.table([pa.array(c, f.type) for c, f in zip(out, target, strict=True)], schema=target)
 
@@ -137,12 +152,16 @@ def _lookup(table: pa.Table) -> pa.Table:
     start of the earliest."""
     target = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("earlier", pa.binary()), ("sources", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary())])
     blocks = np.array(table.column("block").to_pylist(), dtype="<u4")
-    hashes = [np.frombuffer(x, dtype=np.uint64) for x in table.column("hashes").to_pylist()]
+    hashes = [_long(x) for x in table.column("hashes").to_pylist()]
     docs = [np.repeat(np.frombuffer(d, dtype=np.int64), np.frombuffer(c, dtype="<u4")) for d, c in zip(table.column("docs").to_pylist(), table.column("counts").to_pylist(), strict=True)]
     h, d = np.concatenate(hashes), np.concatenate(docs)
     at = np.concatenate([_walked(s) for s in table.column("starts").to_pylist()])
     of = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
-    order = np.lexsort((at, d, h))
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    several = np.append(same, False) | np.insert(same, 0, False)  # hashes that more than one block has
+    mine = order[several]
+    order[several] = mine[np.lexsort((at[mine], d[mine], h[mine]))]
     new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
     head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
     earlier, first = np.zeros(len(h), dtype=bool), np.zeros(len(h), dtype=np.int64)
@@ -312,8 +331,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False, b
     by the hashes of its windows in buckets. Documents are parsed greedily, run by run of windows that stand earlier
     (smaller doc_id, or same document and earlier start): a factor starts at the first window that isn't covered, where
     the reference has it first, and grows while the words agree. Its words go. Factors may overlap by a window less one
-    word, where one source ends and another goes on. The index tells windows apart by 64 bits and a bucket of a second
-    hash; a factor then stands on the agreement of each of its words in 32 bits, 640 bits for the shortest, so a window
+    word, where one source ends and another goes on. The index tells windows apart by 56 bits and a bucket of a second
+    hash, so n windows in b buckets have a chance of n^2 / (2^57 b) that two are taken for one; a factor then stands on the agreement of each of its words in 32 bits, 640 bits for the shortest, so a window
     that the index took for another removes nothing.
 
     Returned: doc_id, n_words, n_removed, kept_sha256, factors (start and length in words, source_doc, source_start),
