@@ -5,7 +5,8 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tracequarry.llm.packing import SumOfSquares, pack
+from tracequarry.llm import packing
+from tracequarry.llm.packing import SumOfSquares, WordTokenizer, pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -79,3 +80,15 @@ def test_level_choice_is_least_sum_of_squares():
 def test_few_windows_stay_open(spark):
     docs = spark.createDataFrame([(i, " ".join(["word"] * (i % 97 + 1))) for i in range(400)], "doc_id long, text string").coalesce(1)
     check(docs, pack(docs, PATH, 64, open_windows=3), 64)
+
+
+def test_few_words_held(monkeypatch):
+    """However many words a batch has, few texts are looked up at once, and the cache stays within its bound."""
+    monkeypatch.setattr(packing, "CACHE_WORDS", 20)
+    monkeypatch.setattr(packing, "ENCODED", 3)
+    model, most, some = WordTokenizer(PATH), [], WordTokenizer._encode_some
+    monkeypatch.setattr(WordTokenizer, "_encode_some", lambda self, texts: most.append(len(texts)) or some(self, texts))
+    texts = [f"Word{i}, thing{i * i}! again again{i % 3}." for i in range(10)] + [None, ""]
+    ids = list(model.encode(texts))
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [whole_ids(t)[:-1] for t in texts]
+    assert len(model.known) == 20 and max(most) == 3

@@ -6,6 +6,7 @@ import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,10 @@ from pyspark.sql import DataFrame
 
 from tracequarry.llm.common import arrow_schema, bounded_batches
 
-#: Words kept in a worker's token cache; about 150 bytes each.
-CACHE_WORDS = 500_000
+#: Words kept in a worker's token cache, which outlives a task; about 400 bytes each with their parts.
+CACHE_WORDS = 300_000
+#: Texts whose words are looked up at once.
+ENCODED = 500
 #: Open windows that a partition holds, of 16 kB at most; beyond these they are filled up by cutting, and packing goes on
 #: with none. Most mixes of sizes keep far fewer open, but some grow in proportion to the documents.
 OPEN = 8192
@@ -66,7 +69,11 @@ class WordTokenizer:
             out[i] = np.asarray(x.ids, dtype="<u4").tobytes()
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        for at in range(0, len(texts), ENCODED):
+            yield from self._encode_some(texts[at : at + ENCODED])
+
+    def _encode_some(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
         words = set().union(*split) if split else set()
         known = self.known
@@ -81,9 +88,9 @@ class WordTokenizer:
             if tail:
                 ids += fresh[tail] if tail in fresh else known[tail]
             table[w] = ids
-        if len(known) < CACHE_WORDS:
-            known.update(table)
-            known.update(fresh)
+        for new in (table, fresh):
+            if len(known) < CACHE_WORDS:
+                known.update(islice(new.items(), CACHE_WORDS - len(known)))
         return [b"".join(map(table.__getitem__, ws)) for ws in split]
 
     @staticmethod
