@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from tracequarry.llm import language_model
+from tracequarry.llm import blocks, language_model
 from tracequarry.llm.language_model import STRENGTH, Alone, discount, held_out, moved, score_documents, seat
 
 
@@ -209,3 +209,26 @@ def test_hot_words_are_dealt_by_context(spark):
     assert np.bincount(to, minlength=64).max() < 200
     clash = df.withColumn("block", F.lit(1)).withColumn("bucket", F.lit("x")).withColumn("words", F.lit(None).cast("string"))
     assert score_documents(clash).count() == 2000
+
+
+def test_parts_of_a_block():
+    """Pairs and contexts of a block by counting, each bucket's in one place and in order; without sorting all pairs anew."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(0, 80))) for _ in range(30)]
+    ids, buckets, hot = list(range(30)), 5, np.sort(blocks.word_hashes([b"w1", b"\n end"]))
+    block = language_model.Block(ids, texts, buckets, hot)
+    expected, end = Counter(), language_model.END_WORD
+    for i, t in zip(ids, texts):
+        words = [*t.encode().split(), end]
+        for a, b in zip([end, *words], words):
+            expected[b, a] += not held_out(i)
+    h = lambda w: int(blocks.word_hashes([w])[0])
+    by_hash = {(h(b), h(a) >> 24): n for (b, a), n in expected.items()}
+    assert {(int(block.words[w]), int(c)): int(n) for w, c, n in zip(block.pair_word, block.pair_context, block.counts)} == by_hash
+    assert block.contexts.tolist() == sorted({c for _, c in by_hash})
+    for bucket in range(buckets):
+        p, words, sizes = block.part(bucket)
+        of = language_model.bucket_of(block.words[block.pair_word[p]], block.pair_context[p], buckets, hot)
+        assert (of == bucket).all() and words.tolist() == sorted(set(block.pair_word[p].tolist())) and sizes.sum() == p.stop - p.start
+        assert np.repeat(words, sizes).tolist() == block.pair_word[p].tolist()
+    assert blocks.sorted_places(np.array([70000, 3, 70000, 3]), 70001).tolist() == blocks.sorted_places(np.array([7, 3, 7, 3]), 8).tolist() == [1, 3, 0, 2]

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracequarry.llm.blocks import dealt, parts, with_block
+from tracequarry.llm.blocks import dealt, parts, sorted_places, with_block, word_hashes
 from tracequarry.llm.common import arrow_schema, bounded_batches
 
 BLOCK_BYTES = 8 << 20
@@ -33,7 +33,8 @@ SWEEPS, SAMPLES = 2, 2
 HOT_SHARE = 1e-5
 #: Different words that a worker counts at a time.
 HELD = 1_000_000
-END = np.uint64(xxhash.xxh64_intdigest(b"\n end"))
+END_WORD = b"\n end"
+END = np.uint64(xxhash.xxh64_intdigest(END_WORD))
 #: Contexts are told apart by this many bits of the previous word's hash.
 CONTEXT_BITS = 40
 _MASK = np.uint64((1 << CONTEXT_BITS) - 1)
@@ -219,25 +220,27 @@ class Block:
     """A block's tokens as hashes, its different words, pairs and contexts, and what of them goes to which bucket."""
 
     def __init__(self, ids: list, texts: list, buckets: int, hot: np.ndarray) -> None:
-        h = xxhash.xxh64_intdigest
         self.rows = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or ""))
         tokens, sizes = [], []
         for r in self.rows:
             words = (texts[r] or "").encode("utf-8", "replace").lower().split()
-            tokens += map(h, words)
-            tokens.append(int(END))
+            tokens += words
+            tokens.append(END_WORD)
             sizes.append(len(words) + 1)
         self.sizes = np.array(sizes, dtype=np.int64)
-        hashes = np.array(tokens, dtype=np.uint64)
+        hashes = word_hashes(tokens)
         train = np.repeat(np.array([not held_out(ids[r]) for r in self.rows], dtype=bool), self.sizes)
-        before = np.concatenate([[END], hashes[:-1]])  # the token before a text's first is the end of another
         self.words, self.word = np.unique(hashes, return_inverse=True)
-        contexts, self.context = np.unique(before >> np.uint64(64 - CONTEXT_BITS), return_inverse=True)
+        contexts, context_of = np.unique(self.words >> np.uint64(64 - CONTEXT_BITS), return_inverse=True)
+        before = np.concatenate([[np.searchsorted(self.words, END)], self.word[:-1]])  # the token before a text's first is the end of another
+        self.context = context_of[before]
         pairs, self.pair = np.unique(self.word * len(contexts) + self.context, return_inverse=True)
         word, context = pairs // len(contexts), contexts[pairs % len(contexts)]
         to = bucket_of(self.words[word], context, buckets, hot)
-        order = np.lexsort((pairs, to))
-        self.pair = np.argsort(order)[self.pair]
+        order = sorted_places(to, buckets)
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        self.pair = place[self.pair]
         self.pair_word, self.pair_context = word[order], context[order]
         self.counts = np.bincount(self.pair[train], minlength=len(pairs)).astype("<u4")
         self.pair_cuts = np.searchsorted(to[order], np.arange(buckets + 1))
@@ -246,8 +249,9 @@ class Block:
     def part(self, bucket: int) -> tuple[slice, np.ndarray, np.ndarray]:
         """The bucket's pairs, and their different words (as places among the block's) with pairs of each."""
         p = slice(self.pair_cuts[bucket], self.pair_cuts[bucket + 1])
-        words, sizes = np.unique(self.pair_word[p], return_counts=True)
-        return p, words, sizes.astype("<u4")
+        own = self.pair_word[p]  # in order
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        return p, own[first], np.diff(first, append=len(own)).astype("<u4")
 
 
 def home_of(words: np.ndarray, buckets: int) -> np.ndarray:
@@ -320,11 +324,13 @@ class Bucket:
         names, at = np.unique(context[trained], return_inverse=True)
         several = np.zeros(len(names), dtype=bool)
         several[at[self.c[trained] > 1]] = True
-        order = np.lexsort((names, ~several))
+        order = sorted_places(~several, 2)  # names are in order
         self.names, self.several = names[order], int(several.sum())
         self.owners = (self.names % np.uint64(buckets)).astype(np.int64)
         self.context = np.zeros(len(self.c), dtype=np.int64)
-        self.context[trained] = np.argsort(order)[at]
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        self.context[trained] = place[at]
         self.tables = np.minimum(self.c, 1)
         self.root = np.where(self.is_hot, 0, np.minimum(self.arrived(), 1))
         self.states: list[tuple[np.ndarray, np.ndarray]] = []  # tables and the parent's probabilities, by round
@@ -345,7 +351,7 @@ class Bucket:
             if row["owner"] >= 0:
                 rounds.setdefault(row["round"], []).append(row)
         asked = self.owners[: self.several]
-        order = np.argsort(asked, kind="stable")
+        order = sorted_places(asked, self.buckets)
         cuts = np.searchsorted(asked[order], np.arange(self.buckets + 1))
         for number in sorted(rounds):
             restaurant, hot = np.zeros(max(len(self.names), 1)), np.zeros((len(self.hot), 2))
@@ -393,7 +399,7 @@ def _note(buckets: int, hot: np.ndarray):
         told = np.zeros((len(hot), 2))
         told[b.hot_at, 0] = b.arrived()[b.is_hot]
         told[b.hot_at, 1] = np.bincount(b.owner, weights=b.c, minlength=len(b.words))[b.is_hot]
-        order = np.argsort(b.owners[:upto], kind="stable")
+        order = sorted_places(b.owners[:upto], buckets)
         cuts = np.searchsorted(b.owners[:upto][order], np.arange(buckets + 1))
         sums, rows = b.sums(), []
         for o in range(buckets):
