@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tracequarry.llm import odd_sketch as steps
 from tracequarry.llm.odd_sketch import BANDS, BITS, ROWS, SAMPLES, bands, near_duplicates, odd_sketch, samples, shingle_set
 from tracequarry.llm.queries import op12_odd_sketch
 
@@ -122,3 +123,12 @@ def test_odd_rows_and_clashing_columns(spark, odd_docs, no_docs):
     assert near_duplicates(no_docs).count() == 0
     loose = near_duplicates(odd_docs.filter("doc_id is null")).collect()
     assert len(loose) == 2 and all(r.component_id is None and r.kept for r in loose)
+
+
+def test_rows_that_stay_carry_no_sketch(spark):
+    """Of a band of 12 sets in two classes one lead leaves; the others stay without sketches."""
+    rows = spark.createDataFrame([(1, i, 10, 10, i % 2, 12, 0) for i in range(12)], "band long, id long, n long, s long, c long, m long, top long")
+    sketches = spark.createDataFrame([(i, [7] * 32) for i in range(12)], "id long, sketch array<long>")
+    pairs, left = steps._pairs(rows, sketches, 1)
+    assert left.columns == ["band", "id", "n", "s", "c"] and left.count() == 11
+    assert {r.id % 2 for r in pairs.collect()} == {0} and pairs.count() == 6

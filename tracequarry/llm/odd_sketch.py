@@ -136,25 +136,27 @@ def _alike() -> Column:
     return OF * most >= SHARED * (F.col("n") + F.col("ln") - most)
 
 
-def _pairs(rows: DataFrame, leads: int) -> tuple[DataFrame, DataFrame]:
+def _pairs(rows: DataFrame, sketches: DataFrame, leads: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (x, lead) of sets of different classes to be compared now, and the rows that stay in their bands.
 
-    rows: band, id, n, s, sketch, c (class so far), m (rows of the band), top (the class that most of them have). Only pairs
-    that sketches and sizes let be links come out. In small bands all pairs are met and the band is done. In others up to `leads` members outside the top class are compared with all
+    rows: band, id, n, s, c (class so far), m (rows of the band), top (the class that most of them have). Sketches are
+    joined to what is compared now alone; what stays carries none. Only pairs that sketches and sizes let be links come out. In small bands all pairs are met and the band is done. In others up to `leads` members outside the top class are compared with all
     members of other classes, and leave; nobody else does, so no pair is lost. A band is done when one class is left.
     """
-    small, large = rows.filter(F.col("m") <= SMALL), rows.filter(F.col("m") > SMALL)
+    large = rows.filter(F.col("m") > SMALL)
+    small = rows.filter(F.col("m") <= SMALL).join(sketches, "id")
     other = small.select("band", F.col("id").alias("lead"), F.col("n").alias("ln"), F.col("s").alias("ls"), F.col("c").alias("lc"), F.col("sketch").alias("y"))
     alike = _alike() & (estimate(F.col("sketch"), F.col("y")) >= LEAST_ESTIMATE)
     met = small.join(other, "band").filter((F.col("id") > F.col("lead")) & (F.col("c") != F.col("lc")) & alike)
     spread = F.xxhash64("id")
-    first = large.filter("c <> top").groupBy("band", F.pmod(spread, F.lit(leads)).alias("part")).agg(F.min(F.struct(spread.alias("h"), "id", "n", "s", "c", "sketch")).alias("l"))
-    first = first.select("band", F.col("l.id").alias("lead"), F.col("l.n").alias("ln"), F.col("l.s").alias("ls"), F.col("l.c").alias("lc"), F.col("l.sketch").alias("y"))
-    led = large.join(first, "band").filter((F.col("c") != F.col("lc")) & alike)
+    first = large.filter("c <> top").groupBy("band", F.pmod(spread, F.lit(leads)).alias("part")).agg(F.min(F.struct(spread.alias("h"), "id", "n", "s", "c")).alias("l"))
+    first = materialize(first.select("band", F.col("l.id").alias("lead"), F.col("l.n").alias("ln"), F.col("l.s").alias("ls"), F.col("l.c").alias("lc")), "leads")
+    leading = first.join(sketches.select(F.col("id").alias("lead"), F.col("sketch").alias("y")), "lead")
+    led = large.join(sketches, "id").join(leading, "band").filter((F.col("c") != F.col("lc")) & alike)
     chosen = ["id", "c", "lead", "lc", estimate(F.col("sketch"), F.col("y")).alias("estimate")]
     both = met.select(*chosen).unionByName(led.select(*chosen)).dropDuplicates(["id", "lead"])
-    left = large.select("band", "id", "n", "s", "c", "sketch").join(first.select("band", F.col("lead").alias("id")), ["band", "id"], "left_anti")
-    return both, left
+    left = large.select("band", "id", "n", "s", "c").join(first.select("band", F.col("lead").alias("id")), ["band", "id"], "left_anti")
+    return both, materialize(left, "left")
 
 
 def _unsettled(rows: DataFrame) -> DataFrame:
@@ -237,11 +239,10 @@ def links(rows: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame |
             grown(edges)
         if 10 * linked <= pairs.count():
             break
-    rows = rows.join(sketches, "id")
     for i in count():
         rows = materialize(_unsettled(rows), "bands")
         some = 8 ** min(i, 7)
-        fresh, rows = _pairs(rows, some)
+        fresh, rows = _pairs(rows, sketches, some)
         if owed is not None:
             fresh = fresh.unionByName(owed).dropDuplicates(["id", "lead"])
         best = Window.partitionBy("id").orderBy(F.desc("estimate"), "lead")
