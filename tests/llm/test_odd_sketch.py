@@ -125,10 +125,48 @@ def test_odd_rows_and_clashing_columns(spark, odd_docs, no_docs):
     assert len(loose) == 2 and all(r.component_id is None and r.kept for r in loose)
 
 
-def test_rows_that_stay_carry_no_sketch(spark):
-    """Of a band of 12 sets in two classes one lead leaves; the others stay without sketches."""
-    rows = spark.createDataFrame([(1, i, 10, 10, i % 2, 12, 0) for i in range(12)], "band long, id long, n long, s long, c long, m long, top long")
-    sketches = spark.createDataFrame([(i, [7] * 32) for i in range(12)], "id long, sketch array<long>")
-    pairs, left = steps._pairs(rows, sketches, 1)
-    assert left.columns == ["band", "id", "n", "s", "c"] and left.count() == 11
-    assert {r.id % 2 for r in pairs.collect()} == {0} and pairs.count() == 6
+def test_cells_of_any_size_lose_no_link(spark, monkeypatch):
+    """Groups dealt to many cells give the same classes as brute force."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(edited(rng, base, rng.randrange(14))) for _ in range(150)]
+    rows = list(zip(rng.sample(range(5000), len(texts)), texts, strict=True))
+    monkeypatch.setattr(steps, "PART", 20_000)
+    monkeypatch.setattr(steps, "CHUNK", 10_000)
+    assert found(spark, rows) == brute(rows)
+
+
+def test_cells_name_one_link_a_class():
+    """A row just below 0.8 to 300 near copies gives nothing, one above gives one link, whatever the group's size."""
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 1 << 63, 2000, dtype=np.uint64)
+    members = [np.sort(np.concatenate([pool[:196], pool[200 + 4 * k : 204 + 4 * k]])) for k in range(300)]
+    below, above = np.sort(np.concatenate([pool[:173], pool[1500:1527]])), np.sort(np.concatenate([pool[:185], pool[1600:1615]]))
+    sets = [*members, below, above]
+    n, outer = len(sets), np.arange(302) >= 300
+    sketches = np.stack([odd_sketch(samples(s)) for s in sets])
+    links = steps.cell_links(np.arange(n), np.where(outer, np.arange(n), 0), outer, outer, ~outer, sets, sketches)
+    assert len(links) == 1 and links[0][0] == 301
+    apart = steps.cell_links(np.arange(n), np.arange(n), np.ones(n, bool), np.ones(n, bool), np.ones(n, bool), sets, sketches)
+    assert len(apart) == 300 and 300 not in {i for pair in apart for i in pair}
+
+
+def test_few_jobs(spark):
+    """The driver keeps plans and code of every job: a table of chains and groups takes a bounded number of them."""
+    rng = random.Random(9)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        for _ in range(8):
+            texts.append(" ".join(words))
+            words = edited(rng, words, 6)
+    base = [f"v{i}" for i in range(300)]
+    texts += [" ".join(edited(rng, base, rng.randrange(30))) for _ in range(100)]
+    spark.sparkContext.setJobGroup("few", "few")
+    try:
+        near_duplicates(spark.createDataFrame(list(enumerate(texts)), COLUMNS)).count()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    print("jobs", jobs)
+    assert jobs < 300

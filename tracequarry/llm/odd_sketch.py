@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracequarry.llm.blocks import word_hashes
@@ -23,10 +23,12 @@ BANDS, ROWS = 60, 6
 SAMPLES, BITS = 1024, 2048
 #: Pairs whose sketches say less than this aren't confirmed; at 0.8 the estimate's deviation is 0.015.
 LEAST_ESTIMATE = 0.72
-#: Bands of so many are paired at once; larger ones are led.
-SMALL = 8
-#: Parts that one set's partners are dealt to.
-SALTS = 64
+#: Differing bits of two sketches that say just that.
+MOST_DIFFERENT = int(BITS / 2 * (1 - math.exp((LEAST_ESTIMATE - 1) * 4 * SAMPLES / BITS)))
+#: Comparisons with one lead a set before groups are compared whole.
+TURNS = 2
+#: Bytes of sets that a task compares at once: of a group, and of its rows outside the largest class.
+PART, CHUNK = 1 << 19, 1 << 22
 _RNG = np.random.default_rng(12)
 _ODD = _RNG.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
@@ -78,12 +80,6 @@ def odd_sketch(least: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at, minlength=BITS) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def estimate(x: Column, y: Column) -> Column:
-    """Similarity by two odd sketches: their exclusive or tells how many samples differ."""
-    differ = sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(BITS // 64)), F.lit(0))
-    return F.when(2 * differ < BITS, 1 + F.lit(BITS / (4 * SAMPLES)) * F.log(1 - 2 * differ / BITS)).otherwise(F.lit(0.0))
-
-
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
     flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, dtype=np.int64)
@@ -127,38 +123,6 @@ def keyed(docs: DataFrame, shingle: int) -> DataFrame:
     return df.mapInArrow(run, ddl)
 
 
-def _alike() -> Column:
-    """Whether two sets may be linked by their sizes n, ln and shared parts s, ls.
-
-    s counts a set's shingles that any other compared set has too, so two sets share min(s, ls) at most.
-    """
-    most = F.least("s", "ls")
-    return OF * most >= SHARED * (F.col("n") + F.col("ln") - most)
-
-
-def _pairs(rows: DataFrame, sketches: DataFrame, leads: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (x, lead) of sets of different classes to be compared now, and the rows that stay in their bands.
-
-    rows: band, id, n, s, c (class so far), m (rows of the band), top (the class that most of them have). Sketches are
-    joined to what is compared now alone; what stays carries none. Only pairs that sketches and sizes let be links come out. In small bands all pairs are met and the band is done. In others up to `leads` members outside the top class are compared with all
-    members of other classes, and leave; nobody else does, so no pair is lost. A band is done when one class is left.
-    """
-    large = rows.filter(F.col("m") > SMALL)
-    small = rows.filter(F.col("m") <= SMALL).join(sketches, "id")
-    other = small.select("band", F.col("id").alias("lead"), F.col("n").alias("ln"), F.col("s").alias("ls"), F.col("c").alias("lc"), F.col("sketch").alias("y"))
-    alike = _alike() & (estimate(F.col("sketch"), F.col("y")) >= LEAST_ESTIMATE)
-    met = small.join(other, "band").filter((F.col("id") > F.col("lead")) & (F.col("c") != F.col("lc")) & alike)
-    spread = F.xxhash64("id")
-    first = large.filter("c <> top").groupBy("band", F.pmod(spread, F.lit(leads)).alias("part")).agg(F.min(F.struct(spread.alias("h"), "id", "n", "s", "c")).alias("l"))
-    first = materialize(first.select("band", F.col("l.id").alias("lead"), F.col("l.n").alias("ln"), F.col("l.s").alias("ls"), F.col("l.c").alias("lc")), "leads")
-    leading = first.join(sketches.select(F.col("id").alias("lead"), F.col("sketch").alias("y")), "lead")
-    led = large.join(sketches, "id").join(leading, "band").filter((F.col("c") != F.col("lc")) & alike)
-    chosen = ["id", "c", "lead", "lc", estimate(F.col("sketch"), F.col("y")).alias("estimate")]
-    both = met.select(*chosen).unionByName(led.select(*chosen)).dropDuplicates(["id", "lead"])
-    left = large.select("band", "id", "n", "s", "c").join(first.select("band", F.col("lead").alias("id")), ["band", "id"], "left_anti")
-    return both, materialize(left, "left")
-
-
 def _unsettled(rows: DataFrame) -> DataFrame:
     """rows (band, id, c, ...) of bands with several classes, with m and top."""
     counts = rows.groupBy("band", "c").agg(F.count("*").alias("k"))
@@ -166,93 +130,138 @@ def _unsettled(rows: DataFrame) -> DataFrame:
     return rows.join(stats.filter("classes > 1").select("band", "m", F.col("t.c").alias("top")), "band")
 
 
-def _shared(sets: DataFrame) -> DataFrame:
-    """id, s: how many of the set's shingles some other set has. Counts combine before the shuffle."""
-    tokens = sets.select("id", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("k"), F.min("id").alias("id"))
-    own = tokens.filter("k = 1").groupBy("id").agg(F.count("*").alias("u"))
-    return sets.select("id", F.size("hashes").alias("size")).join(own, "id", "left").select("id", (F.col("size") - F.coalesce("u", F.lit(0))).alias("s"))
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full sets are linked. A set goes once to each of SALTS parts of its partners."""
-    salted = pairs.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    left = salted.join(sets.select("id", F.col("hashes").alias("x")), "id")
-    right = salted.select("lead", "part").distinct().join(sets.select(F.col("id").alias("lead"), F.col("hashes").alias("y")), "lead")
-    both = left.join(right, ["lead", "part"]).withColumn("i", F.size(F.array_intersect("x", "y")))
-    return both.filter(OF * F.col("i") >= SHARED * (F.size("x") + F.size("y") - F.col("i"))).select("id", "c", "lead", "lc")
-
-
 def _renamed(df: DataFrame, names: DataFrame, *columns: str) -> DataFrame:
     for c in columns:
         df = df.join(names.select(F.col("id").alias(c), F.col("component").alias("__new")), c, "left").withColumn(c, F.coalesce("__new", c)).drop("__new")
     return df
 
 
-def _judged(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (id, c, lead, lc) that may be links by their sketches, with the estimate."""
-    x, y = sketches.select("id", F.col("sketch").alias("x")), sketches.select(F.col("id").alias("lead"), F.col("sketch").alias("y"))
-    judged = pairs.join(x, "id").join(y, "lead").withColumn("estimate", estimate(F.col("x"), F.col("y")))
-    return judged.filter(F.col("estimate") >= LEAST_ESTIMATE).select("id", "c", "lead", "lc", "estimate")
-
-
-def _one_lead_each(rows: DataFrame, turn: int) -> DataFrame:
-    """Every set with the best lead of all its bands that is of another class: one pair a set, whatever the bands hold.
+def _leads(rows: DataFrame, turn: int) -> DataFrame:
+    """Groups for _linked: every set with the best lead of all its bands that is of another class, one a set.
 
     A band's lead is the set that meets most others, so that of a group of near copies the one in their middle; in later
-    turns any.
+    turns any. Leads are the groups' outer rows.
     """
     met = rows.groupBy("id").agg(F.sum("m").alias("w")).select("id", F.struct((-F.col("w")).alias("a"), F.col("id").alias("b")).alias("rank"))
     ranked = rows.join(met, "id") if turn == 0 else rows.withColumn("rank", F.struct(F.xxhash64("id", F.lit(turn)).alias("a"), F.col("id").alias("b")))
-    first = ranked.groupBy("band").agg(F.min(F.struct("rank", "id", "n", "s", "c")).alias("l"))
-    first = first.select("band", "l.rank", F.col("l.id").alias("lead"), F.col("l.n").alias("ln"), F.col("l.s").alias("ls"), F.col("l.c").alias("lc"))
-    pairs = rows.join(first, "band").filter((F.col("c") != F.col("lc")) & _alike())
-    return pairs.groupBy("id", "c").agg(F.min(F.struct("rank", "lead", "lc")).alias("l")).select("id", "c", "l.lead", "l.lc")
+    first = ranked.groupBy("band").agg(F.min(F.struct("rank", "id", "n", "c")).alias("l"))
+    alike = OF * F.least("n", "l.n") >= SHARED * F.greatest("n", "l.n")
+    pairs = rows.join(first, "band").filter((F.col("c") != F.col("l.c")) & alike).groupBy("id", "n", "c").agg(F.min("l").alias("l"))
+    pairs = materialize(pairs, "leads")
+    inner = pairs.select(F.col("l.id").alias("g"), "id", "n", "c", F.lit(False).alias("outer"))
+    return inner.unionByName(pairs.select(F.col("l.id").alias("g"), "l.id", "l.n", "l.c", F.lit(True).alias("outer")).distinct())
 
 
-def links(rows: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """Edges (a, b) that connect just the sets that links connect; None if there is none.
+def _cells(groups: DataFrame) -> DataFrame:
+    """groups (g, id, n, c, outer) dealt to cells (g, p, q): every outer row meets every row of its group in one cell.
 
-    rows: band, id, n, s; sketches: id, sketch; sets: id, hashes. First, turn by turn, every set is compared with one lead,
-    as long as a tenth of these comparisons finds a link: so groups of thousands become classes at a few comparisons a
-    member. Then, round by round, bands give pairs of different classes (_pairs), sketches sort out those that can't be
-    links, and of those still owed every set's best few are confirmed on full sets. Pairs within a class needn't be
-    compared any more. Leads and confirmations grow eightfold each round; the end is when no band has two classes and no pair is
-    owed, so each link within some band is either found or joins sets that are connected already.
+    A row is on the right in all cells of its part p; an outer row is on the left in all cells of its chunk q too. So a cell
+    holds some PART + CHUNK bytes of sets, however large the group. Most groups are one cell; only the others, of which
+    there are fewer than the bytes of all sets by PART, are sent to all tasks with their numbers.
     """
-    rows, owed, found = rows.withColumn("c", F.col("id")), None, None
+    size = 8 * F.col("n") + BITS // 8
+    sums = groups.groupBy("g").agg(F.sum(size).alias("a"), F.sum(F.when(F.col("outer"), size).otherwise(0)).alias("b"))
+    dealt = sums.filter(F.col("a") > PART).select("g", F.ceil(F.col("a") / PART).cast("int").alias("ps"), F.ceil(F.greatest("b", F.lit(1)) / CHUNK).cast("int").alias("qs"))
+    one = F.lit(1)
+    rows = groups.join(F.broadcast(dealt), "g", "left").withColumns({"ps": F.coalesce("ps", one), "qs": F.coalesce("qs", one)})
+    rows = rows.withColumns({"own_p": F.pmod(F.xxhash64("id"), F.col("ps")).cast("int"), "own_q": F.pmod(F.xxhash64("id", one), F.col("qs")).cast("int")})
 
-    def grown(edges: DataFrame) -> None:
-        nonlocal rows, owed, found
-        names = components(edges.select(F.col("c").alias("a"), F.col("lc").alias("b")))
-        rows = _renamed(rows, names, "c")
-        owed = None if owed is None else _renamed(owed, names, "c", "lc").filter("c <> lc")
-        pairs = edges.select(F.col("id").alias("a"), F.col("lead").alias("b"))
-        found = pairs if found is None else found.unionByName(pairs)
+    def cell(p: Column, q: Column) -> Column:
+        return F.struct(p.alias("p"), q.alias("q"))
 
-    for turn in count():
-        rows = materialize(_unsettled(rows), "bands")
-        pairs = materialize(_judged(_one_lead_each(rows, turn), sketches), "judged")
-        edges = materialize(_confirmed(pairs, sets), "edges")
-        linked = edges.count()
-        rows = rows.select("band", "id", "n", "s", "c")
-        if linked:
-            grown(edges)
-        if 10 * linked <= pairs.count():
-            break
-    for i in count():
+    right = F.transform(F.sequence(F.lit(0), F.col("qs") - 1), lambda q: cell(F.col("own_p"), q))
+    left = F.transform(F.sequence(F.lit(0), F.col("ps") - 1), lambda p: cell(p, F.col("own_q")))
+    every = rows.withColumn("cell", F.explode(F.when(F.col("outer"), F.array_union(right, left)).otherwise(right)))
+    sides = [(F.col("outer") & (F.col("cell.q") == F.col("own_q"))).alias("left"), (F.col("cell.p") == F.col("own_p")).alias("right")]
+    return every.select("g", "cell.p", "cell.q", "id", "c", "outer", *sides)
+
+
+def cell_links(ids: np.ndarray, classes: np.ndarray, outer: np.ndarray, left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], sketches: np.ndarray) -> list[tuple[int, int]]:
+    """Links between rows on the left and rows on the right that connect just the classes that all their links connect.
+
+    A pair is counted on its full sets if sizes and sketches let it be a link, the likeliest of a row first, until its two
+    classes are one. Two outer rows are compared where the lesser id is on the left.
+    """
+    sizes, names, found = np.array([len(s) for s in sets]), classes.copy(), []
+    others, codes, marks = np.flatnonzero(right), None, None
+    for i in np.flatnonzero(left):
+        fit = (names[others] != names[i]) & (~outer[others] | (ids[others] > ids[i]))
+        fit &= OF * np.minimum(sizes[others], sizes[i]) >= SHARED * np.maximum(sizes[others], sizes[i])
+        some = others[fit]
+        differ = np.bitwise_count(sketches[some] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+        near = np.flatnonzero(differ <= MOST_DIFFERENT)
+        some = some[near[np.argsort(differ[near], kind="stable")]]
+        if len(some) and codes is None:
+            ends = np.cumsum(sizes)
+            flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            codes, marks = [flat[e - n : e] for e, n in zip(ends, sizes, strict=True)], np.zeros(int(flat.max()) + 1, dtype=np.int8)
+        taken = 1
+        while len(some):
+            now, some, taken = some[:taken], some[taken:], min(8 * taken, 512)
+            marks[codes[i]] = 1
+            starts = np.concatenate([[0], np.cumsum(sizes[now])[:-1]])
+            both = np.add.reduceat(marks[np.concatenate([codes[k] for k in now])], starts, dtype=np.int64)
+            marks[codes[i]] = 0
+            for k in now[OF * both >= SHARED * (sizes[now] + sizes[i] - both)]:
+                if names[k] != names[i]:
+                    found.append((int(ids[i]), int(ids[k])))
+                    names[names == names[k]] = names[i]
+            some = some[names[some] != names[i]]
+    return found
+
+
+def _linked(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, c, b, lc) of outer rows with rows of other classes c in their groups (g, id, n, c, outer)."""
+    ddl = "a bigint, c bigint, b bigint, lc bigint"
+    target = arrow_schema(ddl)
+    bounded_batches(groups.sparkSession)
+
+    def of_cell(cell: pa.Table) -> pa.RecordBatch:
+        ids, names, outer, left, right = (cell.column(k).to_numpy() for k in ("id", "c", "outer", "left", "right"))
+        hashes, sketches = cell.column("hashes").combine_chunks(), cell.column("sketch").combine_chunks()
+        ends, flat = hashes.offsets.to_numpy(), hashes.values.to_numpy().view(np.uint64)
+        full = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        edges = cell_links(ids, names, outer, left, right, full, sketches.flatten().to_numpy().view(np.uint64).reshape(len(ids), -1))
+        of = dict(zip(ids.tolist(), names.tolist(), strict=True))
+        return pa.RecordBatch.from_pydict({"a": [a for a, _ in edges], "c": [of[a] for a, _ in edges], "b": [b for _, b in edges], "lc": [of[b] for _, b in edges]}, schema=target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if held and tuple(keys[:, a]) != last:
+                    yield of_cell(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = tuple(keys[:, a])
+        if held:
+            yield of_cell(pa.Table.from_batches(held))
+
+    cells = _cells(groups).join(sets, "id").select("g", "p", "q", "id", "c", "outer", "left", "right", "hashes", "sketch")
+    return cells.repartition("g", "p", "q").sortWithinPartitions("g", "p", "q").mapInArrow(run, ddl)
+
+
+def links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect just the sets that links connect.
+
+    rows: band, id, n; sets: id, hashes, sketch. First, TURNS times, every set is compared with one lead: so groups of
+    thousands become classes at a few comparisons a member. Then every band that still holds several classes is compared
+    whole but for pairs within a class, which needn't be. Bands whose most frequent class is the same are one group, so
+    that sets that share many bands meet once; members of other classes are its outer rows.
+    """
+    rows, found = rows.withColumn("c", F.col("id")), None
+    for turn in range(TURNS + 1):
         rows = materialize(_unsettled(rows), "bands")
-        some = 8 ** min(i, 7)
-        fresh, rows = _pairs(rows, sketches, some)
-        if owed is not None:
-            fresh = fresh.unionByName(owed).dropDuplicates(["id", "lead"])
-        best = Window.partitionBy("id").orderBy(F.desc("estimate"), "lead")
-        ranked = materialize(fresh.withColumn("r", F.row_number().over(best)), "owed")
-        edges = materialize(_confirmed(ranked.filter(F.col("r") <= some), sets), "edges")
-        owed = ranked.filter(F.col("r") > some).drop("r")
-        if not edges.isEmpty():
-            grown(edges)
-        if rows.isEmpty() and owed.isEmpty():
-            return found
+        groups = _leads(rows, turn) if turn < TURNS else materialize(rows.groupBy(F.col("top").alias("g"), "id").agg(F.min("n").alias("n"), F.min("c").alias("c")).withColumn("outer", F.col("c") != F.col("g")), "groups")
+        edges = materialize(_linked(groups, sets), "edges")
+        found = edges.select("a", "b") if found is None else found.unionByName(edges.select("a", "b"))
+        if turn < TURNS:
+            rows = _renamed(rows.select("band", "id", "n", "c"), components(edges.select(F.col("c").alias("a"), F.col("lc").alias("b"))), "c")
+    return found
 
 
 def classes(docs: DataFrame, shingle: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -279,11 +288,7 @@ def classes(docs: DataFrame, shingle: int = 2) -> tuple[DataFrame, DataFrame]:
     if some_loose:
         texts = texts.unionByName(docs.filter("doc_id is null").select("doc_id", "text"))
     sets = materialize(_sets(texts, shingle, True).join(busy.select("key", "id"), "key").dropDuplicates(["id"]).select("id", "hashes", "sketch"), "hashes")
-    rows = rows.join(_shared(sets), "id")
-    edges = links(rows.filter(OF * F.col("s") >= SHARED * F.col("n")).select("band", "id", "n", "s"), sets.select("id", "sketch"), sets.select("id", "hashes"))
-    keys = nodes.select("key", F.col("id").alias("class"))
-    if edges is not None:
-        keys = _renamed(keys, components(edges), "class")
+    keys = _renamed(nodes.select("key", F.col("id").alias("class")), components(links(rows, sets)), "class")
     return marked.select("doc_id", "key", "n"), keys.select("key", F.when(F.col("class") <= highest, F.col("class")).alias("class"))
 
 
