@@ -170,3 +170,13 @@ def test_few_jobs(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     print("jobs", jobs)
     assert jobs < 300
+
+
+def test_marks_keep_all_ids(spark):
+    """The bitmap that tells whose sets are needed loses no id, full or not, and rows without an id always pass."""
+    ids = [-5, 0, 2**62, *range(7, 3000, 7)]
+    for most in (64, 1 << 26):
+        marks = steps._marks(spark.createDataFrame([(i,) for i in ids], "id long"), most)
+        assert len(marks) * 64 <= most and all(steps._marked(marks, i) for i in [*ids, None])
+    assert sum(steps._marked(marks, i) for i in range(10_000, 20_000)) < 1000
+    assert not any(steps._marked(steps._marks(spark.createDataFrame([], "id long")), i) for i in range(100))

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracequarry.llm.blocks import word_hashes
@@ -26,9 +26,11 @@ LEAST_ESTIMATE = 0.72
 #: Differing bits of two sketches that say just that.
 MOST_DIFFERENT = int(BITS / 2 * (1 - math.exp((LEAST_ESTIMATE - 1) * 4 * SAMPLES / BITS)))
 #: Comparisons with one lead a set before groups are compared whole.
-TURNS = 2
+TURNS = 1
 #: Bytes of sets that a task compares at once: of a group, and of its rows outside the largest class.
 PART, CHUNK = 1 << 19, 1 << 22
+#: Bits of the largest bitmap of ids.
+MARKS = 1 << 26
 _RNG = np.random.default_rng(12)
 _ODD = _RNG.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
@@ -86,8 +88,27 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def _sets(docs: DataFrame, shingle: int, whole: bool) -> DataFrame:
-    """doc_id, key (128-bit digest of the set) and n of every row; hashes and sketch if whole, else bands."""
+def _marks(ids: DataFrame, most: int = MARKS) -> np.ndarray:
+    """A bitmap, of 32 bits an id and `most` bits at most, with the places of the hashes of all values of id."""
+    bits = min(most, 1 << max(6, (32 * ids.count() - 1).bit_length()))
+    place = F.xxhash64("id").bitwiseAND(F.lit(bits - 1))
+    words = ids.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("w")).toArrow()
+    out = np.zeros(bits // 64, dtype=np.int64)
+    out[words.column("word").to_numpy()] = words.column("w").to_numpy()
+    return out.view(np.uint64)
+
+
+def _marked(marks: np.ndarray, i: int | None) -> bool:
+    """Whether id i may be among the marked; rows without an id always."""
+    if i is None:
+        return True
+    place = xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42) & (64 * len(marks) - 1)
+    return bool(int(marks[place >> 6]) >> (place & 63) & 1)
+
+
+def _sets(docs: DataFrame, shingle: int, marks: np.ndarray | None = None) -> DataFrame:
+    """doc_id, key (128-bit digest of the set), n and bands of every row; of marked rows hashes and sketch if there are marks."""
+    whole = marks is not None
     ddl = "doc_id bigint, key string, n bigint, " + ("hashes array<bigint>, sketch array<bigint>" if whole else "bands array<bigint>")
     target = arrow_schema(ddl)
     bounded_batches(docs.sparkSession)
@@ -97,6 +118,8 @@ def _sets(docs: DataFrame, shingle: int, whole: bool) -> DataFrame:
         for all_rows in batches:
             for at in range(0, all_rows.num_rows, 250):
                 batch = all_rows.slice(at, 250)
+                if whole:
+                    batch = batch.filter(pa.array([_marked(marks, i) for i in batch.column(0).to_pylist()], pa.bool_()))
                 sets = [shingle_set(t.as_py(), shingle) for t in batch.column(1)]
                 made = [pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]), pa.array([len(s) for s in sets], pa.int64())]
                 if whole:
@@ -241,7 +264,8 @@ def _linked(groups: DataFrame, sets: DataFrame) -> DataFrame:
         if held:
             yield of_cell(pa.Table.from_batches(held))
 
-    cells = _cells(groups).join(sets, "id").select("g", "p", "q", "id", "c", "outer", "left", "right", "hashes", "sketch")
+    # Cells grow with the table: the same join at any size.
+    cells = _cells(groups).hint("merge").join(sets, "id").select("g", "p", "q", "id", "c", "outer", "left", "right", "hashes", "sketch")
     return cells.repartition("g", "p", "q").sortWithinPartitions("g", "p", "q").mapInArrow(run, ddl)
 
 
@@ -269,7 +293,7 @@ def classes(docs: DataFrame, shingle: int = 2) -> tuple[DataFrame, DataFrame]:
 
     A key whose rows all lack ids stands in the comparisons under a number above all ids.
     """
-    marked = materialize(_sets(docs, shingle, False), "sketches")
+    marked = materialize(_sets(docs, shingle), "sketches")
     highest = marked.agg(F.max("doc_id")).first()[0] or 0
     grouped = marked.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     nodes = materialize(grouped.select("key", F.coalesce("doc_id", F.lit(highest) + 1 + F.monotonically_increasing_id()).alias("id"), F.col("doc_id").isNull().alias("loose")), "nodes")
@@ -280,14 +304,14 @@ def classes(docs: DataFrame, shingle: int = 2) -> tuple[DataFrame, DataFrame]:
     if some_loose:
         once = once.unionByName(marked.filter("doc_id is null").join(nodes.filter("loose").select("key", "id"), "key").select(*made))
     once = materialize(once, "once")
-    banded = once.select(F.explode("bands").alias("band"), "id", "n")
-    crowded = banded.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b")
-    rows = materialize(banded.join(crowded, "band", "left_semi"), "bands")
+    beside = Window.partitionBy("band").orderBy("id")
+    crowded = F.lag("id").over(beside).isNotNull() | F.lead("id").over(beside).isNotNull()
+    banded = once.select(F.explode("bands").alias("band"), "id", "n").withColumn("crowded", crowded)
+    rows = materialize(banded.filter("crowded").select("band", "id", "n"), "bands")
     busy = materialize(once.select("id", "key").join(rows.select("id").distinct(), "id", "left_semi").distinct(), "busy")
-    texts = docs.join(busy.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
-    if some_loose:
-        texts = texts.unionByName(docs.filter("doc_id is null").select("doc_id", "text"))
-    sets = materialize(_sets(texts, shingle, True).join(busy.select("key", "id"), "key").dropDuplicates(["id"]).select("id", "hashes", "sketch"), "hashes")
+    # Texts aren't moved: a bitmap tells most rows that are not needed, the join the others.
+    full = _sets(docs, shingle, _marks(busy)).join(busy.hint("merge"), "key").dropDuplicates(["key"])
+    sets = materialize(full.select("id", "hashes", "sketch"), "hashes")
     keys = _renamed(nodes.select("key", F.col("id").alias("class")), components(links(rows, sets)), "class")
     return marked.select("doc_id", "key", "n"), keys.select("key", F.when(F.col("class") <= highest, F.col("class")).alias("class"))
 
