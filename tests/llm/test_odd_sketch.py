@@ -168,7 +168,6 @@ def test_few_jobs(spark):
         jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    print("jobs", jobs)
     assert jobs < 300
 
 
