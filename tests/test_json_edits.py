@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from tracequarry.functions.json_edits import kept_paths, patch_text, patched, sliced
-from tracequarry.operators.bundles import contract_errors, v11_contracts
+from tracequarry.operators.bundles import bundles, contract_errors, contracts, v11_contracts
 from tracequarry.operators.json_edits import complete, r5_json_patch, state_effects, state_types
 
 
@@ -161,3 +161,27 @@ def test_contracts_are_parsed_once(spark, sf_dir):
     plan = shown(v11_contracts(spark, sf_dir))
     assert "concat" not in plan[plan.index("Exchange") :]  # JSON is made after the shuffle
     assert shown(r5_json_patch(spark, sf_dir)).count("from_json(") == 1
+
+
+def test_contracts_are_made_of_dealt_lines(spark, sf_dir):
+    plan = shown(v11_contracts(spark, sf_dir))
+    assert "l_shipdate" not in plan and plan.count("Exchange") == 1
+    assert "collect_list" not in plan[plan.index("Exchange") :]  # lines are dealt as they are
+    assert sorted(contracts(spark, sf_dir).collect()) == sorted(bundles(spark, sf_dir).select("task_id", "contract").collect())
+
+
+def test_predicates_are_listed_once(spark):
+    df = spark.createDataFrame([("{}",)], "contract string")
+    assert shown(df.select(contract_errors(F.col("contract")).alias("e"))).count(".invariants") == 1
+    p = lambda id, op, *args: {"id": id, "predicate": {op: list(args)}}
+    axes = [{"state_path": "$state.a", "variants": [1.0]}, {"state_path": "$state.b", "variants": [1.0, 2.0]}]
+    cases = [
+        ({"goal_predicates": [p("a", "eq", "$state.x", "1")], "invariants": [p("a", "near", "x"), p("b", "gt", "y")], "counterfactual_axes": axes}, ["repeated_ids", "operator:a", "no_state:a", "no_state:b", "axis:$state.a"]),
+        ({"goal_predicates": [], "counterfactual_axes": []}, ["no_goal"]),
+        ({"goal_predicates": [p(None, "near", "$state.x")], "counterfactual_axes": []}, [None]),
+        ({"goal_predicates": [None, {"id": "c"}, p("d", "eq"), {"id": "e", "predicate": {"eq": None}}], "counterfactual_axes": []}, ["no_state:d"]),
+        ({"goal_predicates": [p("a", "eq", "$state.x")]}, None),
+    ]
+    rows = [(i, json.dumps({"contract_version": "1", **c})) for i, (c, _) in enumerate(cases)] + [(5, "{"), (6, None)]
+    df = spark.createDataFrame(rows, "i int, contract string").select("i", contract_errors(F.col("contract")).alias("e"))
+    assert {r.i: r.e for r in df.collect()} == {**{i: e for i, (_, e) in enumerate(cases)}, 5: ["not_a_contract"], 6: ["not_a_contract"]}

@@ -7,6 +7,8 @@ parse the JSON; their SQL twins come to the same errors from the line items.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,57 +24,88 @@ OPERATORS = ("eq", "ne", "gt", "gte", "lt", "lte")
 EFFECTS = ("set", "increment", "append", "delete")
 
 
+def _listed(items: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+
+
+def _predicate(x: Column) -> Column:
+    """A line's predicate as JSON."""
+    number, quantity = x["n"].cast("string"), x["l_quantity"].cast("long").cast("string")
+    path = F.concat(F.when(x["stateless"], "q").otherwise("$state.q"), number)
+    op = F.when(x["l_quantity"] > 45, "near").otherwise("gt")
+    return F.concat(F.lit('{"id":"p'), (x["n"] % 6).cast("string"), F.lit('","predicate":{"'), op, F.lit('":["'), path, F.lit('","'), quantity, F.lit('"]}}'))
+
+
+def _contract(shown: Callable[[Column], Column]) -> Column:
+    """The contract of an order's lines r, given how a line shows its predicate."""
+    goals = F.transform(F.filter("r", lambda x: x["l_returnflag"] == "R"), shown)
+    kept = F.transform(F.filter("r", lambda x: x["l_returnflag"] != "R"), shown)
+    taxes = F.sort_array(F.array_distinct(F.transform("r", lambda x: x["l_tax"])))
+    return F.concat(F.lit('{"contract_version":"1","goal":"ship","goal_predicates":'), _listed(goals), F.lit(',"invariants":'), _listed(kept), F.lit(',"counterfactual_axes":[{"state_path":"$state.tax","variants":'), _listed(F.transform(taxes, lambda x: x.cast("string"))), F.lit("}]}"))
+
+
+def _stateless() -> Column:
+    return ~F.coalesce(F.col("l_linestatus") == "F", F.lit(False))
+
+
+def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """task_id, contract of every order, as in its bundle, without the other parts."""
+    # Lines are dealt as they are; each shows its predicate where its order is, before the order's list is made. What a
+    # contract doesn't show settles the order of equal lines, as in bundles.
+    li = table(spark, sf_dir, "lineitem").filter("l_orderkey is not null").repartition("l_orderkey")
+    line = li.select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), "l_returnflag", "l_quantity", "l_discount", "l_tax", (F.col("l_suppkey") % 5).alias("s"), _stateless().alias("stateless"))
+    line = line.withColumn("shown", _predicate(F.struct("n", "l_quantity", "stateless")))
+    g = line.groupBy(F.col("l_orderkey").alias("task_id")).agg(F.sort_array(F.collect_list(F.struct("n", "p", "l_returnflag", "l_quantity", "l_discount", "l_tax", "s", "shown"))).alias("r"))
+    return g.select("task_id", _contract(lambda x: x["shown"]).alias("contract"))
+
+
 def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """task_id, contract, environment, bindings, plan (JSON) of every order."""
     li = table(spark, sf_dir, "lineitem").filter("l_orderkey is not null")
     # Only the values are dealt by order, in the plan's order; JSON is made of them afterwards.
-    stateless = ~F.coalesce(F.col("l_linestatus") == "F", F.lit(False))
     always = F.coalesce(F.col("l_shipdate") < F.lit("1995-01-01"), F.lit(False))
-    kept = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), "l_returnflag", "l_quantity", "l_discount", "l_tax", (F.col("l_suppkey") % 5).alias("s"), stateless.alias("stateless"), always.alias("always"))
+    kept = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), "l_returnflag", "l_quantity", "l_discount", "l_tax", (F.col("l_suppkey") % 5).alias("s"), _stateless().alias("stateless"), always.alias("always"))
     g = li.groupBy(F.col("l_orderkey").alias("task_id")).agg(F.sort_array(F.collect_list(kept)).alias("r"))
     number, quantity = lambda x: x["n"].cast("string"), lambda x: x["l_quantity"].cast("long").cast("string")
     tool = lambda x: x["s"].cast("string")
 
-    def predicate(x: Column) -> Column:
-        path = F.concat(F.when(x["stateless"], "q").otherwise("$state.q"), number(x))
-        op = F.when(x["l_quantity"] > 45, "near").otherwise("gt")
-        return F.concat(F.lit('{"id":"p'), (x["n"] % 6).cast("string"), F.lit('","predicate":{"'), op, F.lit('":["'), path, F.lit('","'), quantity(x), F.lit('"]}}'))
-
     def branch(x: Column) -> Column:
         effect = F.concat(F.lit('{"op":"'), F.when(x["l_returnflag"] == "A", "swap").otherwise("set"), F.lit('","path":"$state.q'), number(x), F.lit('"}'))
         return F.concat(F.lit('{"id":"b'), number(x), F.lit('","when":'), F.when(x["always"], F.lit("true")).otherwise(F.concat(F.lit('"q > '), quantity(x), F.lit('"'))), F.lit(',"effects":['), effect, F.lit("]}"))
 
-    listed = lambda items: F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
     of = lambda keep, show: F.transform(F.filter("r", keep), show)
-    goals = of(lambda x: x["l_returnflag"] == "R", predicate)
-    kept = of(lambda x: x["l_returnflag"] != "R", predicate)
-    taxes = F.array_sort(F.array_distinct(F.transform("r", lambda x: x["l_tax"])))
-    contract = F.concat(F.lit('{"contract_version":"1","goal":"ship","goal_predicates":'), listed(goals), F.lit(',"invariants":'), listed(kept), F.lit(',"counterfactual_axes":[{"state_path":"$state.tax","variants":'), listed(F.transform(taxes, lambda x: x.cast("string"))), F.lit("}]}"))
+    contract = _contract(_predicate)
     tools = F.array_sort(F.array_distinct(of(lambda x: x["l_quantity"] > 10, tool)))
-    bindings = F.concat(F.lit('{"tools":'), listed(F.transform(tools, lambda t: F.concat(F.lit('{"name":"tool_'), t, F.lit('","capability_id":"cap_'), t, F.lit('"}')))), F.lit("}"))
+    bindings = F.concat(F.lit('{"tools":'), _listed(F.transform(tools, lambda t: F.concat(F.lit('{"name":"tool_'), t, F.lit('","capability_id":"cap_'), t, F.lit('"}')))), F.lit("}"))
     capabilities = F.array_sort(F.array_distinct(of(lambda x: x["l_discount"] > 0.01, tool)))
-    own = F.transform(capabilities, lambda c: F.concat(F.lit('"cap_'), c, F.lit('":{"branches":'), listed(of(lambda x: tool(x) == c, branch)), F.lit("}")))
+    own = F.transform(capabilities, lambda c: F.concat(F.lit('"cap_'), c, F.lit('":{"branches":'), _listed(of(lambda x: tool(x) == c, branch)), F.lit("}")))
     environment = F.concat(F.lit('{"runtime_version":"1","capabilities":{'), F.array_join(own, ","), F.lit("}}"))
-    plan = F.concat(F.lit('{"actions":'), listed(F.transform("r", lambda x: F.concat(F.lit('{"tool":"tool_'), tool(x), F.lit('"}')))), F.lit("}"))
+    plan = F.concat(F.lit('{"actions":'), _listed(F.transform("r", lambda x: F.concat(F.lit('{"tool":"tool_'), tool(x), F.lit('"}')))), F.lit("}"))
     return g.select("task_id", contract.alias("contract"), environment.alias("environment"), bindings.alias("bindings"), plan.alias("plan"))
 
 
 def _shown(task: Column, errors: Column) -> list[Column]:
-    ordered = F.array_sort(F.array_distinct(errors))
+    ordered = F.sort_array(F.array_distinct(errors))
     return [task.alias("task_id"), F.array_join(ordered, ",").alias("errors"), (F.size(ordered) == 0).alias("valid")]
 
 
 def contract_errors(contract: Column) -> Column:
     """Codes: not JSON, no goal, repeated ids, unknown operators, predicates that read no state, axes of one variant."""
+    none, empty = F.array().cast(f"array<{PREDICATE}>"), F.array().cast("array<string>")
+    code = lambda bad, name: F.when(bad, F.array(F.lit(name))).otherwise(empty)
+    unknown = lambda p: F.exists(F.map_keys(p["predicate"]), lambda k: ~k.isin(*OPERATORS))
+    stateless = lambda p: ~F.exists(F.map_values(p["predicate"]), lambda v: F.exists(v, lambda x: x.startswith("$state")))
+
+    def rules(both: Column) -> Column:
+        repeated = F.size(F.array_distinct(F.transform(both, lambda p: p["id"]))) < F.size(both)
+        of = lambda bad, name: F.transform(F.filter(both, bad), lambda p: F.concat(F.lit(name), p["id"]))
+        return F.flatten(F.array(code(repeated, "repeated_ids"), of(unknown, "operator:"), of(stateless, "no_state:")))
 
     def own(c: Column) -> Column:
-        both = F.concat(F.coalesce(c["goal_predicates"], F.array().cast(f"array<{PREDICATE}>")), F.coalesce(c["invariants"], F.array().cast(f"array<{PREDICATE}>")))
-        ids = F.transform(both, lambda p: p["id"])
-        unknown = F.transform(F.filter(both, lambda p: F.size(F.array_except(F.map_keys(p["predicate"]), F.array(*map(F.lit, OPERATORS)))) > 0), lambda p: F.concat(F.lit("operator:"), p["id"]))
-        stateless = F.transform(F.filter(both, lambda p: ~F.exists(F.flatten(F.map_values(p["predicate"])), lambda x: x.startswith("$state"))), lambda p: F.concat(F.lit("no_state:"), p["id"]))
+        both = F.flatten(F.array(F.coalesce(c["goal_predicates"], none), F.coalesce(c["invariants"], none)))
         axes = F.transform(F.filter(c["counterfactual_axes"], lambda a: F.size(a["variants"]) < 2), lambda a: F.concat(F.lit("axis:"), a["state_path"]))
-        rules = F.array_compact(F.array(F.when(F.size(c["goal_predicates"]) == 0, "no_goal"), F.when(F.size(F.array_distinct(ids)) < F.size(ids), "repeated_ids")))
-        return F.when(c["contract_version"].isNull(), F.array(F.lit("not_a_contract"))).otherwise(F.concat(rules, unknown, stateless, axes))
+        every = F.flatten(F.array(code(F.size(c["goal_predicates"]) == 0, "no_goal"), F.transform(F.array(both), rules)[0], axes))
+        return F.when(c["contract_version"].isNull(), F.array(F.lit("not_a_contract"))).otherwise(every)
 
     # The contract is parsed once: inside, c is the one item of a list.
     return F.transform(F.array(F.from_json(contract, CONTRACT)), own)[0]
@@ -89,7 +122,7 @@ _ERRORS = "SELECT t.task_id, coalesce(string_agg(DISTINCT e.e, ',' ORDER BY e.e)
   UNION ALL SELECT task_id, 'no_state:' || id FROM l WHERE NOT stateful
   UNION ALL SELECT task_id, 'axis:$state.tax' FROM l GROUP BY 1 HAVING count(DISTINCT tax) < 2) {_ERRORS}""")
 def v11_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bundles(spark, sf_dir)
+    b = contracts(spark, sf_dir)
     return b.select(*_shown(F.col("task_id"), contract_errors(F.col("contract"))))
 
 
